@@ -23,6 +23,18 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.decontamination import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.token_store import stored_digests
+
+    return stored_digests(_table(spark, sf_dir, "documents"), _vocabulary(), 1)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.token_counts import token_counts
 
