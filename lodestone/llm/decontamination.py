@@ -130,19 +130,30 @@ def _report(index: Index, words: Words, ids: pa.Array, names: list[str]) -> pa.R
     )
 
 
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _broadcast(items: DataFrame, most: int):
+    """The benchmark's index for all executors, if it is at most so many bytes of text."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item") + 16), F.lit(0))).first()[0]
+    if size > most:
+        return None
+    rows = items.collect()  # of the size just checked
+    return items.sparkSession.sparkContext.broadcast(Index([r.item for r in rows], pa.array([r.text for r in rows], pa.string())))
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Per row of docs: the id, n_words, n_hit, n_items, items_sha256 and contaminated (a twentieth of the words are hit)."""
     docs = docs.select(id_col, F.col(text_col).alias("text"))
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    items = _items(benchmark, item_col, text_col)
     fields = (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()))
     schema = T.StructType([docs.schema[id_col], *(T.StructField(c, t) for c, t in fields)])
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item") + 16), F.lit(0))).first()[0]
-    if size > broadcast_bytes:
+    index = _broadcast(items, broadcast_bytes)
+    if index is None:
         return _joined(docs, items, id_col, schema)
-    rows = items.collect()  # at most broadcast_bytes, as just checked
-    index = docs.sparkSession.sparkContext.broadcast(Index([r.item for r in rows], pa.array([r.text for r in rows], pa.string())))
 
     def work(batch: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
         return _report(index.value, Words(texts, alphanumeric()), batch.column(0), schema.names)
@@ -150,6 +161,26 @@ def contamination(
     return by_slice(docs, schema, work)
 
 
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """The rows, with all their columns, that are not contaminated."""
+    items = _items(benchmark, item_col, text_col)
+    index = _broadcast(items, broadcast_bytes)
+    if index is None:
+        key = F.sha2(F.coalesce(text_col, F.lit("")), 256)
+        found = contamination(docs.select(key.alias("row"), text_col), benchmark, "row", text_col, item_col, broadcast_bytes)
+        bad = found.where("contaminated").select(F.col("row").alias("contaminated_row"))
+        return docs.join(bad, key == F.col("contaminated_row"), "left_anti")
+
+    def work(batch: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
+        words = Words(texts, alphanumeric())
+        n_hit = np.bincount(words.row[index.value.hits(words)[0]], minlength=words.n)
+        return batch.filter(pa.array((n_hit == 0) | (20 * n_hit < words.counts)))
+
+    return by_slice(docs, docs.schema, work, text_col)
+
+
 def _fingerprints(rows: DataFrame, key: str, sizes: list[int], short: bool) -> DataFrame:
     """The distinct fingerprints of each row, with its key; of the given lengths, the grams of documents, or with
     `short` the whole of items that are so short."""

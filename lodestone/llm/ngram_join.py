@@ -395,3 +395,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = full.groupBy("label").agg(F.min(id_col).alias("component_id"))
     empty = rows.where("node is null").select(id_col, "n_shingles", F.col(id_col).alias("component_id"))
     return full.join(least, "label").select(id_col, "n_shingles", "component_id").unionByName(empty)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, but of each component one row alone: that of its least id (null ids last).
+    Rows with an empty set all stay."""
+    key = "_row_of_component"
+    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())])
+
+    def work(rows: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
+        _, _, n, node = shingles(texts)
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(node, mask=n == 0)], names=schema.names)
+
+    _, labels = links(docs, text_col)
+    rows = nodes(docs, id_col, text_col).where("node is not null").join(labels, "node", "left")
+    first = rows.groupBy(F.coalesce("label", "node")).agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), F.col("node"))).alias("first"))
+    kept = first.select(F.xxhash64("first.id", "first.node").alias(key))
+    keyed = by_slice(docs, schema, work, text_col)
+    full = keyed.where(F.col(key).isNotNull()).withColumn(key, F.xxhash64(id_col, key))
+    return full.join(kept, key, "left_semi").dropDuplicates([key]).drop(key).unionByName(keyed.where(F.col(key).isNull()).drop(key))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +48,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _vocabulary(), 2048)
 
 
+def remainder(column: str, of: int) -> Column:
+    """crc32 of a number as text, modulo `of`."""
+    return F.crc32(F.col(column).cast("string")) % of
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.language_id import identify
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    return identify(docs, ~held_out).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
