@@ -18,6 +18,12 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.lm_scoring import score
+
+    return score(_table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 1)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.ngram_join import jaccard_components
 
