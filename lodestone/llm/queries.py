@@ -48,6 +48,12 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.token_store import stored_digests
 
