@@ -4,8 +4,9 @@
 2. Shingles that many texts hold are counted. One global order puts rare shingles first and these last, by count, so
    that what many texts share is seldom met. A set's prefix is its first n - ceil(3n/4) + 1 shingles: two linked sets
    share one in both prefixes. Which shingles occur once only is known from a bitmap of fixed size; these are left out.
-3. Prefix entries meet by ranges of hash. A shingle of few sets gives all pairs of them that fit in size. A shingle of
-   many gives a star from its most central set; what the star leaves in other components is paired after that, until
+3. Prefix entries meet by ranges of hash. Prefixes are longer by k = n/8 shingles, so that linked sets share k + 1 (the
+   lesser k of the two): a pair with fewer, counting for shingles of many what both could share, is no candidate.
+   A shingle of few sets gives all pairs of them that fit in size. A shingle of many gives a star from its most central set; what the star leaves in other components is paired after that, until
    nothing is left. So large groups of near copies cost about their size, and no link between components is missed.
 4. Pairs are verified by a prefix-tree join: sets of the same probe are sorted in global order into a trie, in which
    sets share the overlap counted along their common path; a subtree ends where even all the rest couldn't reach the
@@ -50,6 +51,11 @@ def needed(n: np.ndarray) -> np.ndarray:
     return (3 * n + 3) // 4
 
 
+def extra(n: np.ndarray) -> np.ndarray:
+    """How many shingles two linked sets share at least in prefixes that are longer by one less."""
+    return 1 + n // 8
+
+
 def shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct shingles of each row (hash and row, sorted by row and hash), sizes, and nodes (0 for an empty set)."""
     h, row, _ = windows(Words(texts, spaced()), SIZE)
@@ -189,11 +195,12 @@ def _ranked(order: Order, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, n
     return at, weight[at]
 
 
-_MEET = "kind int, a long, b long"
+_MEET = "kind int, a long, b long, n long, need long"
 
 
 def _meetings(docs: DataFrame, text_col: str, order, bits: int) -> DataFrame:
-    """kind 0: pairs of nodes to verify, a being the probe; kind 1: a shingle of many sets and one of these."""
+    """kind 0: pairs of nodes, a being the probe, with the shingles of few sets that they share in a range and how many
+    such they need; kind 1: a shingle of many sets and one of these."""
 
     def entries(texts: Texts):
         h, row, n, node = shingles(texts)
@@ -202,56 +209,58 @@ def _meetings(docs: DataFrame, text_col: str, order, bits: int) -> DataFrame:
         place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
         # how much of a set is held by many: the original of many copies comes first
         central = np.bincount(row, weights=np.log2(1.0 + weight), minlength=texts.n) / np.maximum(n, 1)
-        keep = (place < (n - needed(n) + 1)[row]) & order.value.shared(h)
-        h, row = h[keep], row[keep]
-        return h, node[row], n[row].astype(np.uint32), np.minimum(central[row] * 2000, 65535).astype(np.uint16)
+        keep = (place < np.minimum(n, n - needed(n) + extra(n))[row]) & order.value.shared(h)
+        h, row, weight = h[keep], row[keep], weight[keep]
+        hot = np.bincount(row[weight > 0], minlength=texts.n)
+        return h, node[row], n[row].astype(np.uint32), hot[row].astype(np.uint32), np.minimum(central[row] * 2000, 65535).astype(np.uint16)
 
     def emit(found) -> pa.RecordBatch:
         at = np.argsort(found[0], kind="stable")
-        h, node, n, central = (x[at] for x in found)
+        h, node, n, hot, central = (x[at] for x in found)
         bucket, start, end = _by_range(h, bits)
         low = _low(h, bits)
-        cut = [(_pack(low[a:b]), node[a:b].astype("<i8").tobytes(), n[a:b].astype("<u4").tobytes(), central[a:b].astype("<u2").tobytes()) for a, b in zip(start, end)]
-        columns = list(zip(*cut)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.array(x, pa.binary()) for x in columns)], names=["bucket", "low", "node", "n", "central"])
+        cut = [(_pack(low[a:b]), node[a:b].astype("<i8").tobytes(), n[a:b].astype("<u4").tobytes(), hot[a:b].astype("<u4").tobytes(), central[a:b].astype("<u2").tobytes()) for a, b in zip(start, end)]
+        columns = list(zip(*cut)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.array(x, pa.binary()) for x in columns)], names=["bucket", "low", "node", "n", "hot", "central"])
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        whole = [np.concatenate([f(x.as_py()) for x in table.column(c)]) for c, f in (("low", _unpack), ("node", lambda x: np.frombuffer(x, "<i8")), ("n", lambda x: np.frombuffer(x, "<u4")), ("central", lambda x: np.frombuffer(x, "<u2")))]
+        whole = [np.concatenate([f(x.as_py()) for x in table.column(c)]) for c, f in (("low", _unpack), ("node", lambda x: np.frombuffer(x, "<i8")), ("n", lambda x: np.frombuffer(x, "<u4")), ("hot", lambda x: np.frombuffer(x, "<u4")), ("central", lambda x: np.frombuffer(x, "<u2")))]
         at = np.lexsort((whole[1], whole[0]))
-        low, node, n, central = (x[at] for x in whole)
+        low, node, n, hot, central = (x[at] for x in whole)
         one = np.ones(len(low), bool)
         one[1:] = (low[1:] != low[:-1]) | (node[1:] != node[:-1])
-        low, node, n, central = low[one], node[one], n[one].astype(np.int64), central[one].astype(np.int64)
+        low, node, n, hot, central = (x[one].astype(np.int64) for x in (low, node, n, hot, central))
         head = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         size = np.diff(np.append(head, len(low)))
-        kinds, left, right = [], [], []
+        rows: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
 
-        def pairs(x: np.ndarray, y: np.ndarray) -> None:
+        def pairs(x: np.ndarray, y: np.ndarray, star: bool = False) -> None:
             fits = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
             x, y = x[fits], y[fits]
-            kinds.append(np.zeros(len(x), np.int32))
-            left.append(node[x])
-            right.append(node[y])
+            need = np.zeros(len(x), np.int64) if star else extra(np.minimum(n[x], n[y])) - np.minimum(hot[x], hot[y])
+            rows.append((np.zeros(len(x), np.int64), node[x], node[y], need))
 
-        few = (size > 1) & (size <= MANY)
+        # what the order puts last makes stars, unless few different sets hold it; all other shingles make all pairs
+        last = np.isin(low[head].astype(_U) | _U(key[0].as_py() << 32), order.value.keys)
+        few = (size > 1) & ((size <= MANY) | ~last)
         for s in np.unique(size[few]).tolist():
             of = head[few & (size == s)]
             i, j = np.triu_indices(s, 1)
             pairs((of[:, None] + i).ravel(), (of[:, None] + j).ravel())
-        for start, s in zip(head[size > MANY].tolist(), size[size > MANY].tolist()):
+        for start, s in zip(head[(size > 1) & ~few].tolist(), size[(size > 1) & ~few].tolist()):
             own = np.arange(start, start + s)
             best = own[np.lexsort((node[own], -central[own]))[0]]
-            pairs(np.full(s - 1, best), own[own != best])
-            kinds.append(np.ones(s, np.int32))
-            left.append(np.full(s, (key[0].as_py() << 32) | int(low[start])))
-            right.append(node[own])
-        if not kinds:
-            kinds, left, right = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        kind, a, b = np.concatenate(kinds), np.concatenate(left), np.concatenate(right)
-        triples = np.unique(np.stack([kind.astype(np.int64), a, b]), axis=1) if len(a) else np.zeros((3, 0), np.int64)
-        return pa.table({"kind": pa.array(triples[0].astype(np.int32)), "a": pa.array(triples[1]), "b": pa.array(triples[2])})
-
-    found = _gathered(docs, text_col, "bucket long, low binary, node binary, n binary, central binary", entries, emit)
+            pairs(np.full(s - 1, best), own[own != best], True)
+            rows.append((np.ones(s, np.int64), np.full(s, (key[0].as_py() << 32) | int(low[start])), node[own], np.zeros(s, np.int64)))
+        whole = np.stack([np.concatenate(x) for x in zip(*rows)])
+        at = np.lexsort(whole[::-1])
+        whole = whole[:, at]
+        head = np.flatnonzero(np.concatenate([[True], (whole[:, 1:] != whole[:, :-1]).any(0)])) if whole.shape[1] else np.zeros(0, np.int64)
+        times = np.diff(np.append(head, whole.shape[1]))
+        kind, a, b, need = whole[:, head]
+        return pa.table({"kind": pa.array(kind.astype(np.int32)), "a": pa.array(a), "b": pa.array(b), "n": pa.array(times), "need": pa.array(need)})
+
+    found = _gathered(docs, text_col, "bucket long, low binary, node binary, n binary, hot binary, central binary", entries, emit)
     return found.groupBy("bucket").applyInArrow(meet, _MEET)
 
 
@@ -368,7 +377,7 @@ def links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame
     order = docs.sparkSession.sparkContext.broadcast(_order(docs, text_col, bits))
     met = written(_meetings(docs, text_col, order, bits))
     many = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"))
-    pairs = written(met.where("kind = 0").select("a", "b").distinct())
+    pairs = written(met.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b"))
     done = pairs
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")).distinct()
     sets = written(_sets(docs, text_col, ends, order))

@@ -54,6 +54,12 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.chat_format import repair
+
+    return repair(_table(spark, sf_dir, "conversations"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.token_store import stored_digests
 
