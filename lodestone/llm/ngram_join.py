@@ -42,7 +42,7 @@ BITS = 27
 #: Candidates of a probe that are verified together.
 TOGETHER = 256
 #: Bytes of text whose entries a task gathers before it hands them on.
-GATHER = 16 << 20
+GATHER = 6 << 20
 _U = np.uint64
 
 
@@ -200,7 +200,7 @@ _MEET = "kind int, a long, b long, n long, need long"
 
 def _meetings(docs: DataFrame, text_col: str, order, bits: int) -> DataFrame:
     """kind 0: pairs of nodes, a being the probe, with the shingles of few sets that they share in a range and how many
-    such they need; kind 1: a shingle of many sets and one of these."""
+    such they need; kind 1: a shingle of many sets and one of these, whose size stands in `need`."""
 
     def entries(texts: Texts):
         h, row, n, node = shingles(texts)
@@ -209,9 +209,11 @@ def _meetings(docs: DataFrame, text_col: str, order, bits: int) -> DataFrame:
         place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
         # how much of a set is held by many: the original of many copies comes first
         central = np.bincount(row, weights=np.log2(1.0 + weight), minlength=texts.n) / np.maximum(n, 1)
-        keep = (place < np.minimum(n, n - needed(n) + extra(n))[row]) & order.value.shared(h)
-        h, row, weight = h[keep], row[keep], weight[keep]
-        hot = np.bincount(row[weight > 0], minlength=texts.n)
+        # shingles of many sets are met only in the shorter prefix, in which linked sets share one at least
+        longer = place < np.minimum(n, n - needed(n) + extra(n))[row]
+        hot = np.bincount(row[longer & (weight > 0)], minlength=texts.n)
+        keep = longer & ((weight == 0) | (place < (n - needed(n) + 1)[row])) & order.value.shared(h)
+        h, row = h[keep], row[keep]
         return h, node[row], n[row].astype(np.uint32), hot[row].astype(np.uint32), np.minimum(central[row] * 2000, 65535).astype(np.uint16)
 
     def emit(found) -> pa.RecordBatch:
@@ -251,7 +253,7 @@ def _meetings(docs: DataFrame, text_col: str, order, bits: int) -> DataFrame:
             own = np.arange(start, start + s)
             best = own[np.lexsort((node[own], -central[own]))[0]]
             pairs(np.full(s - 1, best), own[own != best], True)
-            rows.append((np.ones(s, np.int64), np.full(s, (key[0].as_py() << 32) | int(low[start])), node[own], np.zeros(s, np.int64)))
+            rows.append((np.ones(s, np.int64), np.full(s, (key[0].as_py() << 32) | int(low[start])), node[own], n[own]))
         whole = np.stack([np.concatenate(x) for x in zip(*rows)])
         at = np.lexsort(whole[::-1])
         whole = whole[:, at]
@@ -362,12 +364,12 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _left_over(many: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of sets in different components that share a shingle of many sets, each with a row's label."""
-    at = many.join(labels, "node", "left").select("shingle", "node", F.coalesce("label", "node").alias("label"))
+    at = many.join(labels, "node", "left").select("shingle", "node", "size", F.coalesce("label", "node").alias("label"))
     mixed = at.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main")).where("labels > 1")
     at = at.join(mixed.select("shingle", "main"), "shingle")
-    rest = at.where("label != main").select("shingle", F.col("node").alias("a"), F.col("label").alias("la"))
-    near = at.select("shingle", F.col("node").alias("b"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("in_main"))
-    met = rest.join(near, "shingle").where("la != lb and (in_main or a < b)")
+    rest = at.where("label != main").select("shingle", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"))
+    near = at.select("shingle", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), (F.col("label") == F.col("main")).alias("in_main"))
+    met = rest.join(near, "shingle").where("la != lb and (in_main or a < b) and 4 * least(na, nb) >= 3 * greatest(na, nb)")
     return met.select("a", "b").distinct()
 
 
@@ -376,7 +378,7 @@ def links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame
     bits = int(np.clip(np.ceil(np.log2(4 * partitions(docs))), 8, BITS - 3))
     order = docs.sparkSession.sparkContext.broadcast(_order(docs, text_col, bits))
     met = written(_meetings(docs, text_col, order, bits))
-    many = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"))
+    many = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), F.col("need").alias("size"))
     pairs = written(met.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b"))
     done = pairs
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")).distinct()
