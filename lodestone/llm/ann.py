@@ -49,7 +49,7 @@ class Graph:
     def beam(self, level: int, q: np.ndarray, start: np.ndarray, ef: int, wide: int = 2) -> tuple[np.ndarray, np.ndarray]:
         """The `ef` best nodes found for each query, best first, and their inner products."""
         near = self.levels[level]
-        b = len(q)
+        b, ef = len(q), max(ef, start.shape[1])
         ids = np.full((b, ef), -1, np.int64)
         ids[:, : start.shape[1]] = start
         sims = _sims(self.base, ids, q)
