@@ -21,8 +21,10 @@ action (keep, merge), inserted (roles of empty turns put before it), appended (o
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 STATES = 4
 MERGE, RELABEL, INSERT, UNKNOWN = 1, 3, 2, 3
 STRETCH = 256
+#: Most conversations of more than one stretch whose states are broadcast.
+FEW = 10_000
 _FAR = 10**9
 #: Roles that may follow each state.
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
@@ -105,58 +109,79 @@ def _render(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), text)
 
 
+def alone(roles: tuple) -> tuple[int, int]:
+    """State after all turns of a conversation, and its cost."""
+    cost = stretch_costs(list(roles))[START] + FINISH
+    return int(np.argmin(cost)), int(cost.min())
+
+
+def chain(maps: list[np.ndarray]) -> tuple[list[tuple[int, int]], int]:
+    """States before and after each stretch of a conversation, and its cost, from the stretches' matrices in order."""
+    best = [np.where(np.arange(STATES) == START, 0, _FAR)]
+    for m in maps:
+        best.append(np.minimum((best[-1][:, None] + m).min(0), _FAR))
+    state, out = int(np.argmin(best[-1] + FINISH)), []
+    for i in range(len(maps) - 1, -1, -1):
+        before = int(np.argmin(best[i] + maps[i][:, state]))
+        out.append((before, state))
+        state = before
+    return out[::-1], int((best[-1] + FINISH).min())
+
+
+@lru_cache(maxsize=20_000)
+def _chosen(roles: tuple, start: int, end: int, last: bool, cost: int) -> tuple:
+    if start < 0:  # the whole conversation
+        start, last = START, True
+        end, cost = alone(roles)
+    found = trace(list(roles), start, end)
+    appended = [[] for _ in found[:-1]] + [[*APPENDED[found[-1][0]]] if last else []]
+    return [ROLES[s - 1] for s, _, _ in found], [bool(m) for _, m, _ in found], [[ROLES[x - 1] for x in i] for _, _, i in found], appended, cost
+
+
+_CHOICE = "struct<new_role:array<string>,merged:array<boolean>,inserted:array<array<string>>,appended:array<array<string>>,cost:bigint>"
+
+
 def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """See above. `rendered` joined in order of position gives the conversation's text."""
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    kind = rows.schema["conv_id"].dataType.simpleString()
-    turn_kind = rows.schema["turn"].dataType.simpleString()
     # Spark sorts each conversation's turns on disk if need be; numbering them holds none of them
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("position", F.row_number().over(order).cast("long")).withColumn("stretch", F.floor((F.col("position") - 1) / STRETCH))
-
-    def costs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("position")
-        return pa.table([pa.array([k.as_py()], k.type) for k in key] + [pa.array([stretch_costs(table.column("role").to_pylist()).ravel().tolist()])], names=["conv_id", "stretch", "costs"])
-
-    def states(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("stretch")
-        maps = [np.array(x.as_py()).reshape(STATES, STATES) for x in table.column("costs")]
-        best = [np.where(np.arange(STATES) == START, 0, _FAR)]
-        for m in maps:
-            best.append(np.minimum((best[-1][:, None] + m).min(0), _FAR))
-        state = int(np.argmin(best[-1] + FINISH))
-        total = int((best[-1] + FINISH).min())
-        start, end = [], []
-        for i in range(len(maps) - 1, -1, -1):
-            end.append(state)
-            state = int(np.argmin(best[i] + maps[i][:, state]))
-            start.append(state)
-        n = len(maps)
-        last = [False] * (n - 1) + [True]
-        return pa.table(
-            [table.column("conv_id"), table.column("stretch"), pa.array(start[::-1], pa.int32()), pa.array(end[::-1], pa.int32()), pa.array(last), pa.array([total] * n, pa.int64())],
-            names=["conv_id", "stretch", "start", "end", "last", "cost"],
-        )
-
-    def choices(table: pa.Table) -> pa.Table:
-        table = table.sort_by("position")
-        found = trace(table.column("role").to_pylist(), table.column("start")[0].as_py(), table.column("end")[0].as_py())
-        appended = [()] * (len(found) - 1) + [APPENDED[found[-1][0]] if table.column("last")[0].as_py() else ()]
-        words = pa.list_(pa.string())
-        columns = [table.column(c) for c in ("conv_id", "position", "turn", "role", "text", "cost")]
-        columns += [pa.array([ROLES[s - 1] for s, _, _ in found]), pa.array([bool(m) for _, m, _ in found]), pa.array([[ROLES[x - 1] for x in i] for _, _, i in found], words), pa.array([list(x) for x in appended], words)]
-        return pa.table(columns, names=["conv_id", "position", "turn", "role", "text", "cost", "new_role", "merged", "inserted", "appended"])
-
-    by = rows.groupBy("conv_id", "stretch")
-    ways = by.applyInArrow(costs, f"conv_id {kind}, stretch long, costs array<long>").groupBy("conv_id").applyInArrow(states, f"conv_id {kind}, stretch long, start int, end int, last boolean, cost long")
-    joined = rows.join(ways.withColumnRenamed("conv_id", "own_id").withColumnRenamed("stretch", "own_stretch"), F.col("conv_id").eqNullSafe(F.col("own_id")) & (F.col("stretch") == F.col("own_stretch")))
-    chosen = (
-        joined.select("conv_id", "stretch", "position", "turn", "role", "text", "start", "end", "last", "cost")
-        .groupBy("conv_id", "stretch")
-        .applyInArrow(choices, f"conv_id {kind}, position long, turn {turn_kind}, role string, text string, cost long, new_role string, merged boolean, inserted array<string>, appended array<string>")
-    )
+    conversation = W.partitionBy("conv_id")
+    number = F.row_number().over(conversation.orderBy("turn", "role", "text")).cast("long")
+    rows = rows.withColumn("position", number).withColumn("stretch", F.floor((F.col("position") - 1) / STRETCH))
+    ordered = F.array_sort(F.collect_list(F.struct("position", "turn", "role", "text")))
+    # up to STRETCH turns a row, where the numbering has them already
+    stretches = rows.groupBy("conv_id", "stretch").agg(ordered.alias("turns")).withColumn("last", F.max("stretch").over(conversation))
+
+    @F.pandas_udf("array<bigint>")
+    def costs(roles: pd.Series) -> pd.Series:
+        return pd.Series([stretch_costs(list(r)).ravel() for r in roles])
+
+    @F.pandas_udf("struct<ways:array<struct<start:int,end:int>>,cost:bigint>")
+    def states(maps: pd.Series) -> pd.DataFrame:
+        found = [chain([np.array(m["costs"]).reshape(STATES, STATES) for m in x]) for x in maps]
+        return pd.DataFrame({"ways": [[{"start": a, "end": b} for a, b in w] for w, _ in found], "cost": [c for _, c in found]})
+
+    @F.pandas_udf(_CHOICE)
+    def choices(roles: pd.Series, start: pd.Series, end: pd.Series, last: pd.Series, cost: pd.Series) -> pd.DataFrame:
+        found = [_chosen(tuple(r), *x) for r, *x in zip(roles, start, end, last, cost)]
+        return pd.DataFrame(found, columns=["new_role", "merged", "inserted", "appended", "cost"])
+
+    # only conversations of several stretches need their states found stretch by stretch
+    long = rows.where(f"position > {STRETCH}").select("conv_id").distinct().select(F.struct("conv_id").alias("key"))
+    few = long.limit(FEW + 1).count() <= FEW
+    keyed = rows.select(F.struct("conv_id").alias("key"), "conv_id", "stretch", "position", "role")
+    keyed = keyed.join(F.broadcast(long) if few else long, "key", "left_semi")
+    maps = keyed.groupBy("key", "stretch").agg(F.array_sort(F.collect_list(F.struct("position", "role")))["role"].alias("roles")).select("key", "stretch", costs("roles").alias("costs"))
+    ways = maps.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("stretch", "costs"))).alias("maps")).select("key", states("maps").alias("w"))
+    ways = ways.select("key", F.posexplode("w.ways").alias("own", "way"), F.col("w.cost").alias("total")).select("key", F.col("own").cast("long").alias("own"), "way.start", "way.end", "total")
+    stretches = stretches.withColumn("at", F.struct("conv_id"))
+    stretches = stretches.join(F.broadcast(ways) if few else ways, (F.col("at") == F.col("key")) & (F.col("stretch") == F.col("own")), "left")
+    given = [F.coalesce("start", F.lit(-1)), F.coalesce("end", F.lit(-1)), F.col("last") == F.col("stretch"), F.coalesce("total", F.lit(0).cast("long"))]
+    chosen = stretches.select("conv_id", "turns", choices(F.col("turns.role"), *given).alias("c"))
+    flat = chosen.select("conv_id", F.explode(F.arrays_zip("turns", "c.new_role", "c.merged", "c.inserted", "c.appended")).alias("x"), F.col("c.cost").alias("cost"))
+    flat = flat.select("conv_id", "x.turns.*", "x.new_role", "x.merged", "x.inserted", "x.appended", "cost")
     empty = lambda roles: F.transform(roles, lambda r: F.concat(_render(r, F.lit("")), F.lit("\n")))
     body = F.when(F.col("merged"), F.concat(F.lit("\n"), F.col("text"))).otherwise(F.concat(F.when(F.col("position") > 1, F.lit("\n")).otherwise(F.lit("")), F.array_join(empty(F.col("inserted")), ""), _render(F.col("new_role"), F.col("text"))))
     tail = F.array_join(F.transform("appended", lambda r: F.concat(F.lit("\n"), _render(r, F.lit("")))), "")
     action = F.when(F.col("merged"), "merge").otherwise("keep")
-    return chosen.select("conv_id", "position", "turn", "role", "new_role", action.alias("action"), "inserted", "appended", "cost", F.concat(body, tail).alias("rendered"))
+    return flat.select("conv_id", "position", "turn", "role", "new_role", action.alias("action"), "inserted", "appended", "cost", F.concat(body, tail).alias("rendered"))

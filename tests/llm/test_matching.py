@@ -1,42 +1,13 @@
 """N-gram join and decontamination against plain Python."""
 
-import hashlib
 import random
-import re
-import string
-from collections import defaultdict
 
 import pytest
+from tests_llm_helpers import brute_components, brute_hits
 
 from lodestone.llm import decontamination, ngram_join
 from lodestone.llm.components import components
 
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-
-
-def brute_components(rows):
-    sets = []
-    for _, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
-    boss = list(range(len(rows)))
-
-    def find(x):
-        while boss[x] != x:
-            x = boss[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
-                boss[find(i)] = find(j)
-    groups = defaultdict(list)
-    for i in range(len(rows)):
-        groups[find(i)].append(rows[i][0])
-    least = {g: min((x for x in ids if x is not None), default=None) for g, ids in groups.items()}
-    return sorted(((rows[i][0], len(sets[i]), least[find(i)] if sets[i] else rows[i][0]) for i in range(len(rows))), key=str)
-
 
 def near_copies(seed, groups):
     """Groups of near copies of one text (some far from each other, near to the original), passages shared by all."""
@@ -71,7 +42,7 @@ def test_components_of_awkward_rows(awkward, awkward_texts):
 def test_one_of_each_keeps_columns(awkward, awkward_texts):
     got = ngram_join.one_of_each(awkward)
     assert got.schema == awkward.schema
-    want = {(i, t) for i, t in awkward_texts if (t or "").strip() and not (i in (5, 6) and False)}
+    want = {(i, t) for i, t in awkward_texts if (t or "").strip()}
     firsts = {c for _, _, c in brute_components(awkward_texts)}
     kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
     assert [x for x in kept if (x[1] or "").strip()] == sorted((x for x in set(want) if x[0] in firsts), key=str)
@@ -104,29 +75,6 @@ def test_join_of_nothing(nothing):
     assert ngram_join.one_of_each(nothing).count() == 0
 
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-def brute_hits(docs, items):
-    windows = defaultdict(set)
-    for i, t in items:
-        w = WORD.findall((t or "").translate(LOWER))
-        size = min(13, len(w))
-        for k in range(len(w) - size + 1 if w else 0):
-            windows[tuple(w[k : k + size])].add("" if i is None else str(i))
-    out = []
-    for i, t in docs:
-        w = WORD.findall((t or "").translate(LOWER))
-        hit, found = set(), set()
-        for size in {len(x) for x in windows}:
-            for k in range(len(w) - size + 1):
-                if (own := windows.get(tuple(w[k : k + size]))) is not None:
-                    hit.update(range(k, k + size))
-                    found |= own
-        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
-    return sorted(out, key=str)
-
-
 @pytest.fixture(scope="module")
 def contaminated(awkward_texts):
     r = random.Random(5)
