@@ -1,4 +1,4 @@
 """All queries of the engine's own operators, by name."""
 
-from lodestone.plans import graph_queries, profile_queries, search_queries  # noqa: F401
+from lodestone.plans import graph_queries, more_queries, profile_queries, search_queries  # noqa: F401
 from lodestone.registry import ORACLES, QUERIES  # noqa: F401

@@ -192,3 +192,17 @@ def test_streams(spark, tmp_path):
 
     assert [(r.id, r["count"], r.allowed) for r in sorted(run(events.rate_limit(stream, "user", 2, 60), "limited"))] == [(1, 1, True), (2, 2, True), (3, 3, False), (4, 1, True)]
     assert sorted((r.previous, r.next) for r in run(events.transitions(stream, "user"), "moves")) == [("a", "b"), ("a", "b"), ("b", "a")]
+
+
+@pytest.mark.parametrize(("given", "want"), [('say {"a": 1} now', '{"a": 1}'), ("{'a': None, b: True, 'c': [1, 2,],}", '{"a": null, "b": true, "c": [1, 2]}'), ('{"a": [1, {"b": "x', '{"a": [1, {"b": "x"}]}'), ("nothing", None), (None, None)])
+def test_json_repair(given, want):
+    from lodestone.functions.json_text import repaired
+
+    assert repaired(given) == want
+
+
+def test_json_repair_column(spark):
+    from lodestone.functions.json_text import repair_json
+
+    rows = spark.createDataFrame([('{"a":1}',), ("{'a': 1",), ("x",), (None,)], "t string")
+    assert [r.x for r in rows.select(repair_json(F.col("t")).alias("x")).collect()] == ['{"a":1}', '{"a": 1}', None, None]
