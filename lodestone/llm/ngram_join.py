@@ -195,12 +195,13 @@ def _ranked(order: Order, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, n
     return at, weight[at]
 
 
-_MEET = "kind int, a long, b long, n long, need long"
+_MEET = "kind int, a long, b long, n long, need long, pivot long"
 
 
 def _meetings(docs: DataFrame, text_col: str, order, bits: int) -> DataFrame:
     """kind 0: pairs of nodes, a being the probe, with the shingles of few sets that they share in a range and how many
-    such they need; kind 1: a shingle of many sets and one of these, whose size stands in `need`."""
+    such they need (0: a star, whose centre is a); kind 1: a shingle of many sets and one of these, whose size stands in
+    `need`, with the star's centre as pivot."""
 
     def entries(texts: Texts):
         h, row, n, node = shingles(texts)
@@ -234,13 +235,14 @@ def _meetings(docs: DataFrame, text_col: str, order, bits: int) -> DataFrame:
         low, node, n, hot, central = (x[one].astype(np.int64) for x in (low, node, n, hot, central))
         head = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         size = np.diff(np.append(head, len(low)))
-        rows: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
+        rows: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 5]
 
         def pairs(x: np.ndarray, y: np.ndarray, star: bool = False) -> None:
             fits = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
             x, y = x[fits], y[fits]
-            need = np.zeros(len(x), np.int64) if star else extra(np.minimum(n[x], n[y])) - np.minimum(hot[x], hot[y])
-            rows.append((np.zeros(len(x), np.int64), node[x], node[y], need))
+            none = np.zeros(len(x), np.int64)
+            need = none if star else np.maximum(1, extra(np.minimum(n[x], n[y])) - np.minimum(hot[x], hot[y]))
+            rows.append((none, node[x], node[y], need, none))
 
         # what the order puts last makes stars, unless few different sets hold it; all other shingles make all pairs
         last = np.isin(low[head].astype(_U) | _U(key[0].as_py() << 32), order.value.keys)
@@ -253,14 +255,14 @@ def _meetings(docs: DataFrame, text_col: str, order, bits: int) -> DataFrame:
             own = np.arange(start, start + s)
             best = own[np.lexsort((node[own], -central[own]))[0]]
             pairs(np.full(s - 1, best), own[own != best], True)
-            rows.append((np.ones(s, np.int64), np.full(s, (key[0].as_py() << 32) | int(low[start])), node[own], n[own]))
+            rows.append((np.ones(s, np.int64), np.full(s, (key[0].as_py() << 32) | int(low[start])), node[own], n[own], np.full(s, node[best])))
         whole = np.stack([np.concatenate(x) for x in zip(*rows)])
         at = np.lexsort(whole[::-1])
         whole = whole[:, at]
         head = np.flatnonzero(np.concatenate([[True], (whole[:, 1:] != whole[:, :-1]).any(0)])) if whole.shape[1] else np.zeros(0, np.int64)
         times = np.diff(np.append(head, whole.shape[1]))
-        kind, a, b, need = whole[:, head]
-        return pa.table({"kind": pa.array(kind.astype(np.int32)), "a": pa.array(a), "b": pa.array(b), "n": pa.array(times), "need": pa.array(need)})
+        kind, a, b, need, pivot = whole[:, head]
+        return pa.table({"kind": pa.array(kind.astype(np.int32)), "a": pa.array(a), "b": pa.array(b), "n": pa.array(times), "need": pa.array(need), "pivot": pa.array(pivot)})
 
     found = _gathered(docs, text_col, "bucket long, low binary, node binary, n binary, hot binary, central binary", entries, emit)
     return found.groupBy("bucket").applyInArrow(meet, _MEET)
@@ -305,12 +307,13 @@ def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, order) -> DataFrame
     return found.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
 
 
-def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray]) -> list[bool]:
-    """Whether each set is linked with the probe. All are in one global order.
+def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray], whole: list[bool] | None = None) -> list[int]:
+    """The overlap of each set with the probe, -1 where it is too small for a link. All are in one global order.
 
     The sets, sorted, are the leaves of a trie in depth-first order: a set shares its first `common` shingles, and the
     overlap counted along them, with the set before. A leaf whose path can't reach the bound any more is left at the
-    point where that shows, and so is each next one that shares the path up to there.
+    point where that shows, and so is each next one that shares the path up to there. Where `whole` says so, a set is
+    counted to its end.
     """
     members = np.sort(probe)
     flags = []
@@ -319,7 +322,7 @@ def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray]) -> list[bool]:
         at[at == len(members)] = 0
         flags.append(members[at] == s)
     order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())
-    out = [False] * len(sets)
+    out = [-1] * len(sets)
     path = np.zeros(1, np.int64)  # overlap after each number of shingles on the current path
     before: np.ndarray | None = None
     for i in order:
@@ -329,8 +332,7 @@ def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray]) -> list[bool]:
             most = min(len(before), n)
             differ = np.flatnonzero(before[:most] != s[:most])
             common = min(int(differ[0]) if len(differ) else most, len(path) - 1)
-        # overlap o of sets of n and m: 100 o >= 75 (n + m - o)
-        least = -(-3 * (n + len(probe)) // 7)
+        least = 0 if whole and whole[i] else -(-3 * (n + len(probe)) // 7)  # of overlap o: 100 o >= 75 (n + m - o)
         before = s
         if path[common] + n - common < least:
             path = path[: common + 1]
@@ -340,36 +342,60 @@ def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray]) -> list[bool]:
         if len(short):
             tail = tail[: short[0] + 1]
         path = np.concatenate([path[: common + 1], tail])
-        out[i] = not len(short) and int(path[-1]) >= least
+        if not len(short) and int(path[-1]) >= least:
+            out[i] = int(path[-1])
     return out
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links. Candidates of a probe a are dealt to groups of about TOGETHER."""
+def _verify(pairs: DataFrame, sets: DataFrame, order) -> DataFrame:
+    """Of pairs (a, b, star): linked; and for stars added, missing and hot: shingles of b that a hasn't, the other way
+    round, and how many of those added are of many sets. Candidates of a probe a are dealt to groups of about TOGETHER.
+    Other pairs that aren't linked are left out."""
     counted = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = pairs.join(counted, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / TOGETHER)).alias("lot"))
-    other = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "lot", "b", "set")
-    own = dealt.select("a", "lot").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "lot", F.lit(None).cast("long").alias("b"), "set")
+    dealt = pairs.join(counted, "a").select("a", "b", "star", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / TOGETHER)).alias("lot"))
+    other = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "lot", "b", "star", "set")
+    own = dealt.select("a", "lot").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "lot", F.lit(None).cast("long").alias("b"), F.lit(False).alias("star"), "set")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("star", pa.bool_()), ("added", pa.int64()), ("missing", pa.int64()), ("hot", pa.int64())])
 
     def each(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        b = table.column("b").combine_chunks()
-        sets = [np.frombuffer(x.as_py(), "<u8") for x in table.column("set")]
-        probe = [s for s, x in zip(sets, b.is_null()) if x.as_py()][0]
-        near = [(s, x.as_py()) for s, x in zip(sets, b) if x.is_valid]
-        linked = [x for (_, x), hit in zip(near, trie_overlaps(probe, [s for s, _ in near])) if hit]
-        return pa.table({"a": pa.array([key[0].as_py()] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
-
-    return other.unionByName(own).groupBy("a", "lot").applyInArrow(each, "a long, b long")
-
-
-def _left_over(many: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of sets in different components that share a shingle of many sets, each with a row's label."""
-    at = many.join(labels, "node", "left").select("shingle", "node", "size", F.coalesce("label", "node").alias("label"))
+        probe, near = np.zeros(0, "<u8"), []
+        for b, star, s in zip(table.column("b").to_pylist(), table.column("star").to_pylist(), table.column("set").to_pylist()):
+            s = np.frombuffer(s, "<u8")
+            if b is None:
+                probe = s
+            else:
+                near.append((b, star, s))
+        rows = []
+        for (b, star, s), both in zip(near, trie_overlaps(probe, [s for _, _, s in near], [star for _, star, _ in near])):
+            linked = both >= 0 and 100 * both >= 75 * (len(s) + len(probe) - both)
+            if star:
+                new = s[~np.isin(s, probe)]
+                rows.append((key[0].as_py(), b, linked, True, len(s) - both, len(probe) - both, int((order.value.weight(new) > 0).sum())))
+            elif linked:
+                rows.append((key[0].as_py(), b, True, False, 0, 0, 0))
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
+
+    return other.unionByName(own).groupBy("a", "lot").applyInArrow(each, "a long, b long, linked boolean, star boolean, added long, missing long, hot long")
+
+
+def _left_over(many: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame:
+    """Pairs of sets in different components that share a shingle of many sets and may be linked.
+
+    Let a pair's sets differ from the centre of their star by added shingles X and Y and by missing ones A and B. They
+    differ from each other by |X| + |Y| - 2 |X and Y| + |A| - |B| at least, and by a seventh of their sizes at most if
+    they are linked. A shingle of few sets in both X and Y would have made them a pair before; so X and Y share at most
+    as many as the lesser of them has of shingles of many sets.
+    """
+    info = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "added", "missing", "hot")
+    at = many.join(labels, "node", "left").select("shingle", "node", "size", "pivot", F.coalesce("label", "node").alias("label"))
     mixed = at.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main")).where("labels > 1")
-    at = at.join(mixed.select("shingle", "main"), "shingle")
-    rest = at.where("label != main").select("shingle", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"))
-    near = at.select("shingle", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), (F.col("label") == F.col("main")).alias("in_main"))
-    met = rest.join(near, "shingle").where("la != lb and (in_main or a < b) and 4 * least(na, nb) >= 3 * greatest(na, nb)")
+    at = at.join(mixed.select("shingle", "main"), "shingle").join(info, ["pivot", "node"], "left")
+    zero = lambda c: F.when(F.col("node") == F.col("pivot"), 0).otherwise(F.col(c))
+    side = lambda x: [F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"n{x}"), zero("added").alias(f"x{x}"), zero("missing").alias(f"m{x}"), zero("hot").alias(f"h{x}")]
+    rest = at.where("label != main").select("shingle", *side("a"))
+    near = at.select("shingle", *side("b"), (F.col("label") == F.col("main")).alias("in_main"))
+    apart = "7 * (greatest(0, xa + xb - 2 * least(ha, hb)) + abs(ma - mb)) > na + nb"
+    met = rest.join(near, "shingle").where(f"la != lb and (in_main or a < b) and 4 * least(na, nb) >= 3 * greatest(na, nb) and not coalesce({apart}, false)")
     return met.select("a", "b").distinct()
 
 
@@ -378,22 +404,24 @@ def links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame
     bits = int(np.clip(np.ceil(np.log2(4 * partitions(docs))), 8, BITS - 3))
     order = docs.sparkSession.sparkContext.broadcast(_order(docs, text_col, bits))
     met = written(_meetings(docs, text_col, order, bits))
-    many = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), F.col("need").alias("size"))
-    pairs = written(met.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b"))
-    done = pairs
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")).distinct()
+    many = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), F.col("need").alias("size"), "pivot")
+    met_pairs = met.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
+    pairs = written(met_pairs.select("a", "b", (F.col("need") == 0).alias("star")))
+    done = pairs.select("a", "b")
+    ends = done.select(F.col("a").alias("node")).union(done.select("b")).union(many.select("node")).distinct()
     sets = written(_sets(docs, text_col, ends, order))
-    edges = written(_verify(pairs, sets))
+    checked = written(_verify(pairs, sets, order))
+    edges, stars = checked.where("linked").select("a", "b"), checked.where("star")
     labels = components(edges)
     while True:
-        pairs = _left_over(many, labels).join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = written(pairs)
+        pairs = _left_over(many, labels, stars).join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        pairs = written(pairs.withColumn("star", F.lit(False)))
         if not pairs.limit(1).count():
             return edges, labels
-        new = written(_verify(pairs, sets))
+        new = written(_verify(pairs, sets, order)).select("a", "b")
         if not new.limit(1).count():
             return edges, labels
-        done, edges = done.unionByName(pairs), edges.unionByName(new)
+        done, edges = done.unionByName(pairs.select("a", "b")), edges.unionByName(new)
         labels = components(edges)
 
 

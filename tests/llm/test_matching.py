@@ -30,7 +30,7 @@ def near_copies(seed, groups):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_equal_brute_force(spark, seed):
-    rows = near_copies(seed, [(40, 120, 3), (25, 60, 2), (30, 40, 3), (3, 200, 5), (2, 7, 1), (20, 90, 6)])
+    rows = near_copies(seed, [(40, 120, 3), (25, 60, 2), (30, 40, 3), (3, 200, 5), (2, 7, 1), (20, 90, 6), (60, 80, 4), (30, 70, 9)])
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(map(tuple, ngram_join.jaccard_components(df).collect()), key=str) == brute_components(rows)
 
@@ -62,7 +62,8 @@ def test_trie_prunes_to_the_exact_links():
     for s in sets:
         both = len(np.intersect1d(s, probe))
         want.append(100 * both >= 75 * (len(s) + len(probe) - both))
-    assert ngram_join.trie_overlaps(probe, sets) == want and any(want) and not all(want)
+    assert [x >= 0 for x in ngram_join.trie_overlaps(probe, sets)] == want and any(want) and not all(want)
+    assert ngram_join.trie_overlaps(probe, sets, [True] * 60) == [len(np.intersect1d(s, probe)) for s in sets]
 
 
 def test_components_operator(spark):
