@@ -93,4 +93,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lodestone.llm import oracles
+
+    return {"op2_ngram_join": oracles.NGRAM_JOIN, "op4_decontamination": oracles.DECONTAMINATION}
