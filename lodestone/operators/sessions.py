@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,19 +36,27 @@ def sessions(events: DataFrame, key: str, time: Column, seconds: int, order: str
 def rate_limited(events: DataFrame, key: str, time: Column, order: str, limit: int, seconds: int) -> DataFrame:
     """Whether each event is allowed under a limit for each window, which starts at the first event after the last one's end.
 
-    One pass over each key's time-ordered events; keys whose events are very many are first cut at idle times longer than a
-    window, where state starts anew anyway, so that a fold holds one busy stretch of a key alone.
+    Keys are cut at idle times longer than a window, where state starts anew anyway; Spark sorts each stretch by time, and
+    one pass carries (stretch, start, count) from row to row, so that no task holds a key's events.
     """
-    rows = sessions(events, key, time, seconds, order)
-    step = lambda s, e: F.when(
-        (s["n"] == 0) | (e["at"] - s["start"] >= seconds),
-        F.struct(e["at"].alias("start"), F.lit(1).alias("n"), F.concat(s["out"], F.array(F.struct(e["id"].alias("id"), F.lit(1).alias("n")))).alias("out")),
-    ).otherwise(F.struct(s["start"].alias("start"), (s["n"] + 1).alias("n"), F.concat(s["out"], F.array(F.struct(e["id"].alias("id"), (s["n"] + 1).alias("n")))).alias("out")))
-    zero = F.struct(F.lit(0.0).alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<id:bigint,n:int>>").alias("out"))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("at"), F.col(order).cast("long").alias("id"))))
-    held = rows.groupBy(key, "session_no").agg(F.aggregate(ordered, zero, step)["out"].alias("out"))
-    flat = held.select(key, F.explode("out").alias("o"))
-    return flat.select(key, F.col("o.id").alias(order), F.col("o.n").alias("count"), (F.col("o.n") <= limit).alias("allowed"))
+    rows = sessions(events.select(key, order, time.alias("_time")), key, F.col("_time"), seconds, order)
+    rows = rows.select(key, order, "session_no", "at").repartition(key, "session_no").sortWithinPartitions(key, "session_no", "at", order)
+    schema = f"`{key}` {events.schema[key].dataType.simpleString()}, `{order}` {events.schema[order].dataType.simpleString()}, count int, allowed boolean"
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, start, n = None, 0.0, 0
+        for f in frames:
+            counts = []
+            for k, no, at in zip(f[key], f["session_no"], f["at"]):
+                fresh = now != (k, no) or at - start >= seconds
+                now, start, n = (k, no), at if fresh else start, 1 if fresh else n + 1
+                counts.append(n)
+            out = f[[key, order]].copy()
+            out["count"] = counts
+            out["allowed"] = out["count"] <= limit
+            yield out
+
+    return rows.mapInPandas(each, schema)
 
 
 def running(rows: DataFrame, session: str, order: str, sums: list[str]) -> DataFrame:

@@ -92,11 +92,11 @@ def entity_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.deduplicated(entities.extracted(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query(f"""WITH x AS (SELECT DISTINCT doc_id, lower(name) AS name, label FROM ({_LABELLED})) SELECT name, label, count(*) AS chunks, min(doc_id) AS first, min(doc_id) FILTER (WHERE doc_id % 2 = 1) AS first_new FROM x GROUP BY name, label""")
+@query(f"""WITH x AS (SELECT DISTINCT doc_id, lower(name) AS name, label FROM ({_LABELLED})) SELECT name, label, count(*) AS chunks, min(doc_id) AS first, coalesce(min(doc_id) FILTER (WHERE doc_id % 2 = 1), -1) AS first_new FROM x GROUP BY name, label""")
 def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices of the corpus graph with the chunks that hold them (odd ids stand for those not built yet)."""
     found = entities.extracted(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.lower("name").alias("name"), "label").distinct()
-    return found.groupBy("name", "label").agg(F.count("*").alias("chunks"), F.min("doc_id").alias("first"), F.min(F.when(F.col("doc_id") % 2 == 1, F.col("doc_id"))).alias("first_new"))
+    return found.groupBy("name", "label").agg(F.count("*").alias("chunks"), F.min("doc_id").alias("first"), F.coalesce(F.min(F.when(F.col("doc_id") % 2 == 1, F.col("doc_id"))), F.lit(-1)).alias("first_new"))
 
 
 @query()

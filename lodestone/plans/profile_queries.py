@@ -237,22 +237,27 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.stratified(table(spark, sf_dir, "documents"), F.col("n_chars"), (2000, 5000), 20, "doc_id").select("class", "pick", "doc_id")
 
 
-_DETECT = ", ".join(f"len(regexp_extract_all(text, {_sql('(?i)' + p)})) AS {k}" for k, p in privacy.DETECTORS.items())
+#: Detectors that start with digits or address characters: for these the word boundaries of the JVM, which know all letters,
+#: and those of SQL, which know ASCII, agree. The others, and what is redacted by all, are held by tests.
+_PLAIN = ("email", "phone", "coordinates", "sin_ssn")
+_DETECT = ", ".join(f"len(regexp_extract_all(text, {_sql('(?i)' + privacy.DETECTORS[k])})) AS {k}" for k in _PLAIN)
 
 
-@query(f"SELECT doc_id, {_DETECT}, len(regexp_extract_all(text, {_sql(privacy.TITLED)})) AS titled FROM documents")
+@query(f"SELECT doc_id, {_DETECT} FROM documents")
 def pii_regex_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each detector finds in a document."""
-    text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", *(F.size(privacy.found(text, k)).alias(k) for k in privacy.DETECTORS), F.size(privacy.names(text)).alias("titled"))
+    """What each detector finds in a document."""
+    return table(spark, sf_dir, "documents").select("doc_id", *(F.size(privacy.found(F.col("text"), k)).alias(k) for k in _PLAIN))
 
 
-_REDACT = "text"
-for _k, _p in privacy.DETECTORS.items():
-    _REDACT = f"regexp_replace({_REDACT}, {_sql('(?i)' + _p)}, '{privacy.PLACEHOLDERS[_k]}', 'g')"
+@query()
+def pii_number_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plates, project and file numbers, and names behind titles."""
+    text = F.col("text")
+    rest = [k for k in privacy.DETECTORS if k not in _PLAIN]
+    return table(spark, sf_dir, "documents").select("doc_id", *(F.size(privacy.found(text, k)).alias(k) for k in rest), F.size(privacy.names(text)).alias("titled"))
 
 
-@query(f"SELECT doc_id, md5({_REDACT}) AS digest, length({_REDACT}) AS n FROM documents")
+@query()
 def pii_redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with placeholders for what the detectors find."""
     out = privacy.redacted(F.col("text"))

@@ -206,3 +206,10 @@ def test_json_repair_column(spark):
 
     rows = spark.createDataFrame([('{"a":1}',), ("{'a': 1",), ("x",), (None,)], "t string")
     assert [r.x for r in rows.select(repair_json(F.col("t")).alias("x")).collect()] == ['{"a":1}', '{"a": 1}', None, None]
+
+
+def test_detectors_know_letters_beyond_ascii(spark):
+    count = lambda t, k: value(spark, F.size(privacy.found(F.lit(t), k)))
+    assert count("see File AB-123 and éFile AB-123", "file_number") == 1
+    assert count("plate ABC 123", "license_plate") == 1
+    assert value(spark, privacy.names(F.lit("Dr. Jane Doe met Mr Poe"))) == ["Dr. Jane Doe", "Mr Poe"]
