@@ -13,7 +13,7 @@ from lodestone.llm import bpe_codec, decontamination, language_id, ngram_join
 from lodestone.llm.tasks import written
 
 #: Least share of a text that the words of its language must have.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
