@@ -213,3 +213,38 @@ def test_detectors_know_letters_beyond_ascii(spark):
     assert count("see File AB-123 and éFile AB-123", "file_number") == 1
     assert count("plate ABC 123", "license_plate") == 1
     assert value(spark, privacy.names(F.lit("Dr. Jane Doe met Mr Poe"))) == ["Dr. Jane Doe", "Mr Poe"]
+
+
+def test_tools_and_guard(spark, tmp_path):
+    from lodestone.plans.tools import Tool, Tools, read_only, run_sql
+    from lodestone.sources import lexicon
+
+    tools = Tools()
+    tools.add(Tool("first", lambda rows, n, by="id": rows.orderBy(by).limit(n), "search"))
+    assert tools.call("first", spark.range(5), n=2, other=1).count() == 2
+    assert tools.names("search") == ["first"] and tools.names("none") == []
+    with pytest.raises(TypeError):
+        tools.call("first", spark.range(5))
+    with pytest.raises(ValueError):
+        tools.add(Tool("first", lambda rows: rows))
+    assert read_only("select offset from settings") and not read_only("drop table x")
+    spark.range(1500).createOrReplaceTempView("many_rows")
+    assert run_sql(spark, "select * from many_rows").count() == 1000 and run_sql(spark, "select * from many_rows limit 1200").count() == 1200
+    with pytest.raises(PermissionError):
+        run_sql(spark, "insert into many_rows values (1)")
+    (tmp_path / "lexicon.json").write_text('{"synonyms": [["a", "b"]], "topics": null, "unknown": 1}')
+    assert lexicon.load(spark, str(tmp_path / "lexicon.json")) == lexicon.Lexicon(synonyms=[["a", "b"]])
+    assert lexicon.load(spark, None).topics == ["general"]
+
+
+def test_page_routing(spark):
+    from lodestone.operators import routing
+
+    assert [value(spark, routing.next_extractor(F.lit(x))) for x in ("text", "vision", "none")] == ["layout", None, None]
+    pages = spark.createDataFrame([("d", 1, "x" * 400), ("d", 2, "x" * 400), ("d", 3, "short")], "doc string, page int, text string")
+    figures = spark.createDataFrame([("d", 1, 10.0, 100.0), ("d", 2, 30.0, 100.0), ("d", 2, 1.0, 100.0), ("d", 3, 1.0, 100.0)], "doc string, page int, area double, page_area double")
+    assert sorted(r.page for r in routing.for_vision(pages, figures).collect()) == [2, 3]
+    charts = spark.createDataFrame([("d", 1, "{}", "a chart")], "doc string, page int, json string, text string")
+    assert [(r.page, r.content_type, r.text[:7]) for r in routing.with_charts(pages, charts).orderBy("position").collect()] == [(1, "prose", "xxxxxxx"), (1, "chart_data", "{}"), (1, "prose", "a chart"), (2, "prose", "xxxxxxx"), (3, "prose", "short")]
+    wanted = spark.createDataFrame([("d", 1, "text"), ("d", 2, "ocr")], "doc string, page int, extractor string")
+    assert {r.page: (r.text or "")[:1] for r in routing.merged({"text": pages, "ocr": pages.limit(0)}, wanted).collect()} == {1: "x", 2: ""}
