@@ -52,7 +52,7 @@ def _edges(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
 
 
 @query(f"""WITH {_EDGES}, s AS (SELECT 'p' || p_partkey AS seed FROM part WHERE p_partkey % 100 = 1), h1 AS (SELECT DISTINCT seed, dst AS id FROM s JOIN u ON src = seed), h2 AS (SELECT DISTINCT seed, dst AS id FROM h1 JOIN u ON src = id)
-, f AS (SELECT seed, seed AS id, 0 AS hops FROM s UNION ALL SELECT seed, id, 1 FROM h1 UNION ALL SELECT seed, id, 2 FROM h2) SELECT seed, id, min(hops) AS hops, CASE min(hops) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 ELSE 0.2 END AS score FROM f GROUP BY seed, id""")
+, f AS (SELECT seed, seed AS id, 0 AS hops FROM s UNION ALL SELECT seed, id, 1 FROM h1 UNION ALL SELECT seed, id, 2 FROM h2) SELECT seed, id, min(hops) AS hops, CASE min(hops) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 ELSE 0.2 END AS score FROM f GROUP BY seed, id""", score="DOUBLE")
 def hop_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies within two steps of each hundredth part, and its score."""
     seeds = table(spark, sf_dir, "part").where("p_partkey % 100 = 1").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
@@ -86,7 +86,7 @@ def _checkpoints(spark: SparkSession) -> str:
 _LABELLED = " UNION ALL ".join("SELECT doc_id, unnest(regexp_extract_all(text, '" + p.replace("'", "''") + f"')) AS name, '{label}' AS label, {c} AS confidence FROM documents" for label, p, c in entities.KINDS)
 
 
-@query(f"""WITH x AS ({_LABELLED}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(name), label ORDER BY confidence DESC, name) AS n FROM x) SELECT doc_id, name, label, confidence FROM r WHERE n = 1""")
+@query(f"""WITH x AS ({_LABELLED}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(name), label ORDER BY confidence DESC, name) AS n FROM x) SELECT doc_id, name, label, confidence FROM r WHERE n = 1""", confidence="DOUBLE")
 def entity_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled names in documents, each once."""
     return entities.deduplicated(entities.extracted(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
@@ -109,7 +109,7 @@ def entity_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 h AS (SELECT *, CASE WHEN regexp_matches(trim(line), '^(?:Chapter|CHAPTER)\\s+\\d+[:\\.\\s]') THEN 1 WHEN regexp_matches(trim(line), '^(?:PART|Part)\\s+[IVX\\d]+[:\\.\\s]') THEN 1 WHEN regexp_matches(trim(line), '^\\d+\\.\\s+[A-Z][A-Za-z]') THEN 2 WHEN regexp_matches(trim(line), '^\\d+\\.\\d+\\s+[A-Z][A-Za-z]') THEN 3
  WHEN regexp_matches(trim(line), '^\\d+\\.\\d+\\.\\d+\\s+[A-Z][A-Za-z]') THEN 4 WHEN regexp_matches(trim(line), '^#{1,4}\\s+') THEN length(regexp_extract(trim(line), '^(#+)', 1)) END AS level FROM l),
 s AS (SELECT *, sum(CASE WHEN level IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS section FROM h)
-SELECT doc_id, section, coalesce(max(CASE WHEN level IS NOT NULL THEN trim(line) END), '') AS heading, coalesce(max(level), 0) AS level, md5(string_agg(CASE WHEN level IS NULL THEN line END, chr(10) ORDER BY i)) AS digest FROM s GROUP BY doc_id, section HAVING count(*) FILTER (WHERE level IS NULL) > 0""")
+SELECT doc_id, section, coalesce(max(CASE WHEN level IS NOT NULL THEN trim(line) END), '') AS heading, coalesce(max(level), 0) AS level, md5(string_agg(CASE WHEN level IS NULL THEN line END, chr(10) ORDER BY i)) AS digest FROM s GROUP BY doc_id, section HAVING count(*) FILTER (WHERE level IS NULL) > 0""", section="BIGINT")
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of documents by their headings."""
     rows = chunking.sections(table(spark, sf_dir, "documents"))
@@ -223,7 +223,7 @@ def manifest_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(docs.where("doc_id % 3 = 0").select("hash").distinct(), "hash", "left_anti").select("doc_id", "hash")
 
 
-@query("SELECT source, count(*) AS files, sum(n_chars) AS size, arg_max(doc_id, n_chars * 1000000 - doc_id) AS largest, arg_min(doc_id, n_chars * 1000000 + doc_id) AS smallest FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS files, sum(n_chars) AS size, arg_max(doc_id, n_chars * 1000000 - doc_id) AS largest, arg_min(doc_id, n_chars * 1000000 + doc_id) AS smallest FROM documents GROUP BY source", size="BIGINT")
 def manifest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, size, largest and smallest of each source."""
     by = F.col("n_chars") * 1000000

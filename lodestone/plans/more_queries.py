@@ -142,7 +142,7 @@ def correction_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT user_id, ts, event_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)), f AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = (SELECT max(event_type) FROM events)),
-j AS (SELECT f.event_id, f.value FROM f WHERE EXISTS (SELECT 1 FROM a WHERE a.user_id = f.user_id AND a.ts <= f.ts AND a.ts >= f.ts - INTERVAL 1 DAY)), c AS (SELECT event_id, CASE WHEN value > 50 THEN least(1.0, 0.8 + 0.05) ELSE greatest(0.0, 0.8 - 0.15) END AS confidence FROM j) SELECT event_id, round(confidence, 6) AS confidence, confidence >= 0.7 AS active FROM c""")
+j AS (SELECT f.event_id, f.value FROM f WHERE EXISTS (SELECT 1 FROM a WHERE a.user_id = f.user_id AND a.ts <= f.ts AND a.ts >= f.ts - INTERVAL 1 DAY)), c AS (SELECT event_id, CASE WHEN value > 50 THEN least(1.0, 0.8 + 0.05) ELSE greatest(0.0, 0.8 - 0.15) END AS confidence FROM j) SELECT event_id, round(confidence, 6) AS confidence, confidence >= 0.7 AS active FROM c""", confidence="DOUBLE")
 def correction_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidences after feedback within a day of an application."""
     rows = table(spark, sf_dir, "events")

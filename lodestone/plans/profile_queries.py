@@ -52,7 +52,7 @@ s AS (SELECT conv_id, turn, depth, sum(junior) OVER o AS junior, sum(senior) OVE
 t AS (SELECT *, CASE WHEN senior > 0 AND junior > 0 THEN senior * 2 ELSE senior END AS se, CASE WHEN depth < 0.05 THEN 'junior' WHEN depth > 0.5 THEN 'senior' ELSE 'intermediate' END AS base FROM s),
 u AS (SELECT *, greatest(junior, se, management) AS most FROM t)
 SELECT conv_id, turn, junior, senior, management, CASE WHEN most >= 3 AND management = most THEN 'management' WHEN most >= 3 AND se = most THEN 'senior' WHEN most >= 3 THEN 'junior' WHEN most = 1 AND management = 1 THEN 'management'
- WHEN most = 1 AND se = 1 AND base <> 'junior' THEN 'senior' WHEN most = 1 AND junior = 1 AND base = 'junior' THEN 'junior' ELSE base END AS level FROM u""")
+ WHEN most = 1 AND se = 1 AND base <> 'junior' THEN 'senior' WHEN most = 1 AND junior = 1 AND base = 'junior' THEN 'junior' ELSE base END AS level FROM u""", junior="BIGINT", senior="BIGINT", management="BIGINT")
 def expertise_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signs of expertise so far in a session and the level that they give."""
     text = F.col("text")
@@ -96,7 +96,7 @@ _SURE = "CASE kind " + " ".join(f"WHEN {i} THEN {v}" for i, (_, v) in enumerate(
 
 
 @query(f"""WITH k AS (SELECT conv_id, turn, {_KIND} AS kind, list_sort(list_filter({list(c.CONTEXT_WORDS)}, lambda w: contains(lower(text), w)))[1:10] AS words FROM conversations)
-SELECT conv_id, turn, kind, {_SURE} AS confidence, array_to_string(words, ',') AS words FROM k WHERE kind IS NOT NULL""")
+SELECT conv_id, turn, kind, {_SURE} AS confidence, array_to_string(words, ',') AS words FROM k WHERE kind IS NOT NULL""", confidence="DOUBLE")
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages that correct an answer, which pattern shows it, how surely, and up to ten words of context."""
     numbered = [(p, i) for i, (p, _) in enumerate(c.CORRECTIONS)]
@@ -138,7 +138,7 @@ _SESSIONS = """e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS tm FROM eve
 n AS (SELECT *, sum(CASE WHEN idle IS NULL OR idle > {0} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY tm, event_id ROWS UNBOUNDED PRECEDING) AS session_no FROM g)"""
 
 
-@query(f"WITH {_SESSIONS.format(86400)} SELECT user_id, session_no, count(*) AS n, round(max(tm) - min(tm), 3) AS seconds FROM n GROUP BY user_id, session_no")
+@query(f"WITH {_SESSIONS.format(86400)} SELECT user_id, session_no, count(*) AS n, round(max(tm) - min(tm), 3) AS seconds FROM n GROUP BY user_id, session_no", session_no="BIGINT")
 def session_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that end after a day without access."""
     rows = sessions.sessions(table(spark, sf_dir, "events"), "user_id", F.col("ts"), 86400, "event_id")

@@ -213,7 +213,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH m AS (SELECT page_id, lower(url) AS url, rtrim(split_part(lower(url), '?', 1), '/') AS key FROM pages)
 SELECT page_id, key, quality, round(quality + 0.5 * (n - 1), 6) AS score FROM (SELECT page_id, key, CASE WHEN contains(url, 'example.org') THEN 2 WHEN contains(url, 'blog.') THEN 1 ELSE 0 END AS quality,
- count(*) OVER (PARTITION BY key) AS n, row_number() OVER (PARTITION BY key ORDER BY page_id) AS k FROM m) WHERE k = 1""")
+ count(*) OVER (PARTITION BY key) AS n, row_number() OVER (PARTITION BY key ORDER BY page_id) AS k FROM m) WHERE k = 1""", score="DOUBLE")
 def web_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses once each, with their quality and a lift for those found again."""
     rows = table(spark, sf_dir, "pages").select("page_id", text.url_key(F.col("url")).alias("key"), text.url_quality(F.col("url"), ("example.org",), ("blog.",)).alias("quality"))
@@ -240,7 +240,7 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.chunk_id(F.col("text"), F.col("source"), F.col("lang")).alias("chunk_id"))
 
 
-@query("SELECT lang AS topic, count(*) AS n, sum(count(*)) OVER () AS total FROM documents GROUP BY lang")
+@query("SELECT lang AS topic, count(*) AS n, sum(count(*)) OVER () AS total FROM documents GROUP BY lang", total="BIGINT")
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by topic and in all."""
     rows = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("topic")).agg(F.count("*").alias("n"))

@@ -15,11 +15,14 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, **casts: str) -> Callable[[Query], Query]:
+    """casts: types of columns for which SQL has wider ones (sums of whole numbers, decimal literals)."""
+
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            own = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in casts.items())
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({own}) FROM ({sql})" if casts else sql
         return f
 
     return register
