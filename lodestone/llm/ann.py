@@ -15,7 +15,6 @@ Vectors of different lengths never meet. Rows that repeat an id and vector are o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
