@@ -49,6 +49,19 @@ def test_repeated_passages_in_articles_stay():
     assert texts(*(page(i) for i in range(5))) == [f"own {i} a passage of more than eight words that all of the pages quote" for i in range(5)]
 
 
+def test_unique_page_among_near_copies_stays():
+    body = " ".join(f"w{k}" for k in range(60))
+    near = [f"<div class=x><p>{body} end{i}</p></div>" for i in range(10)]
+    own = "a text of one page alone that nothing else on the host repeats"
+    assert texts(*near, f"<div class=x><p>{own}</p></div>") == [f"end{i}" for i in range(10)] + [own]
+
+
+def test_unique_block_of_an_article_at_a_templated_place_stays():
+    line = " ".join(f"w{k}" for k in range(60))
+    page = lambda i, x: f"<article><p>own {i}</p><div class=more>{x}</div></article>"
+    assert texts(*(page(i, line) for i in range(10)), page(10, "unlike the others"))[9:] == ["own 9", "own 10 unlike the others"]
+
+
 def test_cover_equals_brute_force():
     r = np.random.default_rng(2)
     page = np.sort(r.integers(0, 6, 400))
