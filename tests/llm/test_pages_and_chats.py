@@ -86,6 +86,19 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_lots_change_no_text(spark, monkeypatch):
+    notice = "this notice stands on some pages of a host and mostly on fewer than three of any lot"
+    own = lambda i: " ".join(f"own{i * 31 + k}" for k in range(40))
+    page = lambda i: f"<div class=x><p>{own(i % 110)}</p>{'<p>' + notice + '</p>' if i % 12 == 0 else ''}</div>" + (f"<article><p>a{i}</p><div class=more>{notice}</div></article>" if i % 5 == 0 else "")
+    htmls = [page(i) for i in range(120)] + [None]
+    want = texts(*htmls)
+    assert not any("notice" in x for x in want) and all(x or h is None for x, h in zip(want, htmls))
+    df = spark.createDataFrame([(i, "http://hot.org/", x) for i, x in enumerate(htmls)] + [(1000, "http://small.org/", htmls[0])], "page_id long, url string, html string")
+    monkeypatch.setattr(html_extract, "GROUP_BYTES", 1000)
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == {**dict(enumerate(want)), 1000: texts(htmls[0])[0]}
+
+
 ROLES = ("system", "user", "assistant", "tool", None)
 
 
