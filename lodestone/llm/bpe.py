@@ -44,6 +44,10 @@ class WordBpe:
             whole = json.load(f)
         model, end = whole["model"], whole["model"]["end_of_word_suffix"]
         vocab = model["vocab"]
+        self.vocab, self.end = vocab, end
+        #: Spellings of tokens, and their beginnings; filled when first asked for.
+        self.whole: set[str] = set()
+        self.beginnings: set[str] = set()
         self.size = max(max(vocab.values()), *(x["id"] for x in whole["added_tokens"])) + 1
         letters = _byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
@@ -200,6 +204,36 @@ class WordBpe:
             self._learn(texts, starts[one], ends[one], distinct[new], letters[one], lower)
         return starts, ends, np.searchsorted(self.known, distinct)[which] if len(distinct) else np.zeros(0, np.int64)
 
+    def reach(self, piece: str, room: int) -> int:
+        """Characters of the longest prefix of a pre-token that `room` tokens may cover: an upper bound, as any tokens will do
+        and the last may go beyond it."""
+        normal = self.library.normalizer.normalize_str if self.library.normalizer else str
+        chars = [normal(c) for c in piece]
+        if len(piece) <= 64 or normal(piece) != "".join(chars):  # short, or characters that combine
+            return len(piece)
+        if not self.beginnings:
+            end = self.end
+            for x in self.vocab:
+                x = x.removesuffix(end)
+                self.whole.add(x)
+                self.beginnings.update(x[:k] for k in range(1, len(x) + 1))
+        letters = _byte_letters()
+        spelt = ["".join(letters[b] for b in c.encode()) for c in chars]
+        text = "".join(spelt)
+        n = len(text)
+        least = [room + 1] * (n + 1)  # tokens that cover exactly so much
+        least[0], far = 0, 0
+        for i in range(n):
+            if least[i] < room:
+                k = i + 1
+                while k <= n and text[i:k] in self.beginnings:
+                    if text[i:k] in self.whole:
+                        least[k] = min(least[k], least[i] + 1)
+                    k += 1
+                far = max(far, k - 1)
+        ends = np.cumsum([len(x) for x in spelt])
+        return int(np.searchsorted(ends, far, "right"))
+
     def counts(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and numbers of tokens of a slice's units."""
         starts, ends, place = self.look_up(texts)

@@ -2,8 +2,8 @@
 
 A text's prefix counts are built by dynamic programming over its units (runs of letters, single digits, marks; see
 `bpe`): count(end of unit i) = count(end of unit i - 1) + tokens of unit i, for no token reaches across units. A prefix
-that ends inside a unit has the count at the unit's start and that of the unit's own prefix, which one short table per
-unit holds. Budget questions are then searches in the table; no text is encoded again.
+that ends inside a unit has the count at the unit's start and that of the unit's own prefix. Budget questions are then
+searches in the table; of a text over the budget only the unit where it ends is encoded again, pre-token by pre-token.
 
 Null and empty texts have no bytes and no tokens. Rows that repeat are answered each. Columns other than the id and
 the text are not read.
@@ -21,6 +21,25 @@ from lodestone.llm.bytesio import Texts
 from lodestone.llm.tasks import by_slice
 
 
+#: Prefixes of a pre-token that are tried at once.
+TRIED = 16
+
+
+def _pieces(found, length: int) -> list[tuple[int, int, int]]:
+    """Starts, ends and tokens of an encoding's pre-tokens. A special token is one with the pre-token before it, to which
+    the marks of its own prefixes would belong."""
+    out: list[list[int]] = []
+    before = None
+    for word, (start, _), special in zip(found.word_ids, found.offsets, [x.startswith("<|") and x.endswith("|>") for x in found.tokens]):
+        if out and (special or word is not None and word == before):
+            out[-1][1] += 1
+        else:
+            out.append([start, 1])
+        before = None if special else word
+    ends = [start for start, _ in out[1:]] + [length]
+    return [(start if k else 0, end, n) for k, ((start, n), end) in enumerate(zip(out, ends))]
+
+
 class PrefixCounts:
     """Counts at the unit ends of one slice, for all its rows."""
 
@@ -36,14 +55,31 @@ class PrefixCounts:
         """Tokens of each row."""
         return self.total[self.first[1:]] - self.total[self.first[:-1]]
 
-    def inside(self, unit: int) -> np.ndarray:
-        """Tokens of each prefix of a unit by number of bytes; -1 inside a character."""
-        word = self.texts.data[self.starts[unit] : self.ends[unit]].tobytes()
-        ends = [k for k in range(len(word) + 1) if k == len(word) or word[k] & 0xC0 != 0x80]
-        found = self.bpe.library.encode_batch_fast([word[:k].decode() for k in ends], add_special_tokens=False)
-        out = np.full(len(word) + 1, -1, np.int64)
-        out[ends] = [len(x.ids) for x in found]
-        return out
+    def _word(self, unit: int) -> str:
+        return self.texts.data[self.starts[unit] : self.ends[unit]].tobytes().decode()
+
+    def _tokens(self, texts: list[str]) -> list[int]:
+        return [len(x.ids) for x in self.bpe.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def inside(self, unit: int, room: int) -> int:
+        """Characters of the longest prefix of a unit of up to `room` tokens. The count runs on over the library's own
+        pre-tokens; prefixes are tried only inside the one where room ends."""
+        word = self._word(unit)
+        for start, end, n in _pieces(self.bpe.library.encode(word, add_special_tokens=False), len(word)):
+            if n > room:
+                return start + self._within(word[start:end], room)
+            room -= n
+        return len(word)
+
+    def _within(self, piece: str, room: int) -> int:
+        """The same within a pre-token: from the longest prefix that so many tokens can cover down, a few at a time."""
+        most = self.bpe.reach(piece, room)
+        for a in range(most, 0, -TRIED):
+            sizes = range(a, max(0, a - TRIED), -1)
+            for k, n in zip(sizes, self._tokens([piece[:k] for k in sizes])):
+                if n <= room:
+                    return k
+        return 0
 
     def at(self, row: int, size: int) -> int:
         """Tokens of a row's first `size` bytes."""
@@ -51,7 +87,7 @@ class PrefixCounts:
         unit = int(np.searchsorted(self.ends, to, "right"))
         count = int(self.total[unit] - self.total[self.first[row]])
         if unit < len(self.starts) and self.starts[unit] < to:
-            count += int(self.inside(unit)[to - self.starts[unit]])
+            count += self._tokens([self.texts.data[self.starts[unit] : to].tobytes().decode()])[0]
         return count
 
     def fitting(self, budget: int) -> np.ndarray:
@@ -61,8 +97,8 @@ class PrefixCounts:
             base = self.total[self.first[row]]
             unit = int(np.searchsorted(self.total, base + budget, "right")) - 1  # the first that doesn't fit whole
             room = base + budget - self.total[unit]
-            inside = self.inside(unit)
-            out[row] = self.starts[unit] + np.flatnonzero((inside >= 0) & (inside <= room))[-1] - self.texts.offsets[row]
+            inside = self._word(unit)[: self.inside(unit, int(room))]
+            out[row] = self.starts[unit] + len(inside.encode()) - self.texts.offsets[row]
         return out
 
 

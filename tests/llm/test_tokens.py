@@ -80,6 +80,31 @@ def test_every_prefix(vocabulary, library):
                 assert size in fits and size >= max(f for f in fits if f <= size)
 
 
+def test_budget_inside_long_units(vocabulary, library):
+    r = np.random.default_rng(5)
+    pieces = ["word", "日本語", "中文字", "'ll", "'re", "'", "<", ">", "!!", "12", "é", "e\u0301", "<|endoftext|>", "<|startoftext|>", "ไทย", "a" * 30]
+    texts = ["".join(pieces[k] for k in r.integers(0, len(pieces), 12)) + "'" for _ in range(30)] + ["日本語中文" * 30, "'" + "abcdefghij" * 12]
+    for part in slices(pa.array(texts)):
+        counts = token_counts.PrefixCounts(word_bpe(vocabulary), part)
+        sizes = [[len(ids(library, t[:k])) for k in range(len(t) + 1)] for t in texts]
+        for budget in (0, 1, 2, 5, 9, 20, 33):
+            want = [len(t[: max(k for k, n in enumerate(own) if n <= budget)].encode()) for t, own in zip(texts, sizes)]
+            assert counts.fitting(budget).tolist() == want
+
+
+def test_long_unit_is_never_tried_whole(vocabulary, library, monkeypatch):
+    tried = []
+    real = token_counts.PrefixCounts._tokens
+    monkeypatch.setattr(token_counts.PrefixCounts, "_tokens", lambda self, texts: (tried.append(sum(map(len, texts))), real(self, texts))[1])
+    for text in ('{"a":1,<b>\'c\'},' * 14000, "日本語の文" * 13400, "'" + "abcdefgh" * 25000):
+        assert len(text.encode()) >= 200_000
+        for part in slices(pa.array([text])):
+            size = int(token_counts.PrefixCounts(word_bpe(vocabulary), part).fitting(2048)[0])
+        cut = text.encode()[:size].decode()
+        assert len(ids(library, cut)) <= 2048 < len(ids(library, text[: len(cut) + 1]))
+    assert max(tried) < 2_000_000 and sum(tried) < 100_000_000
+
+
 def test_prefix_table(awkward, vocabulary, library):
     for r in token_counts.prefix_table(awkward.where("doc_id in (2, 7, 11)"), vocabulary).collect():
         text = awkward.where(f"doc_id = {r.doc_id}").first().text.encode()
