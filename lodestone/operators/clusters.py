@@ -5,34 +5,71 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _unit(f: pd.DataFrame) -> np.ndarray:
+    x = np.stack(f["v"].to_numpy())
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norms == 0, 1, norms)
+
+
 def by_threshold(vectors: DataFrame, group: Column, least: float = 0.7, id_col: str = "vec_id", vector_col: str = "embedding", lot: int = 5000) -> DataFrame:
-    """Greedy clusters: in order of id, a vector not yet taken starts a cluster and takes all later ones with that cosine.
+    """(group, id, cluster). Greedy clusters: in order of id, a vector not yet taken starts a cluster and takes all later
+    ones with that cosine.
 
-    Runs in each group; a group of more than about `lot` rows is cut into lots by a hash of the id, each with clusters of
-    its own, so that no task holds an unbounded group.
+    Runs in each group, in rounds: the first `lot` rows by id that no earlier seed has taken are settled among themselves,
+    and their seeds then take what they can of the group's other rows, which are dealt to lots so that no task holds an
+    unbounded group. Clusters are the same at every lot. Groups of up to `lot` rows need one round; for others the
+    caller sets a checkpoint folder.
     """
     rows = vectors.select(group.alias("group"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     lots = rows.groupBy("group").agg(F.ceil(F.count("*") / lot).alias("lots"))
-    dealt = rows.join(F.broadcast(lots), "group").withColumn("lot", F.pmod(F.xxhash64("id"), "lots"))
+    kind = rows.schema["group"].dataType.simpleString()
 
-    def each(f: pd.DataFrame) -> pd.DataFrame:
+    def settle(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id", kind="stable")
-        x = np.stack(f["v"].to_numpy())
-        norms = np.linalg.norm(x, axis=1, keepdims=True)
-        x = x / np.where(norms == 0, 1, norms)
+        x = _unit(f)
         taken = np.full(len(x), -1)
         for i in range(len(x)):
             if taken[i] < 0:
                 free = np.flatnonzero(taken < 0)
-                taken[free[(free >= i) & (x[free] @ x[i] >= least)]] = i
+                taken[free[(free >= i) & ((x[free] * x[i]).sum(1) >= least)]] = i
                 taken[i] = i
-        return pd.DataFrame({"group": f["group"], "lot": f["lot"], "id": f["id"], "cluster": f["id"].to_numpy()[taken]})
+        seeds = [v if t == i else None for i, (t, v) in enumerate(zip(taken, f["v"]))]
+        return pd.DataFrame({"group": f["group"], "id": f["id"], "cluster": f["id"].to_numpy()[taken], "v": seeds})
 
-    kind = rows.schema["group"].dataType.simpleString()
-    return dealt.groupBy("group", "lot").applyInPandas(each, f"group {kind}, lot long, id long, cluster long")
+    def take(rest: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+        rest = rest[rest["id"] > seeds["last"].iloc[0]] if len(seeds) else rest
+        cluster = pd.array([None] * len(rest), dtype="Int64")
+        if len(rest) and len(seeds):
+            x, free = _unit(rest), np.arange(len(rest))
+            seeds = seeds.sort_values("id", kind="stable")
+            for i, v in zip(seeds["id"], _unit(seeds)):
+                hit = (x[free] * v).sum(1) >= least
+                cluster[free[hit]] = i
+                free = free[~hit]
+        return pd.DataFrame({"group": rest["group"], "lot": rest["lot"], "id": rest["id"], "v": rest["v"], "cluster": cluster})
+
+    def first(rest: DataFrame) -> DataFrame:
+        rank = F.rank().over(W.partitionBy("group").orderBy("id"))
+        return rest.select("group", "id", "v", rank.alias("k")).where(F.col("k") <= lot).groupBy("group").applyInPandas(settle, f"group {kind}, id long, cluster long, v array<double>")
+
+    rest = rows.join(F.broadcast(lots), "group").withColumn("lot", F.pmod(F.xxhash64("id"), "lots")).select("group", "lot", "id", "v")
+    if not lots.where("lots > 1").limit(1).count():
+        return first(rest).select("group", "id", "cluster")
+    out = None
+    while out is None or rest.limit(1).count():
+        head = first(rest).checkpoint()
+        last = head.groupBy("group").agg(F.max("id").alias("last"))
+        seeds = head.where("v is not null").join(F.broadcast(last), "group").join(F.broadcast(lots), "group")
+        seeds = seeds.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), "id", "v", "last")
+        met = rest.groupBy("group", "lot").cogroup(seeds.groupBy("group", "lot")).applyInPandas(take, f"group {kind}, lot long, id long, v array<double>, cluster long").checkpoint()
+        found = head.select("group", "id", "cluster").unionByName(met.where("cluster is not null").select("group", "id", "cluster"))
+        out = found if out is None else out.unionByName(found)
+        rest = met.where("cluster is null").drop("cluster")
+    return out
 
 
 def mixture(vectors: DataFrame, k: int, dims: int = 15, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -4,6 +4,7 @@ import io
 import zipfile
 
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,21 @@ def test_threshold_clusters_are_greedy_in_order(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def test_threshold_clusters_are_the_same_at_every_lot(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    r = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(r.normal(size=(3, 6)), 30, axis=0), r.normal(size=(60, 6))])[r.permutation(150)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for i in range(150):
+        for g in (0, 1):
+            if i % 5 != 0 or g == 0:
+                want[g, i] = next((s for s in range(i) if want.get((g, s)) == s and unit[s] @ unit[i] >= 0.7), i)
+    rows = spark.createDataFrame([(g, i, x[i].tolist()) for g, i in want], "g int, vec_id long, embedding array<double>").repartition(3)
+    for lot in (7, 5000):
+        assert {(r.group, r.id): r.cluster for r in clusters.by_threshold(rows, F.col("g"), 0.7, lot=lot).collect()} == want
+
+
 def test_diversity_respects_sources(spark):
     rows = spark.createDataFrame([(1, i, 1.0 - i / 10, "s" if i < 4 else "t", [f"w{i}", "x"]) for i in range(6)], "query_id long, doc_id long, score double, source string, words array<string>")
     got = ranking.diverse(rows, 4, per_source=2).orderBy("pick").collect()
