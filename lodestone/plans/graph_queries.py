@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import entities, text, units
 from lodestone.operators import chunking, clusters, evaluation, graph, vectors
 from lodestone.plans.search_queries import _BM25, _TOKENS, _bm25
-from lodestone.registry import query, table
+from lodestone.registry import ORACLES, query, table
 
 
 def _contains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,13 @@ def hop_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hop_scores(graph.hops(_edges(spark, sf_dir), seeds, 2))
 
 
+@query(ORACLES["hop_scores"].replace(" WHERE p_partkey % 100 = 1", ""))
+def hop_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies within two steps of every part, and its score."""
+    seeds = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
+    return graph.hop_scores(graph.hops(_edges(spark, sf_dir), seeds, 2))
+
+
 @query(f"""WITH {_EDGES} SELECT id, direction, count(*) AS n, min(other) AS first FROM (SELECT src AS id, dst AS other, 'outgoing' AS direction FROM e UNION ALL SELECT dst, src, 'incoming' FROM e) GROUP BY id, direction""")
 def entity_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of each vertex in either direction."""
@@ -76,6 +83,13 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.communities(_edges(spark, sf_dir, _SPARSE))
 
 
+@query()
+def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the graph of all orders and parts."""
+    spark.sparkContext.setCheckpointDir(_checkpoints(spark))
+    return graph.communities(_edges(spark, sf_dir))
+
+
 def _checkpoints(spark: SparkSession) -> str:
     """The folder that the cluster names; where it names none, as in tests, a temporary one."""
     import tempfile

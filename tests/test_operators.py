@@ -128,6 +128,30 @@ def test_threshold_clusters_are_the_same_at_every_lot(spark, tmp_path):
         assert {(r.group, r.id): r.cluster for r in clusters.by_threshold(rows, F.col("g"), 0.7, lot=lot).collect()} == want
 
 
+def test_components_and_hops_cover_all_rows(spark, tmp_path):
+    from lodestone.plans import graph_queries
+
+    lines = [(1, 1), (1, 2), (2, 2), (3, 3), (4, 3), (5, 7), (6, 7), (6, 4), (7, 5), (7, 5)]
+    spark.createDataFrame([(o, p, 1.0, 0.0) for o, p in lines], "l_orderkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p,) for p in range(1, 9)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    near = {}
+    for o, p in lines:
+        near.setdefault(f"o{o}", set()).add(f"p{p}")
+        near.setdefault(f"p{p}", set()).add(f"o{o}")
+
+    def within(seed, most):
+        found, front = {seed: 0}, {seed}
+        for k in range(1, most + 1):
+            front = {y for x in front for y in near.get(x, ())} - set(found)
+            found |= {x: k for x in front}
+        return found
+
+    got = {r.id: r.community for r in graph_queries.connected_components_all(spark, str(tmp_path)).collect()}
+    assert got == {x: min(within(x, 99)) for x in near}
+    hops = {(r.seed, r.id): r.hops for r in graph_queries.hop_scores_all(spark, str(tmp_path)).collect()}
+    assert hops == {(f"p{p}", x): k for p in range(1, 9) for x, k in within(f"p{p}", 2).items()}
+
+
 def test_diversity_respects_sources(spark):
     rows = spark.createDataFrame([(1, i, 1.0 - i / 10, "s" if i < 4 else "t", [f"w{i}", "x"]) for i in range(6)], "query_id long, doc_id long, score double, source string, words array<string>")
     got = ranking.diverse(rows, 4, per_source=2).orderBy("pick").collect()
