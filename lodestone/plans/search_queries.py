@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scores, text
 from lodestone.operators import lexical, ranking, vectors
-from lodestone.registry import query, table, words_list
+from lodestone.registry import ORACLES, query, table, words_list
 
 STOP = words_list(text.STOP_WORDS)
 _TOKENS = f"list_filter(regexp_extract_all(lower(text), '{text.TOKEN}'), lambda t: length(t) > 1 AND NOT list_contains({STOP}, t))"
@@ -211,6 +211,14 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(other, ["doc_id", "lang"]).select(F.col("doc_id").alias("a"), "b", F.round(text.jaccard(F.col("ws"), F.col("other")), 6).alias("jaccard"))
 
 
+@query(ORACLES["jaccard_pairs"].replace(" WHERE n_chars <= 2000", ""))
+def jaccard_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-set similarity of all neighbouring documents of a language, however long."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", text.word_set(F.col("text")).alias("ws"))
+    other = rows.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("ws").alias("other"), F.col("doc_id").alias("b"))
+    return rows.join(other, ["doc_id", "lang"]).select(F.col("doc_id").alias("a"), "b", F.round(text.jaccard(F.col("ws"), F.col("other")), 6).alias("jaccard"))
+
+
 @query(r"""WITH m AS (SELECT page_id, lower(url) AS url, rtrim(split_part(lower(url), '?', 1), '/') AS key FROM pages)
 SELECT page_id, key, quality, round(quality + 0.5 * (n - 1), 6) AS score FROM (SELECT page_id, key, CASE WHEN contains(url, 'example.org') THEN 2 WHEN contains(url, 'blog.') THEN 1 ELSE 0 END AS quality,
  count(*) OVER (PARTITION BY key) AS n, row_number() OVER (PARTITION BY key ORDER BY page_id) AS k FROM m) WHERE k = 1""", score="DOUBLE")

@@ -152,6 +152,16 @@ def test_components_and_hops_cover_all_rows(spark, tmp_path):
     assert hops == {(f"p{p}", x): k for p in range(1, 9) for x, k in within(f"p{p}", 2).items()}
 
 
+def test_jaccard_of_long_neighbours(spark, tmp_path):
+    from lodestone.plans import search_queries
+
+    long = " ".join(f"w{k}" for k in range(1000))
+    rows = [(1, long, "en", len(long)), (2, long + " x", "en", len(long) + 2), (3, "w1 y", "en", None), (4, "w1", "de", 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a, r.b): r.jaccard for r in search_queries.jaccard_pairs_all(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): round(1000 / 1001, 6), (2, 3): round(1 / 1002, 6)}
+
+
 def test_diversity_respects_sources(spark):
     rows = spark.createDataFrame([(1, i, 1.0 - i / 10, "s" if i < 4 else "t", [f"w{i}", "x"]) for i in range(6)], "query_id long, doc_id long, score double, source string, words array<string>")
     got = ranking.diverse(rows, 4, per_source=2).orderBy("pick").collect()
