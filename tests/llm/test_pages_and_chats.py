@@ -158,3 +158,79 @@ def test_conversations(spark):
         built = [x for r in rs for x in [*r.inserted, *([] if r.action == "merge" else [r.new_role])]] + list(rs[-1].appended)
         assert legal(built), c
     assert chat_format.repair(df.limit(0)).count() == 0
+
+
+def brute_host(pages):
+    """Texts of pages without articles: all pairs of pages, all substrings of eight tokens, plain sets."""
+    parsed = [[t for _, t, _ in html_extract.blocks(x or "")] for x in pages]
+    tokens = [[w for t in p for w in t.split(" ")] for p in parsed]
+    holders = {}
+    for p, own in zip(parsed, tokens):
+        for i in range(len(own) - 7):
+            holders.setdefault(tuple(own[i : i + 8]), set()).add("\n".join(p))
+    out = []
+    for own in tokens:
+        gone = {i + k for i in range(len(own) - 7) if len(holders[tuple(own[i : i + 8])]) >= 3 for k in range(8)}
+        out.append(" ".join(w for i, w in enumerate(own) if i not in gone))
+    return out
+
+
+def drawn_pages(n, seed):
+    r = np.random.default_rng(seed)
+    passages = [" ".join(f"p{k}x{i}" for i in range(r.integers(3, 25))) for k in range(8)]
+    own = lambda: " ".join(f"w{x}" for x in r.integers(0, 40, r.integers(1, 30)))
+    pages = ["".join(f"<div class=c{r.integers(3)}>{passages[r.integers(8)] if r.random() < 0.5 else own()}</div>" for _ in range(r.integers(1, 7))) for _ in range(n)]
+    return pages + pages[:3]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_open_pages_equal_brute_force(seed):
+    pages = drawn_pages(40, seed)
+    want = brute_host(pages)
+    assert texts(*pages) == want and sum(map(len, want)) < sum(len(html_extract.blocks(x)) for x in pages) * 200
+
+
+def test_the_suffix_array_decides(monkeypatch):
+    pages = drawn_pages(40, 9)
+    with_array = texts(*pages)
+    monkeypatch.setattr(html_extract, "cover", lambda rank, hit, long=8: np.zeros(len(rank), bool))
+    assert texts(*pages) != with_array
+
+
+def test_lots_equal_brute_force(spark, monkeypatch):
+    pages = drawn_pages(60, 5)
+    monkeypatch.setattr(html_extract, "GROUP_BYTES", 800)
+    df = spark.createDataFrame([(i, "http://h/", x) for i, x in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    assert [r.text for r in html_extract.extract(df).orderBy("page_id").collect()] == brute_host(pages)
+
+
+def test_suffix_array_is_sorted_with_common_prefixes():
+    r = np.random.default_rng(1)
+    for n, kinds in ((0, 1), (1, 1), (60, 1), (200, 2), (300, 20)):
+        page, tokens = np.sort(r.integers(0, 5, n)), r.integers(0, kinds, n)
+        order, common = html_extract.suffix_array(tokens, page)
+        suffix = lambda i: tokens[i : np.searchsorted(page, page[i], "right")].tolist()  # noqa: B023, E731
+        assert order.tolist() == sorted(range(n), key=lambda i: (suffix(i), i))  # noqa: B023
+        for k in range(1, n):
+            a, b = suffix(order[k - 1]), suffix(order[k])
+            assert common[k] == next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_articles_in_wrappers_and_marked_paragraphs():
+    assert texts('<div class="skip"><article><p>a</p></article></div>') == ["a"]
+    assert texts('<div class="share-price-report"><article>b<div class=ad>c</div></article></div><nav>d</nav>') == ["b"]
+    assert texts('<div class="related"><article>teaser</article></div><div>the open text of the page</div>') == ["the open text of the page"]
+    assert texts('<div class="related"><article>teaser</article></div><article>own</article>') == ["own"]
+    assert texts('<div id="comments"><article>me</article></div>', "<div hidden><article>x</article></div>") == ["", ""]
+    assert texts('<article>a<p class="advert">buy</p><p>b<p class="promo">c<div>d</div></article>') == ["a b d"]
+
+
+def test_deep_and_broken_nesting_stays_small():
+    import tracemalloc
+
+    deep = "<div>" * 50_000 + "text" + "</section>" * 50_000 + "<a class=ad>" * 20_000 + "x" + "</b>" * 20_000
+    tracemalloc.start()
+    assert texts(deep, "<a " * 50_000, "<a '" * 50_000)[0] == "text"
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
