@@ -1,8 +1,11 @@
 """Token files with Re-Pair grammars: ids of many documents on disk, any document decoded by itself.
 
-Documents are dealt by ranges of id and stand in ascending order (null ids first, then ties by text). A task gathers
-the ids of consecutive documents into blocks of bounded size. In a block the most frequent pairs of neighbouring ids
-are replaced by new symbols, again and again; no pair reaches across documents. A block is one row of the files:
+Documents are dealt by ranges of id and of a hash of their text, so that one id of very many rows is no single task's,
+and stand in ascending order (null ids first, then ties by that hash). A task gathers the ids of consecutive documents
+into blocks of bounded size. In a block the most frequent pairs of neighbouring ids are replaced by new symbols, again
+and again until no pair occurs LEAST times; no pair reaches across documents. Each round counts all pairs anew and takes
+those at least half as frequent as the most frequent one; where two of them touch, the more frequent is replaced. A
+block is one row of the files:
 
 - `symbols`: the reduced sequence, as little-endian 16- or 32-bit numbers (`width`);
 - `rules`: two symbols for each new symbol, in the order in which they were made;
@@ -10,7 +13,6 @@ are replaced by new symbols, again and again; no pair reaches across documents.
 - `doc_id`, `heads`, `starts`: per document its id, first symbol, and ids before it in the part;
 - `part`, `before`: the part (its number is its place in the order), and the ids before the block in it.
 
-Rules are made for ROUNDS rounds of up to RULES each, for pairs that occur at least LEAST times in a block.
 A null or empty text is a document of the end id alone. Repeated rows are kept as they are.
 """
 
@@ -30,49 +32,73 @@ from lodestone.llm.bpe import gather, word_bpe
 from lodestone.llm.bytesio import slices
 from lodestone.llm.tasks import shared_folder, small_batches
 
-ROUNDS, RULES, LEAST = 4, 512, 24
+LEAST = 24
+#: Slots in which pairs are counted roughly first, as a power of two.
+SLOTS = 19
 #: Ids in a block, but for a longer document.
 BLOCK = 1 << 20
 
 
-def repair(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, symbols of each document, and rules (n by 2) of a block. base: the first new symbol."""
+def repair(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int | None = None, rules: int | None = None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, symbols of each document, and rules (n by 2) of a block. base: the first new symbol. rounds and rules, if
+    given, are the most rounds and the most rules of each."""
     seq = ids.astype(np.int64)
     ends = np.zeros(len(seq), bool)
     ends[np.cumsum(lengths) - 1] = True
     made: list[np.ndarray] = []
-    count = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        size = base + count + rules
+    count, most = 0, len(seq)
+    while len(seq) > 1 and (rounds is None or len(made) < rounds):
+        size = base + count
         key = seq[:-1] * size + seq[1:]
         key[ends[:-1]] = -1
-        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(45)).astype(np.int64)
-        often = np.bincount(slot, minlength=1 << 19) >= least
-        maybe = np.flatnonzero(often[slot] & (key >= 0))
-        found, n = np.unique(key[maybe], return_counts=True)
-        keep = n >= least
-        found, n = found[keep], n[keep]
-        if not len(found):
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int32)
+        rough = np.bincount(slot, minlength=1 << SLOTS)
+        rough[slot[np.flatnonzero(key < 0)[:1]]] -= int((key < 0).sum())
+        # a slot's count bounds those of its pairs: the bound of this round is lowered until a pair reaches it
+        most = min(most, int(rough.max()))
+        if most < least:
             break
-        best = np.sort(found[np.argsort(-n, kind="stable")[:rules]])
-        at = np.searchsorted(best, key[maybe])
-        at[at == len(best)] = 0
-        hit = best[at] == key[maybe]
+        while True:
+            bound = max(least, (most + 1) // 2)
+            maybe = np.flatnonzero((rough >= bound)[slot] & (key >= 0))
+            found, n = np.unique(key[maybe], return_counts=True)
+            top = int(n.max()) if len(n) else 0
+            if top >= bound or bound == least:
+                break
+            most = bound
+        most = min(most, max(top, bound))
+        keep = n >= max(least, (top + 1) // 2)
+        if not keep.any():
+            break
+        found, n = found[keep], n[keep]
+        if rules is not None:
+            best = np.sort(np.lexsort((found, -n))[:rules])
+            found, n = found[best], n[best]
+        rank = np.empty(len(found), np.int64)
+        rank[np.lexsort((found, -n))] = np.arange(len(found))
+        at = np.searchsorted(found, key[maybe])
+        at[at == len(found)] = 0
+        hit = found[at] == key[maybe]
         place, rule = maybe[hit], at[hit]
-        # of places that touch, every other one
-        run = np.ones(len(place), bool)
-        run[1:] = np.diff(place) != 1
-        which = np.arange(len(place)) - np.maximum.accumulate(np.where(run, np.arange(len(place)), 0))
+        # of places of one pair that touch (as in aaaa), every other one; of others that touch, the more frequent pair
+        same = np.zeros(len(place), bool)
+        same[1:] = (np.diff(place) == 1) & (rule[1:] == rule[:-1])
+        which = np.arange(len(place)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(place))))
         place, rule = place[which % 2 == 0], rule[which % 2 == 0]
-        seq[place] = base + count + rule
+        touch = np.diff(place) == 1
+        lower = rank[rule[1:]] < rank[rule[:-1]]
+        stays = np.ones(len(place), bool)
+        stays[:-1] &= ~(touch & lower)
+        stays[1:] &= ~(touch & ~lower)
+        place, rule = place[stays], rule[stays]
+        used, rule = np.unique(rule, return_inverse=True)
+        seq[place] = size + rule
         ends[place] = ends[place + 1]
         stay = np.ones(len(seq), bool)
         stay[place + 1] = False
         seq, ends = seq[stay], ends[stay]
-        made.append(np.stack([best // size, best % size], axis=1))
-        count += len(best)
+        made.append(np.stack([found[used] // size, found[used] % size], axis=1))
+        count += len(used)
     counts = np.diff(np.concatenate([[0], np.flatnonzero(ends) + 1]))
     return seq, counts, np.concatenate(made) if made else np.zeros((0, 2), np.int64)
 
@@ -104,6 +130,17 @@ class Block:
         own = self.symbols[start:end]
         return gather(self.flat, self.heads[own], self.sizes[own])
 
+    def ids(self, start: int, end: int, first: int, count: int) -> np.ndarray:
+        """Ids first to first + count - 1 of the document of symbols start to end - 1: the symbols that hold them are found
+        by the sizes, and only these are expanded."""
+        after = np.cumsum(self.sizes[self.symbols[start:end]])
+        count = max(0, min(count, int(after[-1]) - first if len(after) else 0))
+        if not count:
+            return np.zeros(0, np.int64)
+        a, b = np.searchsorted(after, [first, first + count - 1], "right")
+        skip = first - (int(after[a - 1]) if a else 0)
+        return self.decode(start + a, start + b + 1)[skip : skip + count]
+
 
 _LISTS = (("doc_id", pa.int64()), ("heads", pa.int64()), ("starts", pa.int64()))
 _SCHEMA = T.StructType(
@@ -116,7 +153,8 @@ _SCHEMA = T.StructType(
 def write(docs: DataFrame, vocabulary: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> None:
     """Writes the files to a folder. Ids of documents must be whole numbers."""
     small_batches(docs.sparkSession)
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
@@ -165,7 +203,7 @@ def read(spark, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in _SCHEMA.names}
-                block = Block(*(row[c].as_py() for c in ("symbols", "width", "rules", "sizes", "base")))
+                block = _block({c: row[c].as_py() for c in ("symbols", "width", "rules", "sizes", "base")})
                 ids, heads, starts = (row[c].values for c, _ in _LISTS)
                 bounds = [*heads.to_pylist(), len(block.symbols)]
                 sums = [zlib.crc32(block.decode(a, b).astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:])]
@@ -183,6 +221,34 @@ def read(spark, path: str) -> DataFrame:
     return found.select("doc_id", (F.col("parts_before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _block(row: dict) -> Block:
+    return Block(*(row[c] for c in ("symbols", "width", "rules", "sizes", "base")))
+
+
+def fetch(spark, path: str, asked: DataFrame) -> DataFrame:
+    """Random access: for each row of asked (doc_id, first, count), the ids from `first` (0: the document's first) on, up to
+    `count` of them, as ids; nothing where there is no such document. Only blocks that hold one are read into tasks."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    blocks = spark.read.schema(_SCHEMA).parquet(path)
+    places = blocks.select("part", "block", F.posexplode("doc_id").alias("place", "doc_id"))
+    wanted = asked.select("doc_id", "first", "count").join(places, "doc_id")
+
+    def each(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = []
+        for row in held.to_pylist():
+            block = _block(row)
+            bounds = [*row["heads"], len(block.symbols)]
+            for x in asked.to_pylist():
+                out.append((x["doc_id"], x["first"], x["count"], block.ids(bounds[x["place"]], bounds[x["place"] + 1], x["first"], x["count"]).tolist()))
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["doc_id", "first", "count", "ids"])
+
+    # one block's row may meet many questions, and each question all blocks that hold a document of its id
+    wanted = wanted.select(F.col("part").alias("of_part"), F.col("block").alias("of_block"), "place", "doc_id", "first", "count")
+    held = spark.read.schema(_SCHEMA).parquet(path)
+    some = held.join(wanted.select("of_part", "of_block").distinct(), (F.col("part") == F.col("of_part")) & (F.col("block") == F.col("of_block")), "left_semi")
+    return wanted.groupBy("of_part", "of_block").cogroup(some.groupBy("part", "block")).applyInArrow(each, "doc_id long, first long, count long, ids array<bigint>")
+
+
 def stored_digests(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Writes the documents' files to the shared folder and reads them back; see read()."""
     path = shared_folder(docs.sparkSession)

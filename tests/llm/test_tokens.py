@@ -139,3 +139,49 @@ def test_empty_tables(nothing, vocabulary):
     assert bpe_codec.round_trip_digests(nothing, vocabulary).count() == 0
     assert token_counts.token_counts(nothing, vocabulary, 5).count() == 0
     assert token_store.stored_digests(nothing, vocabulary, 1).count() == 0
+
+
+def pairs_left(symbols, counts):
+    """How often each pair of neighbours occurs within documents, of aaa one."""
+    found, at = {}, 0
+    for n in counts.tolist():
+        own, i = symbols[at : at + n].tolist(), 0
+        last = None
+        for i in range(len(own) - 1):
+            pair = (own[i], own[i + 1])
+            if pair[0] == pair[1] and last == (pair, i - 1):
+                last = None
+                continue
+            found[pair] = found.get(pair, 0) + 1
+            last = (pair, i)
+        at += n
+    return found
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_no_frequent_pair_is_left_and_any_place_decodes(seed):
+    r = np.random.default_rng(seed)
+    phrases = [r.integers(0, 30, r.integers(2, 12)) for _ in range(20)]
+    docs = [np.concatenate([phrases[k] for k in r.integers(0, 20, r.integers(1, 60))]) for _ in range(80)] + [np.full(1001, 7), np.array([3])]
+    ids, lengths = np.concatenate(docs), np.array([len(d) for d in docs])
+    symbols, counts, rules = token_store.repair(ids, lengths, 30, least=6)
+    assert max(pairs_left(symbols, counts).values()) < 6 and len(symbols) < len(ids) / 3
+    sizes, _ = token_store.expansions(rules, 30)
+    block = token_store.Block(symbols.astype("<u4").tobytes(), 4, rules.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), 30)
+    heads = np.append(0, np.cumsum(counts))
+    for k, doc in enumerate(docs):
+        assert block.decode(heads[k], heads[k + 1]).tolist() == doc.tolist()
+        for first, count in ((0, 1), (int(r.integers(0, len(doc))), int(r.integers(0, 40))), (len(doc) - 1, 5), (len(doc), 2)):
+            assert block.ids(heads[k], heads[k + 1], first, count).tolist() == doc[first : first + count].tolist()
+
+
+def test_fetch_from_files(spark, awkward, awkward_texts, vocabulary, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary)
+    path = f"file://{tmp_path}/store"
+    token_store.write(awkward, vocabulary, 1, path, block=2000)
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in awkward_texts}
+    asked = [(8, 0, 5), (8, 70000, 30), (1, 0, 3), (4, 10, 10), (10, 2, 1000), (999, 0, 1)]
+    got = token_store.fetch(spark, path, spark.createDataFrame(asked, "doc_id long, first long, count long")).collect()
+    assert sorted((r.doc_id, r.first, list(r.ids)) for r in got) == sorted((i, a, want[i][a : a + n]) for i, a, n in asked if i in want)
