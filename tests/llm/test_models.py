@@ -38,23 +38,96 @@ def test_unigrams_equal_brute_force(awkward, awkward_texts, nothing):
 
 def test_probabilities_sum_to_one():
     r = np.random.default_rng(0)
-    keys = r.integers(0, 2**63, 500).astype(np.uint64)
-    counts = r.integers(1, 50, 500)
-    ending = (keys & np.uint64(lm_scoring.ENDINGS - 1)).astype(np.int64)
-    size = np.bincount(ending, weights=counts, minlength=lm_scoring.ENDINGS).astype(np.int64)
-    kinds = np.bincount(ending, minlength=lm_scoring.ENDINGS)
-    own = np.sort(keys[:31])
-    own = np.sort(np.append(own, lm_scoring.END))
-    of = dict(zip(keys.tolist(), counts.tolist()))
-    model = lm_scoring.Model(own, np.array([of.get(int(k), 0) for k in own]), size, kinds)
-    model.weights = r.normal(size=model.weights.shape).astype(np.float32)
-    history = np.array([[5, lm_scoring.HASHED + 7, 2 * lm_scoring.HASHED + 9]])
-    every = np.unique(np.append(keys, own))
-    goal = lm_scoring.classes(every, own)
-    known = model.log_classes(np.repeat(history, len(every), 0), goal) + model.log_tokens(goal, np.array([of.get(int(k), 0) for k in every]))
-    unknown = np.arange(lm_scoring.ENDINGS)  # one unknown token a class
-    rest = model.log_classes(np.repeat(history, len(unknown), 0), unknown) + model.log_tokens(unknown, np.zeros(len(unknown)))
-    assert np.exp(known).sum() + np.exp(rest).sum() == pytest.approx(1.0, abs=1e-5)
+    keys = np.unique(r.integers(0, 2**63, 3000).astype(np.uint64))
+    counts = r.integers(1, 50, len(keys))
+    size, kinds = (np.bincount(lm_scoring.usual_leaf(keys), weights=w, minlength=lm_scoring.WIDE**2).astype(np.int64) for w in (counts, counts > 0))
+    for n_own in (lm_scoring.OWN, 40, 1):
+        own = np.append(keys[: n_own - 1], lm_scoring.END)
+        model = lm_scoring.Model(own, np.append(counts[: n_own - 1], 0), size, kinds)
+        for w in model.weights:
+            w[:] = r.normal(size=w.shape)
+        every, n = np.append(keys, lm_scoring.END), np.append(counts, 0)
+        history = np.array([[5], [7], [9]], np.uint64)
+        leaf = model.leaf(every)
+        known = model.log_leaves(np.repeat(history, len(every), 1), leaf) + model.log_tokens(leaf, n)
+        rest = np.arange(lm_scoring.OWN, lm_scoring.WIDE**2)  # one unknown token a leaf
+        unknown = model.log_leaves(np.repeat(history, len(rest), 1), rest) + model.log_tokens(rest, np.zeros(len(rest)))
+        assert np.exp(known).sum() + np.exp(unknown).sum() == pytest.approx(1.0, abs=1e-5)
+
+
+def brute_model(rows, held):
+    """The model of plain dictionaries, all weights 0: what the rounds and the scores need, token by token."""
+    wide = lm_scoring.WIDE
+    texts = [lm_scoring.Tokens(next(slices(pa.array([t or ""], pa.string())))) for _, t in rows]
+    keys = [[int(k) for k in t.key] for t in texts]
+    histories = [[tuple(int(x) for x in h) for h in t.history().T] for t in texts]
+    count = Counter(k for k_, h in zip(keys, held) if not h for k in k_)
+    signed = lambda k: k - (1 << 64) if k >> 63 else k
+    own = sorted(count, key=lambda k: (-count[k], signed(k)))[: lm_scoring.OWN]
+    if int(lm_scoring.END) not in own:
+        own = [*own[: lm_scoring.OWN - 1], int(lm_scoring.END)]
+    usual = {k: int(lm_scoring.usual_leaf(np.array([k], np.uint64))[0]) for k_ in keys for k in k_}
+    leaf = {k: own.index(k) if k in own else usual[k] for k in usual}
+    size, kinds = Counter(), Counter()
+    for k, n in count.items():
+        if k not in own:
+            size[leaf[k]] += n
+            kinds[leaf[k]] += 1
+    mass = {x: size[x] + 0.5 for x in range(lm_scoring.OWN, wide * wide)} | {i: count[k] + 0.5 for i, k in enumerate(own)}
+    whole = [sum(mass.get(c * wide + x, 0) for x in range(wide)) for c in range(wide)]
+    weights = [Counter(), Counter()]
+
+    def places(level, history, c):
+        inner = lm_scoring.mix(np.array([(h * wide + c) % (1 << 64) for h in history], np.uint64)).tolist()
+        return [(k, h % lm_scoring.HASHED[level]) for k, h in enumerate(inner if level else history)]
+
+    def chances(level, history, c):
+        at = places(level, history, c)
+        bias = [mass.get(c * wide + x, 0) / whole[c] if level else whole[x] / sum(whole) for x in range(wide)]
+        x = [b * math.exp(sum(weights[level][p, i] for p in at)) for i, b in enumerate(bias)]
+        return at, [v / sum(x) for v in x]
+
+    return keys, histories, count, leaf, size, kinds, weights, chances
+
+
+def test_scores_equal_brute_force_however_rows_are_dealt(spark):
+    r = random.Random(5)
+    vocabulary = [f"{a}{i}{e}" for i in range(150) for a, e in (("k", "ou"), ("m", "ung"), ("x", "é"), ("b", "a"))]
+    rows = [(i, " ".join(r.choice(vocabulary[: 20 + 29 * (i % 21)]) for _ in range(r.randint(0, 60)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    of_round = {x.doc_id: x.r for x in df.select("doc_id", F.expr(f"pmod(xxhash64(doc_id, text), {lm_scoring.ROUNDS})").alias("r")).collect()}
+    held = [i % 4 == 1 for i, _ in rows]
+    keys, histories, count, leaf, size, kinds, weights, chances = brute_model(rows, held)
+    for number in range(lm_scoring.ROUNDS):
+        met, expected = [Counter(), Counter()], [Counter(), Counter()]
+        for (i, _), h, ks, hs in zip(rows, held, keys, histories):
+            if not h and of_round[i] == number:
+                for k, history in zip(ks, hs):
+                    c, x = divmod(leaf[k], lm_scoring.WIDE)
+                    for level, goal in ((0, c), (1, x)):
+                        at, p = chances(level, history, c)
+                        for place in at:
+                            met[level][place, goal] += 1
+                            for j, v in enumerate(p):
+                                expected[level][place, j] += v
+        for level in (0, 1):
+            n = Counter()
+            for (place, _), v in met[level].items():
+                n[place] += v
+            for (place, j), e in expected[level].items():
+                if e > 1e-12 * n[place]:
+                    drawn = lm_scoring.PRIOR * e / n[place]
+                    weights[level][place, j] += (lm_scoring.RATE if number else lm_scoring.FIRST) * math.log((met[level][place, j] + drawn) / (e + drawn))
+    want = {}
+    for (i, _), ks, hs in zip(rows, keys, histories):
+        want[i] = 0.0
+        for k, history in zip(ks, hs):
+            c, x = divmod(leaf[k], lm_scoring.WIDE)
+            share = 1.0 if leaf[k] < lm_scoring.OWN else (count[k] + 0.5) / (size[leaf[k]] + 0.5 * (kinds[leaf[k]] + 1))
+            want[i] += math.log10(chances(0, history, c)[1][c]) + math.log10(chances(1, history, c)[1][x]) + math.log10(share)
+    for parts in (1, 8):
+        got = {x.doc_id: x.score for x in lm_scoring.score(df.repartition(parts), F.col("doc_id") % 4 == 1).collect()}
+        assert got == {i: pytest.approx(v, rel=1e-5) for i, v in want.items()}
 
 
 def test_model_beats_unigrams_on_text_held_out(spark):
