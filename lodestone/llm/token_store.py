@@ -4,7 +4,7 @@ Documents are dealt by ranges of id and of a hash of their text, so that one id
 and stand in ascending order (null ids first, then ties by that hash). A task gathers the ids of consecutive documents
 into blocks of bounded size. In a block the most frequent pairs of neighbouring ids are replaced by new symbols, again
 and again until no pair occurs LEAST times; no pair reaches across documents. Each round counts all pairs anew and takes
-those at least half as frequent as the most frequent one; where two of them touch, the more frequent is replaced. A
+those at least a quarter as frequent as the most frequent one; where two of them touch, the more frequent is replaced. A
 block is one row of the files:
 
 - `symbols`: the reduced sequence, as little-endian 16- or 32-bit numbers (`width`);
@@ -42,65 +42,66 @@ BLOCK = 1 << 20
 def repair(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int | None = None, rules: int | None = None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, symbols of each document, and rules (n by 2) of a block. base: the first new symbol. rounds and rules, if
     given, are the most rounds and the most rules of each."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     ends = np.zeros(len(seq), bool)
     ends[np.cumsum(lengths) - 1] = True
     made: list[np.ndarray] = []
     count, most = 0, len(seq)
     while len(seq) > 1 and (rounds is None or len(made) < rounds):
         size = base + count
-        key = seq[:-1] * size + seq[1:]
-        key[ends[:-1]] = -1
-        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int32)
-        rough = np.bincount(slot, minlength=1 << SLOTS)
-        rough[slot[np.flatnonzero(key < 0)[:1]]] -= int((key < 0).sum())
-        # a slot's count bounds those of its pairs: the bound of this round is lowered until a pair reaches it
+        inside = ~ends[:-1]
+        if size <= 1 << 16:  # pairs fit in 32 bits
+            key = seq[:-1] * np.uint32(size) + seq[1:]
+            slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)
+        else:
+            key = seq[:-1].astype(np.uint64) * np.uint64(size) + seq[1:]
+            slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.uint32)
+        rough = np.bincount(slot[inside], minlength=1 << SLOTS)
+        # a slot's count bounds those of its pairs: this round's bound goes down until a pair reaches it
         most = min(most, int(rough.max()))
-        if most < least:
-            break
-        while True:
-            bound = max(least, (most + 1) // 2)
-            maybe = np.flatnonzero((rough >= bound)[slot] & (key >= 0))
+        while most >= least:
+            bound = max(least, (most + 3) // 4)
+            maybe = np.flatnonzero((rough >= bound)[slot] & inside)
             found, n = np.unique(key[maybe], return_counts=True)
-            top = int(n.max()) if len(n) else 0
-            if top >= bound or bound == least:
+            most = int(n.max()) if len(n) and n.max() >= bound else bound - 1
+            if most >= bound:
                 break
-            most = bound
-        most = min(most, max(top, bound))
-        keep = n >= max(least, (top + 1) // 2)
-        if not keep.any():
+        if most < least:
             break
+        keep = n >= max(least, (most + 3) // 4)
         found, n = found[keep], n[keep]
-        if rules is not None:
-            best = np.sort(np.lexsort((found, -n))[:rules])
-            found, n = found[best], n[best]
-        rank = np.empty(len(found), np.int64)
-        rank[np.lexsort((found, -n))] = np.arange(len(found))
-        at = np.searchsorted(found, key[maybe])
-        at[at == len(found)] = 0
-        hit = found[at] == key[maybe]
-        place, rule = maybe[hit], at[hit]
+        order = np.lexsort((found, -n))[:rules]  # the most frequent first
+        found = found[order]
+        # of pairs in one slot, the most frequent; others wait for the next round
+        own = ((found * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)) if size <= 1 << 16 else ((found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.uint32)
+        table = np.zeros(1 << SLOTS, np.int32)
+        table[own[::-1]] = np.arange(len(found) - 1, -1, -1)
+        rule = table[slot[maybe]]
+        hit = found[rule] == key[maybe]
+        place, rule = maybe[hit], rule[hit]
         # of places of one pair that touch (as in aaaa), every other one; of others that touch, the more frequent pair
-        same = np.zeros(len(place), bool)
-        same[1:] = (np.diff(place) == 1) & (rule[1:] == rule[:-1])
-        which = np.arange(len(place)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(place))))
-        place, rule = place[which % 2 == 0], rule[which % 2 == 0]
         touch = np.diff(place) == 1
-        lower = rank[rule[1:]] < rank[rule[:-1]]
+        same = np.append(False, touch & (rule[1:] == rule[:-1]))
+        if same.any():
+            which = np.arange(len(place)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(place))))
+            place, rule = place[which % 2 == 0], rule[which % 2 == 0]
+            touch = np.diff(place) == 1
+        before = rule[1:] < rule[:-1]
         stays = np.ones(len(place), bool)
-        stays[:-1] &= ~(touch & lower)
-        stays[1:] &= ~(touch & ~lower)
+        stays[:-1] &= ~(touch & before)
+        stays[1:] &= ~(touch & ~before)
         place, rule = place[stays], rule[stays]
-        used, rule = np.unique(rule, return_inverse=True)
-        seq[place] = size + rule
+        number = np.cumsum(np.bincount(rule, minlength=len(found)) > 0) - 1
+        seq[place] = size + number[rule]
         ends[place] = ends[place + 1]
         stay = np.ones(len(seq), bool)
         stay[place + 1] = False
         seq, ends = seq[stay], ends[stay]
-        made.append(np.stack([found[used] // size, found[used] % size], axis=1))
+        used = found[np.unique(rule)].astype(np.int64)
+        made.append(np.stack([used // size, used % size], axis=1))
         count += len(used)
     counts = np.diff(np.concatenate([[0], np.flatnonzero(ends) + 1]))
-    return seq, counts, np.concatenate(made) if made else np.zeros((0, 2), np.int64)
+    return seq.astype(np.int64), counts, np.concatenate(made) if made else np.zeros((0, 2), np.int64)
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
