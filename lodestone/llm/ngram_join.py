@@ -6,15 +6,17 @@
    share one in both prefixes. Which shingles occur once only is known from a bitmap of fixed size; these are left out.
 3. Prefix entries meet by ranges of hash. Prefixes are longer by k = n/8 shingles, so that linked sets share k + 1 (the
    lesser k of the two): a pair with fewer, counting for shingles of many what both could share, is no candidate.
-   A shingle of few sets gives all pairs of them that fit in size. A shingle of many gives a star from its most central set; what the star leaves in other components is paired after that, until
-   nothing is left. So large groups of near copies cost about their size, and no link between components is missed.
+   A shingle of up to MANY sets gives all pairs of them that fit in size. A shingle of more gives a star from its most
+   central set; what the star leaves in other components is paired after that, in lots. So large groups of near copies
+   cost about their size, and no link between components is missed.
 4. Pairs are verified by a prefix-tree join: sets of the same probe are sorted in global order into a trie, in which
    sets share the overlap counted along their common path; a subtree ends where even all the rest couldn't reach the
    bound.
 5. Components are found over the verified links.
 
-What is broadcast has a fixed bound: a bitmap of 2^27 bits and up to HOT shingles with counts (beyond those, by the
-lowest counts, shingles only sort earlier, which costs time and changes no result).
+What is broadcast has a fixed bound: a bitmap of 2^27 bits and up to HOT shingles with counts. Where more are common, the
+others (those of the lowest counts) sort among the rare ones but still make stars: each set's number of them is counted,
+and candidates need so many fewer shared shingles. That costs more candidates and changes no result.
 
 Texts without words, null texts included, have an empty set and are linked with nothing; a null id takes part, and a
 component without any id has a null one. Repeated rows fall in one component.
@@ -43,6 +45,12 @@ BITS = 27
 TOGETHER = 256
 #: Bytes of text whose entries a task gathers before it hands them on.
 GATHER = 6 << 20
+#: The most rows of a shared shingle that one task pairs with as many others, and the salts of its rows before that.
+LOT, SALTS = 512, 16
+#: Shingles of a set that are looked up at once on a path of the trie.
+STRIDE = 64
+#: Ranges of hash, as a power of two, by which the order comes to the driver.
+COARSE = 10
 _U = np.uint64
 
 
@@ -126,10 +134,11 @@ def _low(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Order:
-    """The global order of shingles, and which of them may occur in more than one text."""
+    """The global order of shingles, and which of them may occur in more than one text. complete: whether keys are all the
+    shingles of more than MANY texts."""
 
-    def __init__(self, bits: int, bitmap: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        self.bits, self.bitmap, self.keys, self.counts = bits, bitmap, keys, counts
+    def __init__(self, bits: int, bitmap: np.ndarray, keys: np.ndarray, counts: np.ndarray, complete: bool):
+        self.bits, self.bitmap, self.keys, self.counts, self.complete = bits, bitmap, keys, counts, complete
 
     def shared(self, h: np.ndarray) -> np.ndarray:
         at = h >> _U(64 - BITS)
@@ -167,25 +176,41 @@ def _order(docs: DataFrame, text_col: str, bits: int) -> Order:
         bitmap = np.zeros(1 << (BITS - bits), bool)
         bitmap[low[n > 1] >> np.uint32(32 - (BITS - bits))] = True
         hot = n > MANY
-        order = np.argsort(-n[hot], kind="stable")[: HOT >> (bits - 3)]  # a range's share, eight times over
-        return pa.table(
-            {"bucket": [key[0].as_py()], "bitmap": [np.packbits(bitmap, bitorder="little").tobytes()], "low": [low[hot][order].astype("<u4").tobytes()], "n": [n[hot][order].astype("<i8").tobytes()]},
-            pa.schema([("bucket", pa.int64()), ("bitmap", pa.binary()), ("low", pa.binary()), ("n", pa.binary())]),
-        )
+        order = np.argsort(-n[hot], kind="stable")[:most]
+        return pa.table([[key[0].as_py()], [np.packbits(bitmap, bitorder="little").tobytes()], [low[hot][order].astype("<u4").tobytes()], [n[hot][order].astype("<i8").tobytes()], [int(hot.sum())]], schema=ranked)
+
+    def combine(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Ranges of one coarse range, with their common shingles whole."""
+        bitmap = np.zeros((1 << (bits - coarse), width), np.uint8)
+        keys, counts = [], []
+        for bucket, own, low, n in zip(*(table.column(c).to_pylist() for c in ("bucket", "bitmap", "low", "n"))):
+            bitmap[bucket & ((1 << (bits - coarse)) - 1)] = np.frombuffer(own, np.uint8)
+            keys.append((_U(bucket) << _U(32)) | np.frombuffer(low, "<u4").astype(_U))
+            counts.append(np.frombuffer(n, "<i8"))
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        top = np.lexsort((keys, -counts))[:most]
+        return pa.table([[key[0].as_py()], [bitmap.tobytes()], [keys[top].astype("<u8").tobytes()], [counts[top].tobytes()], [sum(table.column("common").to_pylist())]], schema=ranked)
 
-    ranges = _gathered(docs, text_col, "bucket long, low binary", entries, emit).groupBy("bucket")
-    whole = np.zeros(1 << (BITS - 3), np.uint8)
-    keys, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     width = 1 << (BITS - bits - 3)
-    # at most 2^bits rows, of 2^27 bits and 8 * HOT counts in all
-    for r in ranges.applyInArrow(count, "bucket long, bitmap binary, low binary, n binary").toLocalIterator():
-        whole[r.bucket * width : (r.bucket + 1) * width] = np.frombuffer(r.bitmap, np.uint8)
-        keys.append((_U(r.bucket) << _U(32)) | np.frombuffer(r.low, "<u4").astype(_U))
+    coarse = min(bits, COARSE)
+    most = HOT >> (coarse - 3)  # a coarse range's share, eight times over
+    ranked = pa.schema([("bucket", pa.int64()), ("bitmap", pa.binary()), ("low", pa.binary()), ("n", pa.binary()), ("common", pa.int64())])
+    fields = "bucket long, bitmap binary, low binary, n binary, common long"
+    ranges = _gathered(docs, text_col, "bucket long, low binary", entries, emit).groupBy("bucket").applyInArrow(count, fields)
+    ranges = ranges.withColumn("range", F.shiftright("bucket", bits - coarse)).groupBy("range").applyInArrow(combine, fields)
+    whole = np.zeros(1 << (BITS - 3), np.uint8)
+    keys, counts, common = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
+    size = width << (bits - coarse)
+    # at most 2^COARSE rows, of 2^27 bits and 8 * HOT counts in all
+    for r in ranges.toLocalIterator():
+        whole[r.bucket * size : (r.bucket + 1) * size] = np.frombuffer(r.bitmap, np.uint8)
+        keys.append(np.frombuffer(r.low, "<u8"))
         counts.append(np.frombuffer(r.n, "<i8"))
+        common += r.common
     keys, counts = np.concatenate(keys), np.concatenate(counts)
     top = np.lexsort((keys, -counts))[:HOT]
     top = top[np.argsort(keys[top])]
-    return Order(bits, whole, keys[top], counts[top])
+    return Order(bits, whole, keys[top], counts[top], common == len(top))
 
 
 def _ranked(order: Order, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +226,7 @@ _MEET = "kind int, a long, b long, n long, need long, pivot long"
 def _meetings(docs: DataFrame, text_col: str, order, bits: int) -> DataFrame:
     """kind 0: pairs of nodes, a being the probe, with the shingles of few sets that they share in a range and how many
     such they need (0: a star, whose centre is a); kind 1: a shingle of many sets and one of these, whose size stands in
-    `need`, with the star's centre as pivot."""
+    `need`, with the star's centre as pivot; kind 2: a node a with n shingles of many sets that the order doesn't list."""
 
     def entries(texts: Texts):
         h, row, n, node = shingles(texts)
@@ -244,14 +269,15 @@ def _meetings(docs: DataFrame, text_col: str, order, bits: int) -> DataFrame:
             need = none if star else np.maximum(1, extra(np.minimum(n[x], n[y])) - np.minimum(hot[x], hot[y]))
             rows.append((none, node[x], node[y], need, none))
 
-        # what the order puts last makes stars, unless few different sets hold it; all other shingles make all pairs
-        last = np.isin(low[head].astype(_U) | _U(key[0].as_py() << 32), order.value.keys)
-        few = (size > 1) & ((size <= MANY) | ~last)
+        few = (size > 1) & (size <= MANY)
         for s in np.unique(size[few]).tolist():
             of = head[few & (size == s)]
             i, j = np.triu_indices(s, 1)
             pairs((of[:, None] + i).ravel(), (of[:, None] + j).ravel())
-        for start, s in zip(head[(size > 1) & ~few].tolist(), size[(size > 1) & ~few].tolist()):
+        listed = np.isin(low[head].astype(_U) | _U(key[0].as_py() << 32), order.value.keys)
+        unlisted = node[np.repeat((size > MANY) & ~listed, size)]
+        rows.append((np.full(len(unlisted), 2), unlisted, *(np.zeros(len(unlisted), np.int64),) * 3))
+        for start, s in zip(head[size > MANY].tolist(), size[size > MANY].tolist()):
             own = np.arange(start, start + s)
             best = own[np.lexsort((node[own], -central[own]))[0]]
             pairs(np.full(s - 1, best), own[own != best], True)
@@ -311,16 +337,11 @@ def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray], whole: list[bool] |
     """The overlap of each set with the probe, -1 where it is too small for a link. All are in one global order.
 
     The sets, sorted, are the leaves of a trie in depth-first order: a set shares its first `common` shingles, and the
-    overlap counted along them, with the set before. A leaf whose path can't reach the bound any more is left at the
-    point where that shows, and so is each next one that shares the path up to there. Where `whole` says so, a set is
+    overlap counted along them, with the set before. A path is looked up STRIDE shingles at a time; where it can't reach
+    the bound any more it is left, and so is each next set that shares it up to there. Where `whole` says so, a set is
     counted to its end.
     """
     members = np.sort(probe)
-    flags = []
-    for s in sets:
-        at = np.searchsorted(members, s)
-        at[at == len(members)] = 0
-        flags.append(members[at] == s)
     order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())
     out = [-1] * len(sets)
     path = np.zeros(1, np.int64)  # overlap after each number of shingles on the current path
@@ -337,12 +358,19 @@ def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray], whole: list[bool] |
         if path[common] + n - common < least:
             path = path[: common + 1]
             continue
-        tail = path[common] + np.cumsum(flags[i][common:])
-        short = np.flatnonzero(tail + (n - common - 1 - np.arange(n - common)) < least)
-        if len(short):
-            tail = tail[: short[0] + 1]
-        path = np.concatenate([path[: common + 1], tail])
-        if not len(short) and int(path[-1]) >= least:
+        steps, total, at, short = [path[: common + 1]], int(path[common]), common, False
+        while at < n and not short:  # only what the path needs is looked up
+            part = s[at : at + STRIDE]
+            place = np.searchsorted(members, part)
+            place[place == len(members)] = 0
+            tail = total + np.cumsum(members[place] == part) if len(members) else np.full(len(part), total)
+            under = np.flatnonzero(tail + (n - at - 1 - np.arange(len(part))) < least)
+            if len(under):
+                tail, short = tail[: under[0] + 1], True
+            steps.append(tail)
+            total, at = int(tail[-1]), at + len(part)
+        path = np.concatenate(steps)
+        if not short and int(path[-1]) >= least:
             out[i] = int(path[-1])
     return out
 
@@ -378,51 +406,64 @@ def _verify(pairs: DataFrame, sets: DataFrame, order) -> DataFrame:
     return other.unionByName(own).groupBy("a", "lot").applyInArrow(each, "a long, b long, linked boolean, star boolean, added long, missing long, hot long")
 
 
-def _left_over(many: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame:
+def _left_over(many: DataFrame, labels: DataFrame, stars: DataFrame, complete: bool) -> DataFrame:
     """Pairs of sets in different components that share a shingle of many sets and may be linked.
 
     Let a pair's sets differ from the centre of their star by added shingles X and Y and by missing ones A and B. They
     differ from each other by |X| + |Y| - 2 |X and Y| + |A| - |B| at least, and by a seventh of their sizes at most if
     they are linked. A shingle of few sets in both X and Y would have made them a pair before; so X and Y share at most
-    as many as the lesser of them has of shingles of many sets.
+    as many as the lesser of them has of shingles of many sets (at most all, if the order doesn't list all of these).
+
+    The sets of a shingle that aren't in its largest component meet all its sets lot by lot, LOT sets by LOT sets.
     """
-    info = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "added", "missing", "hot")
+    info = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "added", "missing", F.col("hot" if complete else "added").alias("hot"))
     at = many.join(labels, "node", "left").select("shingle", "node", "size", "pivot", F.coalesce("label", "node").alias("label"))
-    mixed = at.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main")).where("labels > 1")
-    at = at.join(mixed.select("shingle", "main"), "shingle").join(info, ["pivot", "node"], "left")
+    by_label = at.groupBy("shingle", "label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy("shingle").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("labels > 1")
+    lots = mixed.select("shingle", "main", F.ceil((F.col("n") - F.col("most")) / LOT).alias("rests"), F.ceil(F.col("n") / LOT).alias("nears"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    key = F.xxhash64("node")
+    at = at.withColumn("salt", F.pmod(key, F.lit(SALTS)).cast("int")).join(lots, ["shingle", "salt"]).drop("salt").join(info, ["pivot", "node"], "left")
     zero = lambda c: F.when(F.col("node") == F.col("pivot"), 0).otherwise(F.col(c))
     side = lambda x: [F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"n{x}"), zero("added").alias(f"x{x}"), zero("missing").alias(f"m{x}"), zero("hot").alias(f"h{x}")]
-    rest = at.where("label != main").select("shingle", *side("a"))
-    near = at.select("shingle", *side("b"), (F.col("label") == F.col("main")).alias("in_main"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rest = at.where("label != main").select("shingle", *side("a"), F.pmod(key, "rests").alias("i"), every("nears").alias("j"))
+    near = at.select("shingle", *side("b"), (F.col("label") == F.col("main")).alias("in_main"), F.pmod(key, "nears").alias("j"), every("rests").alias("i"))
     apart = "7 * (greatest(0, xa + xb - 2 * least(ha, hb)) + abs(ma - mb)) > na + nb"
-    met = rest.join(near, "shingle").where(f"la != lb and (in_main or a < b) and 4 * least(na, nb) >= 3 * greatest(na, nb) and not coalesce({apart}, false)")
+    met = rest.join(near, ["shingle", "i", "j"]).where(f"la != lb and (in_main or a < b) and 4 * least(na, nb) >= 3 * greatest(na, nb) and not coalesce({apart}, false)")
     return met.select("a", "b").distinct()
 
 
-def links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Links between different sets that leave no component of the link graph apart, and the components' labels."""
-    bits = int(np.clip(np.ceil(np.log2(4 * partitions(docs))), 8, BITS - 3))
-    order = docs.sparkSession.sparkContext.broadcast(_order(docs, text_col, bits))
+def links(docs: DataFrame, text_col: str = "text", bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links between different sets that leave no component of the link graph apart, and the components' labels. bits: the
+    power of two of ranges of hash, by the number of partitions if not given."""
+    bits = int(np.clip(np.ceil(np.log2(4 * partitions(docs))), 8, BITS - 3)) if bits is None else bits
+    found = _order(docs, text_col, bits)
+    order = docs.sparkSession.sparkContext.broadcast(found)
     met = written(_meetings(docs, text_col, order, bits))
     many = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), F.col("need").alias("size"), "pivot")
-    met_pairs = met.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
-    pairs = written(met_pairs.select("a", "b", (F.col("need") == 0).alias("star")))
+    met_pairs = met.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+    if not found.complete:  # pairs may share so many more shingles that made stars
+        for side in ("a", "b"):
+            uncounted = met.where("kind = 2").groupBy(F.col("a").alias(side)).agg(F.sum("n").alias(f"u{side}"))
+            met_pairs = met_pairs.join(uncounted, side, "left")
+        fewer = F.col("need") - F.greatest(F.coalesce("ua", F.lit(0)), F.coalesce("ub", F.lit(0)))
+        met_pairs = met_pairs.select("a", "b", "n", F.when(F.col("need") == 0, 0).otherwise(F.greatest(F.lit(1), fewer)).alias("need"))
+    pairs = written(met_pairs.where("n >= need").select("a", "b", (F.col("need") == 0).alias("star")))
     done = pairs.select("a", "b")
     ends = done.select(F.col("a").alias("node")).union(done.select("b")).union(many.select("node")).distinct()
     sets = written(_sets(docs, text_col, ends, order))
     checked = written(_verify(pairs, sets, order))
     edges, stars = checked.where("linked").select("a", "b"), checked.where("star")
     labels = components(edges)
-    while True:
-        pairs = _left_over(many, labels, stars).join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = written(pairs.withColumn("star", F.lit(False)))
-        if not pairs.limit(1).count():
-            return edges, labels
-        new = written(_verify(pairs, sets, order)).select("a", "b")
-        if not new.limit(1).count():
-            return edges, labels
-        done, edges = done.unionByName(pairs.select("a", "b")), edges.unionByName(new)
-        labels = components(edges)
+    # all pairs of sets that share a shingle of many sets and are in different components: once is enough
+    left = _left_over(many, labels, stars, found.complete).join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    left = written(left.withColumn("star", F.lit(False)))
+    if left.limit(1).count():
+        new = written(_verify(left, sets, order)).select("a", "b")
+        if new.limit(1).count():
+            edges = edges.unionByName(new)
+            labels = components(edges)
+    return edges, labels
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tests_llm_helpers import brute_components, brute_hits
 
 from lodestone.llm import decontamination, ngram_join
@@ -35,6 +36,19 @@ def test_components_equal_brute_force(spark, seed):
     assert sorted(map(tuple, ngram_join.jaccard_components(df).collect()), key=str) == brute_components(rows)
 
 
+@pytest.mark.parametrize("hot,bits", [(0, None), (16, None), (1 << 20, 24), (0, 24)])
+def test_components_however_few_shingles_the_order_lists(spark, monkeypatch, hot, bits):
+    rows = near_copies(3, [(40, 120, 3), (25, 60, 2), (30, 40, 3), (20, 90, 6), (60, 80, 4), (30, 70, 9)])
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "LOT", 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    _, labels = ngram_join.links(df, bits=bits)
+    nodes = ngram_join.nodes(df, "doc_id", "text")
+    full = nodes.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
+    least = full.groupBy("label").agg(F.min("doc_id").alias("least"))
+    assert sorted(map(tuple, full.join(least, "label").select("doc_id", "n_shingles", "least").collect()), key=str) == brute_components(rows)
+
+
 def test_components_of_awkward_rows(awkward, awkward_texts):
     assert sorted(map(tuple, ngram_join.jaccard_components(awkward).collect()), key=str) == brute_components(awkward_texts)
 
