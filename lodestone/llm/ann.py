@@ -6,8 +6,10 @@ its own batch, and linked by the usual rule (a candidate is taken if it is neare
 graph is one row of a table: flat neighbour arrays for each level, the vectors and their ids. So that inner product
 orders as distance does, graph vectors get one more component that makes all their norms equal.
 
-Queries go to all shards in blocks of QUERIES, in which a beam of EF nodes is moved for all queries at once; scores are
-then computed in double precision on the vectors as they came, and the shards' results merged.
+Queries go to all shards in blocks, in which a beam of EF nodes is moved for many queries at once; scores are then
+computed in double precision on the vectors as they came, and the shards' results merged. Blocks hold up to QUERIES, or
+fewer where else some cores would have nothing to do; each copies a shard's row once. Every query searches every shard:
+that is the method, and its work is the product of the two numbers.
 
 Vectors that are null, zero, or hold a null or a component that isn't finite take no part, nor do rows without an id.
 Vectors of different lengths never meet. Rows that repeat an id and vector are one; a query never finds its own id.
@@ -26,7 +28,9 @@ from pyspark.sql import types as T
 from lodestone.llm.bytesio import mix
 from lodestone.llm.tasks import written
 
-SHARD, QUERIES = 16384, 2048
+SHARD = 16384
+#: Most queries that a copy of a shard answers, and the fewest that are worth one.
+QUERIES, FEWEST = 1 << 16, 256
 M = 16
 EF_BUILD, EF = 64, 160
 BATCH = 512
@@ -231,7 +235,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     rows = written(usable(vectors, id_col, vector_col))
     shards = written(index(rows, shard))
     asked = written(usable(vectors.where(queries), id_col, vector_col))
-    blocks = asked.groupBy("dim").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("blocks"))
+    cores = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    per_dim = asked.groupBy("dim").agg(F.count("*").alias("asked")).join(shards.groupBy("dim").agg(F.count("*").alias("shards")), "dim")  # one row a length
+    few = F.least(F.ceil(F.lit(cores) / F.col("shards")), F.ceil(F.col("asked") / FEWEST))
+    blocks = per_dim.select("dim", F.greatest(F.ceil(F.col("asked") / QUERIES), few).cast("long").alias("blocks"))
     where = shards.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
     dealt = asked.join(F.broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).join(F.broadcast(where), "dim")
     dealt = dealt.select("dim", F.explode("shards").alias("shard"), "block", "id", "vector")
