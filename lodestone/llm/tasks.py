@@ -17,10 +17,12 @@ BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster names in spark.checkpoint.dir. Where that is unset, as in tests, a
-    temporary folder is set for the session."""
+    """A new folder under the one that the cluster names in spark.checkpoint.dir. Where that is unset, a local session, as
+    in tests, sets a temporary one for itself; on a cluster, whose executors would not see it, that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at}/lodestone-{uuid.uuid4().hex}"
