@@ -5,9 +5,10 @@ lexicon weight for each language (how much more often the word stands in that la
 join neighbouring words, so that code-switched text is labelled word by word by forward-backward; a text's language is
 the one with the largest sum of posterior marginals, each word weighed by its bytes, and its score is that share.
 
-The field is fitted on a bounded sample of labelled rows: up to SAMPLE_ROWS rows of each language, the first by a hash
-of id and text, whole texts, which the driver holds. To learn transitions, spans of different sampled texts are put one
-after another. Everything else reads all rows. A label is never an input of a prediction.
+The field is fitted on a bounded sample of labelled rows, which the driver holds: up to SAMPLE_ROWS rows and SAMPLE_BYTES
+bytes of each language, the first by a hash of id and text; of a text of more than EXCERPT characters an excerpt of so
+many, from a place by that hash, so that each language with a labelled text is learned. To learn transitions, spans of
+different sampled texts are put one after another. Everything else reads all rows. A label is never an input of a prediction.
 
 Texts that are null, or have no letter, get `und` with score 0; so does every text where no labelled row could be
 learned from. Null labels aren't learned from. Repeated rows are labelled alike. With one language there is no choice
@@ -29,6 +30,8 @@ from lodestone.llm.tasks import by_slice
 #: Labelled rows that the field is fitted on, for each language, and bytes of text that it takes from each.
 SAMPLE_ROWS = 300
 SAMPLE_BYTES = 500_000
+#: Characters that a sampled text gives at most.
+EXCERPT = 30_000
 BUCKETS = 1 << 17
 #: Words of a stretch that is handled at once; stretches of a text are joined by products of transfer matrices.
 STRETCH = 48
@@ -221,7 +224,9 @@ def _sampled(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_co
     share = F.col("key").bitwiseAND(F.lit(0xFFFFF)) / F.lit(float(1 << 20))
     counts = known.groupBy("lang").count()
     small = F.broadcast(counts)  # one row a language
-    thin = known.join(small, "lang").where(share < 3.0 * SAMPLE_ROWS / F.col("count")).where(F.octet_length("text") <= SAMPLE_BYTES // 8)
+    start = F.pmod(F.col("key"), F.length("text") - EXCERPT + 1).cast("int") + 1
+    excerpt = F.when(F.length("text") > EXCERPT, F.substring("text", start, F.lit(EXCERPT))).otherwise(F.col("text"))
+    thin = known.join(small, "lang").where(share < 3.0 * SAMPLE_ROWS / F.col("count")).withColumn("text", excerpt)
     ranked = thin.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("key", "text"))).where(F.col("rank") <= SAMPLE_ROWS)
     total = F.sum(F.octet_length("text")).over(W.partitionBy("lang").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
     return [(r.lang, r.text) for r in ranked.withColumn("total", total).where(F.col("total") <= SAMPLE_BYTES).select("lang", "text").orderBy("lang", "text").collect()]

@@ -180,6 +180,14 @@ def test_languages(spark, data, awkward, awkward_texts, nothing):
     assert kept.schema == awkward.schema and kept.count() == sum(any(map(str.isalpha, t or "")) for _, t in awkward_texts)
 
 
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    r = random.Random(4)
+    text = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(n))
+    rows = [(i, text("abcde", 50), "one") for i in range(40)] + [(100 + i, text("vwxyz", 40_000), "two") for i in range(2)] + [(200 + i, text("vwxyz", 50), None) for i in range(5)]
+    got = {x.doc_id: x.lang_pred for x in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).collect()}
+    assert got == {i: "one" if i < 100 else "two" for i, _, _ in rows}
+
+
 def test_words_of_mixed_text_are_labelled_apart():
     en = ["the house and the river with stones"] * 40
     fr = ["maison près rivière avec pierres grandes"] * 40
