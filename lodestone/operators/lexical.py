@@ -1,7 +1,8 @@
 """The lexical index as tables, and Okapi BM25 over it.
 
 postings(topic, doc_id, term, tf, dl) and term_stats(topic, term, df, idf) are plain aggregates; a search is a join on
-(topic, term) and a sum. Inverse document frequencies are those of a document's own topic.
+(topic, term) and a sum. Inverse document frequencies are those of a document's own topic. An index is written once to
+the shared folder; statistics and searches read it and no text.
 """
 
 from __future__ import annotations
@@ -11,14 +12,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
+from lodestone.sources.shared import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Most terms of a set of queries that are broadcast to the postings; beyond these both are shuffled by term.
+ASKED = 200_000
 
 
 def postings(docs: DataFrame, topic: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    words = docs.select(topic.alias("topic"), F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens"))
+    """Terms of documents with their counts and the document's length. Texts are dealt by id first: their terms, many times
+    as many rows, are then counted where they are made."""
+    rows = docs.select(topic.alias("topic"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    words = rows.select("topic", "doc_id", tokens(F.col("text")).alias("tokens"))
     long = words.select("topic", "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return long.groupBy("topic", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return long.groupBy("topic", "doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+
+
+def index(docs: DataFrame, topic: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Postings, written once, and term statistics over them."""
+    posted = written(postings(docs, topic, id_col, text_col))
+    # documents without tokens have no postings, but count
+    n = docs.groupBy(topic.alias("topic")).agg(F.count("*").alias("n"))
+    held = posted.groupBy("topic").agg(F.sum("tf").alias("held"))
+    topics = n.join(held, "topic", "left").select("topic", "n", (F.coalesce("held", F.lit(0)) / F.col("n")).alias("avgdl"))
+    return posted, term_stats(posted, topics)
 
 
 def topic_stats(docs: DataFrame, topic: Column, text_col: str = "text") -> DataFrame:
@@ -29,20 +46,23 @@ def topic_stats(docs: DataFrame, topic: Column, text_col: str = "text") -> DataF
 def term_stats(posted: DataFrame, topics: DataFrame) -> DataFrame:
     """df and idf of each topic's terms; an idf below 0 becomes EPSILON times the topic's mean idf."""
     df = posted.groupBy("topic", "term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(topics), "topic").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = df.join(topics, "topic").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("topic").agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    return raw.join(F.broadcast(mean), "topic").select("topic", "term", "df", idf.alias("idf"), "avgdl")
+    return raw.join(mean, "topic").select("topic", "term", "df", idf.alias("idf"), "avgdl")
 
 
 def search(queries: DataFrame, posted: DataFrame, stats: DataFrame, k: int, query_col: str = "query_id", text_col: str = "text") -> DataFrame:
     """The k best documents of each query in each topic, by positive score, ties to the lesser id. A query's repeated
-    tokens count again. queries: a bounded table, of which Spark decides how it is joined."""
+    tokens count again. Only postings of the queries' terms are joined: where these are few (counted first) they are
+    broadcast."""
     asked = queries.select(F.col(query_col).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    # only what the queries ask for reaches the joins on topic and term
-    wanted = posted.join(asked.select("term").distinct(), "term", "left_semi")
+    terms = asked.select("term").distinct()
+    if terms.limit(ASKED + 1).count() <= ASKED:
+        terms = F.broadcast(terms)
+    wanted = posted.join(terms, "term", "left_semi")
     weight = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = wanted.join(stats, ["topic", "term"]).select("topic", "doc_id", "term", weight.alias("weight"))
+    weighed = wanted.join(stats.join(terms, "term", "left_semi"), ["topic", "term"]).select("topic", "doc_id", "term", weight.alias("weight"))
     scored = weighed.join(asked, "term").groupBy("query_id", "topic", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("times")), 6).alias("score"))
     best = W.partitionBy("query_id", "topic").orderBy(F.desc("score"), "doc_id")
     return scored.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

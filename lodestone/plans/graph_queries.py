@@ -10,6 +10,7 @@ from lodestone.functions import entities, text, units
 from lodestone.operators import chunking, clusters, evaluation, graph, vectors
 from lodestone.plans.search_queries import _BM25, _TOKENS, _bm25
 from lodestone.registry import ORACLES, query, table
+from lodestone.sources import shared
 
 
 def _contains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,24 +80,17 @@ _SPARSE = "l_quantity >= 50 AND l_discount >= 0.09"
 r AS (SELECT src AS id, src AS seen FROM u UNION SELECT r.id, u.dst FROM r JOIN u ON u.src = r.seen) SELECT id, min(seen) AS community FROM r GROUP BY id""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the graph of large discounted orders."""
-    spark.sparkContext.setCheckpointDir(_checkpoints(spark))
+    spark.sparkContext.setCheckpointDir(shared.folder(spark))
     return graph.communities(_edges(spark, sf_dir, _SPARSE))
 
 
 @query()
 def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the graph of all orders and parts."""
-    spark.sparkContext.setCheckpointDir(_checkpoints(spark))
+    spark.sparkContext.setCheckpointDir(shared.folder(spark))
     return graph.communities(_edges(spark, sf_dir))
 
 
-def _checkpoints(spark: SparkSession) -> str:
-    """The folder that the cluster names; where it names none, as in tests, a temporary one."""
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-
-
 _LABELLED = " UNION ALL ".join("SELECT doc_id, unnest(regexp_extract_all(text, '" + p.replace("'", "''") + f"')) AS name, '{label}' AS label, {c} AS confidence FROM documents" for label, p, c in entities.KINDS)
 
 
@@ -141,7 +135,7 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def threshold_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy clusters of each label's vectors."""
-    spark.sparkContext.setCheckpointDir(_checkpoints(spark))
+    spark.sparkContext.setCheckpointDir(shared.folder(spark))
     return clusters.by_threshold(vectors.valid(table(spark, sf_dir, "embeddings"), 64), F.col("label"), 0.5).select("group", "id", "cluster")
 
 

@@ -37,15 +37,15 @@ def retrieve(asked: DataFrame, docs: DataFrame, topic: Column, dense: DataFrame
     """
     if profile.expand:
         asked = asked.withColumn("text", F.when(F.size(F.split("text", r"\s+")) >= 5, questions.expanded(F.col("text"), profile.expand)).otherwise(F.col("text")))
-    posted = lexical.postings(docs, topic)
-    found = lexical.search(asked, posted, lexical.term_stats(posted, lexical.topic_stats(docs, topic)), profile.candidates)
+    found = lexical.search(asked, *lexical.index(docs, topic), profile.candidates)
     sparse = ranking.gated(found.select("query_id", "doc_id", "score"), "score", 0.0, profile.candidates)
     sparse = sparse.withColumn("rank", F.row_number().over(ranking.W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     weights = ranking.fusion_weights(profile.sparse_weight)
     lists = {"dense": (dense, weights["dense"])} if dense is not None and profile.dense else {}
     fused = ranking.fused(lists | {"sparse": (sparse, weights["sparse"] if lists else 1.0)})
     best = ranking.gated(fused.where(F.col("rank") <= profile.candidates), "rrf_score", profile.least, 1)
-    rows = best.select("query_id", "doc_id", F.col("rrf_score").alias("score")).join(docs.select("doc_id", "source", text.word_set(F.col("text")).alias("words")), "doc_id")
+    rows = best.select("query_id", "doc_id", F.col("rrf_score").alias("score")).join(docs.select("doc_id", "source", "text"), "doc_id")
+    rows = rows.select("query_id", "doc_id", "score", "source", text.word_set(F.col("text")).alias("words"))
     if profile.diverse:
         return ranking.diverse(rows, profile.results, profile.balance, profile.per_source)
     order = ranking.W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

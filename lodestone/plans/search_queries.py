@@ -27,9 +27,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, topic ORDER BY sc
 
 
 def _index(spark: SparkSession, sf_dir: str):
-    docs = table(spark, sf_dir, "documents")
-    posted = lexical.postings(docs, F.col("lang"))
-    return posted, lexical.term_stats(posted, lexical.topic_stats(docs, F.col("lang")))
+    return lexical.index(table(spark, sf_dir, "documents"), F.col("lang"))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +83,11 @@ def corpus_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT term, frequency FROM pool ORDER BY frequency DESC, term LIMIT 100""")
 def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred top terms, pairs counting twice and triples three times."""
-    pools = [_counted(spark, sf_dir, n).where("n >= 2").select("term", (F.col("n") * n).alias("frequency")) for n in (1, 2, 3)]
-    return pools[0].unionByName(pools[1]).unionByName(pools[2]).orderBy(F.desc("frequency"), "term").limit(100)
+    found = table(spark, sf_dir, "documents").select(text.terms(F.col("text")).alias("found"))
+    kinds = [F.filter("found", lambda t: text.valid_term(t)), text.term_ngrams(F.col("found"), 2), text.term_ngrams(F.col("found"), 3)]
+    # one pass: a term's kind is the number of its words
+    rows = found.select(F.explode(F.concat(*kinds)).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n >= 2")
+    return rows.select("term", (F.col("n") * F.size(F.split("term", " "))).alias("frequency")).orderBy(F.desc("frequency"), "term").limit(100)
 
 
 _DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
@@ -180,9 +181,10 @@ def summary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five picks of each question's fifteen best, relevant and unlike each other, two a source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", text.word_set(F.col("text")).alias("words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     best = _bm25(spark, sf_dir, 15).select("query_id", "doc_id", "score", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).alias("n")).where("n <= 15")
-    return ranking.diverse(best.join(docs, "doc_id"), 5)
+    rows = best.join(docs, "doc_id").select("query_id", "doc_id", "score", "source", text.word_set(F.col("text")).alias("words"))
+    return ranking.diverse(rows, 5)
 
 
 @query(f"""WITH {_BM25.strip()}, hits AS (SELECT r.query_id, r.topic, r.rank, r.doc_id, d.source, d.text FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= 5),
