@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import match_count
@@ -15,6 +15,7 @@ TECHNICAL = (r"\d+\.?\d*\s*(kpa|psi|mpa|kn|psf|ksf|m|ft|mm|kg|g|mol|hz|ghz)", r"
 SHORTER, LONGER = r"\b(too long|too detailed|tl;?dr|be concise|shorter)\b", r"\b(too short|more detail|elaborate|be thorough|longer)\b"
 FORMATS = ((r"\b(use bullets|bullet points|make a list|bulleted)\b", "bullets"), (r"\b(no bullets|in prose|paragraph form|no lists)\b", "prose"), (r"\b(use a table|in table format|tabular)\b", "table"))
 UNITS = ((r"\b(in metric|use metric|metres|meters|kPa\b|kN\b)", "metric"), (r"\b(in imperial|use imperial|feet|psf\b|psi\b)", "imperial"))
+REASONING = ((r"\b(show your work|explain.{0,10}reasoning|step by step)\b", True), (r"\b(just the answer|skip the explanation|bottom line)\b", False))
 NEGATIVE = (r"\b(wrong|incorrect|not right|mistake)\b", r"\b(no|nope),?\s+(that|the|it)", r"\bactually,?\s*(it|the|that|you)", r"\b(doesn't|didn't|isn't|wasn't)\s+work", r"\b(not what|that's not)\s+", r"\b(error|problem|issue)\s+with")
 POSITIVE = (r"\b(thanks|thank you|thx|ty)\b", r"\b(great|awesome|perfect|excellent|wonderful)\b", r"\b(helpful|useful|exactly|spot on)\b", r"\b(good job|well done|nice work)\b", r"\b(that helps|makes sense|got it)\b")
 LEVELS = {
@@ -25,6 +26,17 @@ LEVELS = {
 ACTIONS = ((r"upload|attached|here'?s?\s+(?:the|a|my)", "file_upload"), (r"(?:\d+\s*[\+\-\*\/]\s*\d+|calculate|compute|formula)", "math_interest"), (r"(?:code|script|function|class|import|def\s)", "code_interest"), (r"\?$|^(?:what|how|why|when|where|who|is|are|can|could|would|should)\b", "question"))
 CORRECTIONS = ((r"no[,.]?\s*(?:i\s+)?meant?\s+(.+)", 0.9), (r"actually[,.]?\s*(?:it'?s?|i\s+want(?:ed)?|it\s+should\s+be)\s+(.+)", 0.85), (r"(?:that'?s?\s+)?(?:wrong|incorrect)[,.]?\s*(.+)?", 0.9), (r"(?:don'?t|stop|never)\s+(?:us(?:e|ing)|say(?:ing)?|call(?:ing)?|assum(?:e|ing)|do(?:ing)?)\s+(.+)", 0.95), (r"(?:always|whenever)\s+(?:us(?:e|ing)|say(?:ing)?|assum(?:e|ing)|call(?:ing)?|do(?:ing)?)\s+(.+)", 0.9), (r"(?:too|way\s+too)\s+(long|short|detailed|brief|verbose|technical|simple)", 0.8), (r"i\s+(?:said|asked\s+for|wanted|meant)\s+(.+?)(?:,|\s+not\s+|\s*$)", 0.85), (r"(?:i\s+)?prefer\s+(.+?)(?:\s+(?:instead|over|rather)\s+|$)", 0.75), (r"(?:please\s+)?use\s+(.+?)\s+instead(?:\s+of\s+)?", 0.85))
 CONTEXT_WORDS = ("metric", "imperial", "si", "units", "meters", "feet", "inches", "mm", "brief", "detailed", "summary", "bullets", "list", "table")
+# How a correction says what is wrong and what is right.
+NEVER = r"(?:don'?t|stop|never)\s+(?:us(?:e|ing)|say(?:ing)?|call(?:ing)?|assum(?:e|ing)|do(?:ing)?)\s+(.+?)"
+NEVER_BUT = NEVER + r"(?:,\s*(?:use|say)\s+(.+?)\s+instead|,\s*instead\s+(?:use|say)\s+(.+?)|$)"
+NEVER_END = NEVER + r"(?:\s*[,.]|$)"
+ALWAYS = r"(?:always|whenever)\s+(?:use|say|assume|call|do)\s+(.+?)(?:\s*[,.]|$)"
+TOO = r"(?:too|way\s+too)\s+(long|short|detailed|brief|verbose|technical|simple)"
+RATHER = r"(.+?)\s+(?:not|instead\s+of)\s+(.+?)(?:\s*[,.]|$)"
+OPPOSITES = {
+    "long": ("long responses", "shorter responses"), "short": ("short responses", "more detailed responses"), "detailed": ("overly detailed responses", "concise responses"), "brief": ("too brief responses", "more complete responses"),
+    "verbose": ("verbose responses", "concise responses"), "technical": ("overly technical language", "simpler explanations"), "simple": ("oversimplified responses", "more technical detail"),
+}
 # Question patterns.
 CROSS = ("compare (?:and contrast)?", "difference(?:s)? between", "(?:vs|versus)", "similarities between", "how (?:does|do) .+ (?:differ|compare)")
 GLOBAL = (
@@ -106,3 +118,33 @@ def question_class(text: Column) -> Column:
     kind = F.when(cross > 0, "cross_ref").when(wide + near == 0, guess).when(wide > near, "global").when(near > wide, "local").otherwise("hybrid")
     sure = F.when(cross > 0, F.least(F.lit(0.95), 0.5 + cross * 0.2)).when(wide + near == 0, 0.5).when(wide > near, share(wide)).when(near > wide, share(near)).otherwise(0.6)
     return F.struct(kind.alias("kind"), F.round(sure, 6).alias("confidence"))
+
+
+def correction_said(text: Column) -> Column:
+    """struct(wrong, right) where a message says either in a way that is known; else null."""
+    low = F.lower(text)
+    part = lambda pattern, group: F.trim(F.regexp_extract(low, pattern, group))
+    none = F.lit("")
+    both = lambda wrong, right: F.struct(wrong.alias("wrong"), right.alias("right"))
+    too = F.regexp_extract(low, TOO, 1)
+    opposite = [F.coalesce(F.create_map(*(F.lit(x) for k, v in OPPOSITES.items() for x in (k, v[i])))[too], none) for i in (0, 1)]
+    return (
+        F.when(low.rlike(NEVER_BUT), both(part(NEVER_BUT, 1), F.concat(part(NEVER_BUT, 2), part(NEVER_BUT, 3))))
+        .when(low.rlike(NEVER_END), both(part(NEVER_END, 1), none)).when(low.rlike(ALWAYS), both(none, part(ALWAYS, 1))).when(low.rlike(TOO), both(*opposite)).when(low.rlike(RATHER), both(part(RATHER, 2), part(RATHER, 1)))
+    )
+
+
+def corrected(rows: DataFrame, text_col: str) -> DataFrame:
+    """The rows that correct an answer, with kind (the number of the first pattern that shows it and gives something), wrong
+    and right. Messages of fewer than five characters correct nothing."""
+    text, low = F.col(text_col), F.lower(F.trim(text_col))
+    said, ways = F.col("_said"), []
+    for i, (pattern, _) in enumerate(CORRECTIONS):
+        caught = F.trim(F.coalesce(F.regexp_extract(low, "(?i)" + pattern, 1), F.lit("")))
+        rest = F.when(caught != "", caught).when(F.length(text) < 100, F.trim(text)).otherwise("")
+        own = F.struct(F.lit(i).alias("kind"), F.when(said.isNull(), "").otherwise(said["wrong"]).alias("wrong"), F.when(said.isNull(), rest).otherwise(said["right"]).alias("right"))
+        ways.append(F.when(low.rlike("(?i)" + pattern), own))
+    # a generator gives the first way or no row, and keeps the expressions before and behind it apart
+    first = F.slice(F.filter(F.array(*ways), lambda w: (w["wrong"] != "") | (w["right"] != "")), 1, 1)
+    rows = rows.where(F.length(low) >= 5).withColumn("_said", correction_said(text))
+    return rows.select("*", F.inline(first)).drop("_said")

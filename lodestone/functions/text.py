@@ -106,3 +106,34 @@ def chunk_id(content: Column, *parts: Column) -> Column:
     """16 hex digits from the non-empty parts and the content's digest."""
     filled = [F.when(p != "", p) for p in parts]
     return F.substring(F.md5(F.concat_ws(":", *filled, F.substring(F.md5(content), 1, 8))), 1, 16)
+
+
+def cleaned(text: Column) -> Column:
+    """Extracted text with at most one empty line in a row, words that a line's end parts joined, and no null characters."""
+    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
+    text = F.regexp_replace(text, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
+    return F.regexp_replace(F.replace(text, F.lit("\0"), F.lit("")), r"^\s+|\s+$", "")
+
+
+# What titles don't start with, and signs of figures and equations.
+NO_TITLES = ("page", "chapter", "table", "figure", "copyright")
+FIGURE, EQUATION, MATH = r"(?i)(?:Figure|Fig\.?)\s+\d+", r"[a-z]\s*=\s*[a-z0-9]", "∫∑∏√∞≈≠≤≥±×÷αβγδεθλμπσφω"
+
+
+def title_line(text: Column) -> Column:
+    """The first of a text's first fifteen lines that looks like a title: of 11 to 149 characters, no number, and not the
+    start of a page, chapter, table, figure or notice; null without any."""
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 15), lambda x: F.trim(x))
+    fit = lambda x: (F.length(x) > 10) & (F.length(x) < 150) & ~F.lower(x).rlike("^(?:" + "|".join(NO_TITLES) + ")") & ~x.rlike(r"^\d+$")
+    return F.get(F.filter(lines, fit), F.lit(0))
+
+
+def math_signs(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, MATH, ""))
+
+
+def by_length(text: Column, pages: Column) -> Column:
+    """Text cut into so many pieces of equal length, the last with the rest."""
+    each = F.floor(F.length(text) / pages).cast("int")
+    piece = lambda i: F.substring(text, i * each + 1, F.when(i == pages - 1, F.length(text)).otherwise(each))
+    return F.transform(F.sequence(F.lit(0), pages.cast("int") - 1), piece)

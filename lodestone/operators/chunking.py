@@ -127,3 +127,28 @@ def split_long(rows: DataFrame, text_col: str, most: int = MOST) -> DataFrame:
             yield pd.DataFrame(out, columns=columns)
 
     return rows.withColumn("sentences_", sentences(F.col(text_col))).mapInPandas(each, schema)
+
+
+# Signs of an equation, and of the list of its symbols.
+EQUATION = r"(?m)(?:^\s*[A-Za-z_]+\s*=\s*|[Σ∑∫∂√±×÷∞≤≥≈∝∈∉∀∃π]|\\(?:frac|sum|int|sqrt|alpha|beta|gamma|sigma|phi)\b|\$\$.+\$\$|\$[^$]+\$)"
+WHERE = r"(?im)\A\s*(?:where|in which|such that|with|and)\s*[:\-]?\s*$"
+
+
+def with_symbols(paragraphs: Column, most: int) -> Column:
+    """Paragraphs, an equation and the list of its symbols behind it as one where both have up to `most` characters."""
+    fold = lambda s, p: F.when(
+        s["open"] & (p.rlike(WHERE) | (F.lower(F.ltrim(p)).startswith("where") & F.contains(p, F.lit("=")))) & (F.length(F.element_at(s["out"], -1)) + 2 + F.length(p) <= most),
+        F.struct(F.concat(F.slice(s["out"], 1, F.size(s["out"]) - 1), F.array(F.concat(F.element_at(s["out"], -1), F.lit("\n\n"), p))).alias("out"), F.lit(False).alias("open")),
+    ).otherwise(F.struct(F.concat(s["out"], F.array(p)).alias("out"), p.rlike(EQUATION).alias("open")))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
+    return F.aggregate(paragraphs, start, fold, lambda s: s["out"])
+
+
+def table_rows(lines: Column, header: int, size: int) -> Column:
+    """The number of the piece that each line of a table goes to, where a piece with its header has up to `size` characters
+    (a line too long alone is a piece)."""
+    fold = lambda s, n: F.when(
+        (s["used"] + n + 1 > size) & (s["rows"] > 0), F.struct((header + n + 1).alias("used"), F.lit(1).alias("rows"), (s["piece"] + 1).alias("piece"), F.concat(s["out"], F.array(s["piece"] + 1)).alias("out"))
+    ).otherwise(F.struct((s["used"] + n + 1).alias("used"), (s["rows"] + 1).alias("rows"), s["piece"].alias("piece"), F.concat(s["out"], F.array(s["piece"])).alias("out")))
+    start = F.struct(F.lit(header).alias("used"), F.lit(0).alias("rows"), F.lit(0).alias("piece"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(F.transform(lines, F.length), start, fold, lambda s: s["out"])

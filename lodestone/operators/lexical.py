@@ -29,13 +29,13 @@ def postings(docs: DataFrame, topic: Column, id_col: str = "doc_id", text_col: s
 
 
 def index(docs: DataFrame, topic: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Postings, written once, and term statistics over them."""
+    """Postings and term statistics over them, both written once."""
     posted = written(postings(docs, topic, id_col, text_col))
     # documents without tokens have no postings, but count
     n = docs.groupBy(topic.alias("topic")).agg(F.count("*").alias("n"))
     held = posted.groupBy("topic").agg(F.sum("tf").alias("held"))
     topics = n.join(held, "topic", "left").select("topic", "n", (F.coalesce("held", F.lit(0)) / F.col("n")).alias("avgdl"))
-    return posted, term_stats(posted, topics)
+    return posted, written(term_stats(posted, topics))
 
 
 def topic_stats(docs: DataFrame, topic: Column, text_col: str = "text") -> DataFrame:

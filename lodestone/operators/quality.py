@@ -86,3 +86,8 @@ def stratified(rows: DataFrame, size: Column, limits: tuple[int, int], each: int
     kind = F.when(size >= limits[1], "large").when(size >= limits[0], "middle").otherwise("small")
     best = W.partitionBy("class").orderBy(F.md5(F.col(id_col).cast("string")), id_col)
     return rows.withColumn("class", kind).withColumn("pick", F.row_number().over(best)).where(F.col("pick") <= each)
+
+
+def missing(got: Column, expected: Column) -> Column:
+    """The severity of missing pages: critical beyond a tenth of what is expected; null where none is missing."""
+    return F.when(expected - got > expected * 0.1, "critical").when(expected > got, "high")

@@ -107,7 +107,13 @@ def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("name", "label").agg(F.count("*").alias("chunks"), F.min("doc_id").alias("first"), F.coalesce(F.min(F.when(F.col("doc_id") % 2 == 1, F.col("doc_id"))), F.lit(-1)).alias("first_new"))
 
 
-@query()
+def places(name: str, pattern: str) -> str:
+    """SQL for (doc_id, found, at_char): what stands before a match is what splitting leaves, and the matches before it."""
+    return f"""{name} AS (SELECT doc_id, ms[k] AS found, list_sum(list_transform(ps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS at_char
+ FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM documents)))"""
+
+
+@query(f"WITH {places('x', chr(92) + 'bLicense' + chr(92) + 'b')}, {places('y', chr(92) + 'b' + chr(92) + 'd+' + chr(92) + 'b')} SELECT doc_id, x.found AS a, y.found AS b, count(*) AS n FROM x JOIN y USING (doc_id) WHERE abs(x.at_char - y.at_char) <= 300 GROUP BY 1, 2, 3")
 def entity_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences within 300 characters of a year or number."""
     return graph.near_each_other(table(spark, sf_dir, "documents"), "doc_id", "text", r"\bLicense\b", r"\b\d+\b", 300)
@@ -132,7 +138,13 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "section", "chunk_index", "sub_chunk", F.length("content").alias("chars"), F.md5("content").alias("digest"))
 
 
-@query()
+_UNIT_VECTOR = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT label AS grp, vec_id, {_UNIT_VECTOR} AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+r AS (SELECT v.grp, v.n, v.vec_id, v.vec_id AS cluster, [{{'id': v.vec_id, 'e': v.e}}] AS seeds FROM v WHERE n = 1 UNION ALL
+ SELECT grp, n, vec_id, coalesce(hit, vec_id), CASE WHEN hit IS NULL THEN list_append(seeds, {{'id': vec_id, 'e': e}}) ELSE seeds END FROM (SELECT v.grp, v.n, v.vec_id, v.e, r.seeds, list_filter(r.seeds, lambda s: list_dot_product(s.e, v.e) >= 0.5)[1].id AS hit FROM r JOIN v ON v.grp = r.grp AND v.n = r.n + 1))
+SELECT grp AS group, vec_id AS id, cluster FROM r""".replace("AS group", 'AS "group"'))
 def threshold_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy clusters of each label's vectors."""
     spark.sparkContext.setCheckpointDir(shared.folder(spark))
@@ -145,7 +157,26 @@ def mixture_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.mixture(vectors.valid(table(spark, sf_dir, "embeddings"), 64), 10)
 
 
-@query()
+_CUT = "substr({0}, 1, 500)"
+_LAST = "CASE WHEN contains(substr({0}, 1, 500), '{1}') THEN length(substr({0}, 1, 500)) - strpos(reverse(substr({0}, 1, 500)), '{2}') - {3} ELSE -1 END"
+
+
+def _summary(x: str) -> str:
+    """SQL for the text cut at a sentence's end, else at a space, if past the half."""
+    marks = "".join(f" WHEN {_LAST.format(x, m, m[::-1], len(m) - 1)} > 250 THEN substr({x}, 1, {_LAST.format(x, m, m[::-1], len(m) - 1)} + 1)" for m in (". ", "! ", "? "))
+    space = _LAST.format(x, " ", " ", 0)
+    return f"CASE WHEN length({x}) <= 500 THEN {x}{marks} WHEN {space} > 250 THEN substr({x}, 1, {space}) || '...' ELSE {_CUT.format(x)} || '...' END"
+
+
+def _level(k: int) -> str:
+    whole = f"SELECT {k} AS level, node // 10 AS node, string_agg(content, ' ' ORDER BY node) AS t FROM l{k - 1} WHERE (SELECT count(*) FROM l{k - 1}) >= 5 GROUP BY node // 10"
+    return f"l{k} AS (SELECT level, node, {_summary('t')} AS content FROM ({whole}))"
+
+
+_HIGHEST = "(SELECT max(level) FROM (" + " UNION ALL ".join(f"SELECT level FROM l{k}" for k in range(4)) + "))"
+
+
+@query(f"WITH l0 AS (SELECT 0 AS level, doc_id AS node, text AS content FROM documents), {_level(1)}, {_level(2)}, {_level(3)}, top AS (SELECT {_HIGHEST} AS m) SELECT level, node, CASE WHEN level < m THEN node // 10 END AS parent, md5(content) AS digest FROM (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(4)) + "), top")
 def summary_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of extractive summaries over all documents, ten children a node."""
     leaves = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), F.col("text").alias("content"))

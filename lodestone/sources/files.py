@@ -98,3 +98,14 @@ def save_done(results: DataFrame, folder: str) -> None:
 def left_to_do(configs: DataFrame, done: DataFrame) -> DataFrame:
     """Configurations without a result."""
     return configs.join(done.select("layer", "config_id").distinct(), ["layer", "config_id"], "left_anti")
+
+
+def without(rows: DataFrame, **gone: DataFrame | list) -> DataFrame:
+    """The rows of a store without those that a delete names: for each column a list of values or a table of them. Nulls
+    aren't named by any."""
+    for column, values in gone.items():
+        if isinstance(values, list):
+            rows = rows.where(~F.coalesce(F.col(column).isin(*values), F.lit(False))) if values else rows
+        else:
+            rows = rows.join(values.select(column), column, "left_anti")
+    return rows
