@@ -472,9 +472,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = written(nodes(docs, id_col, text_col))
     _, labels = links(docs, text_col)
     full = rows.where("node is not null").join(labels, "node", "left").select(id_col, "n_shingles", F.coalesce("label", "node").alias("label"))
-    least = full.groupBy("label").agg(F.min(id_col).alias("component_id"))
+    # a component may hold a third of all rows: its rows meet its least id in SALTS tasks
+    least = full.groupBy("label").agg(F.min(id_col).alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    full = full.withColumn("salt", F.pmod(F.xxhash64(id_col, "label"), F.lit(SALTS)).cast("int"))
     empty = rows.where("node is null").select(id_col, "n_shingles", F.col(id_col).alias("component_id"))
-    return full.join(least, "label").select(id_col, "n_shingles", "component_id").unionByName(empty)
+    return full.join(least, ["label", "salt"]).select(id_col, "n_shingles", "component_id").unionByName(empty)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
