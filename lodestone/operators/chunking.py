@@ -6,9 +6,6 @@ over one section's paragraphs, which Spark's `aggregate` runs inside the row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,7 +49,6 @@ def packed(parts: Column, size: int = SIZE, overlap: int = OVERLAP, least: int =
     """Paragraphs in chunks of up to `size` characters (separators not counted); each next chunk begins with the whole last
     paragraphs of the one before that fit in `overlap`. A chunk shorter than `least` is not kept; as the last one it is
     added to the chunk before, or lost where there is none."""
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, p: s + F.length(p))
     join = lambda xs: F.array_join(xs, "\n\n")
     strings = "array<string>"
 
@@ -63,12 +59,14 @@ def packed(parts: Column, size: int = SIZE, overlap: int = OVERLAP, least: int =
                 F.struct(s["p"].alias("p"), s["n"].alias("n"), F.lit(False).alias("go"))
             ),
         )
-        return kept["p"]
+        return kept
 
     def step(s: Column, p: Column) -> Column:
-        full = (total(s["now"]) + F.length(p) > size) & (F.size(s["now"]) > 0)
+        full = (s["n"] + F.length(p) > size) & (F.size(s["now"]) > 0)
         done = F.when(F.length(join(s["now"])) >= least, F.concat(s["done"], F.array(join(s["now"])))).otherwise(s["done"])
-        return F.when(full, F.struct(done.alias("done"), F.concat(tail(s["now"]), F.array(p)).alias("now"))).otherwise(F.struct(s["done"].alias("done"), F.concat(s["now"], F.array(p)).alias("now")))
+        kept = tail(s["now"])
+        new = F.struct(done.alias("done"), F.concat(kept["p"], F.array(p)).alias("now"), (kept["n"] + F.length(p)).alias("n"))
+        return F.when(full, new).otherwise(F.struct(s["done"].alias("done"), F.concat(s["now"], F.array(p)).alias("now"), (s["n"] + F.length(p)).alias("n")))
 
     def finish(s: Column) -> Column:
         last = join(s["now"])
@@ -76,7 +74,7 @@ def packed(parts: Column, size: int = SIZE, overlap: int = OVERLAP, least: int =
         merged = F.concat(F.slice(s["done"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(s["done"], -1), F.lit("\n\n"), last)))
         return F.when(F.size(s["now"]) == 0, s["done"]).when(F.length(last) >= least, F.concat(s["done"], F.array(last))).when(n > 0, merged).otherwise(s["done"])
 
-    zero = F.struct(F.array().cast(strings).alias("done"), F.array().cast(strings).alias("now"))
+    zero = F.struct(F.array().cast(strings).alias("done"), F.array().cast(strings).alias("now"), F.lit(0).alias("n"))
     return F.aggregate(parts, zero, step, finish)
 
 
@@ -104,29 +102,14 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 def split_long(rows: DataFrame, text_col: str, most: int = MOST) -> DataFrame:
     """Chunks longer than `most` as runs of whole sentences, with their number in sub_chunk; a sentence longer than that
     stays whole."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sub_chunk int"
-    columns = [*rows.columns, "sub_chunk"]
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for row in f.itertuples(index=False):
-                row = row._asdict()
-                pieces = row.pop("sentences_")
-                if len(row[text_col]) <= most:
-                    out.append(row | {"sub_chunk": 0})
-                    continue
-                runs, now = [], ""
-                for s in pieces:
-                    if now and len(now) + 1 + len(s) > most:
-                        runs.append(now)
-                        now = s
-                    else:
-                        now = f"{now} {s}" if now else s
-                out += [row | {text_col: x, "sub_chunk": i} for i, x in enumerate([*runs, now])]
-            yield pd.DataFrame(out, columns=columns)
-
-    return rows.withColumn("sentences_", sentences(F.col(text_col))).mapInPandas(each, schema)
+    text = F.col(text_col)
+    zero = F.struct(F.array().cast("array<string>").alias("runs"), F.lit("").alias("now"))
+    fold = lambda s, x: F.when(
+        (s["now"] != "") & (F.length(s["now"]) + 1 + F.length(x) > most), F.struct(F.concat(s["runs"], F.array(s["now"])).alias("runs"), x.alias("now"))
+    ).otherwise(F.struct(s["runs"].alias("runs"), F.when(s["now"] == "", x).otherwise(F.concat(s["now"], F.lit(" "), x)).alias("now")))
+    pieces = F.when(F.length(text) <= most, F.array(text)).otherwise(F.aggregate(sentences(text), zero, fold, lambda s: F.concat(s["runs"], F.array(s["now"]))))
+    flat = rows.select(*(c for c in rows.columns if c != text_col), F.posexplode(pieces).alias("sub_chunk", text_col))
+    return flat.select(*rows.columns, "sub_chunk")
 
 
 # Signs of an equation, and of the list of its symbols.

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import written
+
 # Thresholds and weights of the checks.
 GARBLED = "�□■●◆▪▫◊○"
 CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
@@ -91,3 +93,19 @@ def stratified(rows: DataFrame, size: Column, limits: tuple[int, int], each: int
 def missing(got: Column, expected: Column) -> Column:
     """The severity of missing pages: critical beyond a tenth of what is expected; null where none is missing."""
     return F.when(expected - got > expected * 0.1, "critical").when(expected > got, "high")
+
+
+def at_ranks(rows: DataFrame, group: str, order: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """For each group, the first order column's value at places (from 0, as expressions of n, the group's rows) in that order,
+    as columns, and n. Rows are dealt by ranges of group and order, numbered in each range and offset by the ranges before,
+    so that no task orders a whole group."""
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # written, as two readings of ranges made by sampling need not agree
+    dealt = written(rows.select(group, *order).repartitionByRange(parts, group, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(group).orderBy("_range")
+    sizes = sizes.withColumn("_before", F.sum("_n").over(before) - F.col("_n")).withColumn("n", F.sum("_n").over(W.partitionBy(group)))
+    numbered = dealt.withColumn("_k", F.row_number().over(W.partitionBy(group, "_range").orderBy(*order)) - 1).join(sizes, [group, "_range"])
+    at = lambda place: F.max(F.when(F.col("_before") + F.col("_k") == place, F.col(order[0])))
+    return numbered.groupBy(group).agg(F.max("n").alias("n"), *(at(place).alias(name) for name, place in ranks.items()))

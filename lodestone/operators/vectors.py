@@ -1,7 +1,7 @@
 """Exact nearest neighbours of a query set by cosine: numpy products inside tasks, Spark merges.
 
-Queries are taken in blocks of bounded size; each task keeps the k best of its own batch for each query, so that what
-is shuffled is k rows a query and batch, whatever the number of vectors.
+Queries are taken in blocks of bounded size; each task keeps the k best of its own rows for each query, so that what is
+shuffled is k rows a query and task, whatever the number of vectors.
 """
 
 from __future__ import annotations
@@ -53,16 +53,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
 
         def each(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, q = sent.value
+            near = np.zeros((len(ids), 0), np.int64)  # the task's best so far, by id and score
+            sims = np.zeros((len(ids), 0))
             for f in frames:
                 if not len(f) or not len(ids):
                     continue
                 x, own = np.stack(f["v"].to_numpy()), f["vec_id"].to_numpy()
-                s = np.round((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)) @ q.T, 6) + 0.0
-                s[own[:, None] == ids[None, :]] = -np.inf
-                for j in range(len(ids)):
-                    best = np.lexsort((own, -s[:, j]))[:k]
-                    best = best[s[best, j] > -np.inf]
-                    yield pd.DataFrame({"query_id": ids[j], "vec_id": own[best], "score": s[best, j]})
+                s = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).T, 6) + 0.0
+                s[ids[:, None] == own[None, :]] = -np.inf
+                if s.shape[1] > k:  # a batch's k best by score, and all that tie with the last of them
+                    least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                    width = int((s >= least[:, None]).sum(1).max())
+                    top = np.argpartition(-s, width - 1, axis=1)[:, :width] if width < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(ids), 1))
+                    s, own = np.take_along_axis(s, top, 1), own[top]
+                else:
+                    own = np.tile(own, (len(ids), 1))
+                near, sims = np.concatenate([near, own], axis=1), np.concatenate([sims, s], axis=1)
+                best = np.lexsort((near, -sims), axis=1)[:, :k]
+                near, sims = np.take_along_axis(near, best, 1), np.take_along_axis(sims, best, 1)
+            row, column = np.nonzero(sims > -np.inf)
+            yield pd.DataFrame({"query_id": ids[row], "vec_id": near[row, column], "score": sims[row, column]})
 
         parts.append(rows.mapInPandas(each, "query_id long, vec_id long, score double"))
     if not parts:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import conversation, questions, text
-from lodestone.operators import graph
+from lodestone.operators import graph, quality
 from lodestone.plans.graph_queries import _EDGES, _edges
 from lodestone.plans.retrieval import Profile, retrieve
 from lodestone.plans.search_queries import _KNN, STOP, _knn, _questions
@@ -84,10 +84,9 @@ def score_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, max(n_chars) FILTER (WHERE k = n * 5 // 100 + 1) AS p5, max(n_chars) FILTER (WHERE k = n * 15 // 100 + 1) AS p15, max(n_chars) FILTER (WHERE k = n // 2 + 1) AS p50, max(n_chars) FILTER (WHERE k = n // 4 + 1) < 100 AS scanned FROM r GROUP BY source""")
 def page_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Densities of a source's pages by index, and whether they look scanned."""
-    by = W.partitionBy("source")
-    rows = table(spark, sf_dir, "documents").select("source", "n_chars", F.row_number().over(by.orderBy("n_chars", "doc_id")).alias("k"), F.count("*").over(by).alias("n"))
-    at = lambda share: F.max(F.when(F.col("k") == F.floor(F.col("n") * share / 100) + 1, F.col("n_chars")))
-    return rows.groupBy("source").agg(at(5).alias("p5"), at(15).alias("p15"), at(50).alias("p50"), (at(25) < 100).alias("scanned"))
+    place = lambda share: F.floor(F.col("n") * share / 100)
+    rows = quality.at_ranks(table(spark, sf_dir, "documents"), "source", ["n_chars", "doc_id"], {"p5": place(5), "p15": place(15), "p50": place(50), "p25": place(25)})
+    return rows.select("source", "p5", "p15", "p50", (F.col("p25") < 100).alias("scanned"))
 
 
 @query(f"""WITH {_KNN.strip()} SELECT query_id, vec_id, score, rank FROM near WHERE rank <= 3 AND score >= 0.3""")
@@ -109,7 +108,8 @@ SELECT topic, level, doc_id, rank FROM (SELECT r.*, row_number() OVER (PARTITION
 def tree_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three best nodes of each topic's highest level of summaries (here by size)."""
     rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("topic"), "doc_id", (F.col("doc_id") % 4).alias("level"), "n_chars")
-    rows = rows.withColumn("top", F.max("level").over(W.partitionBy("topic"))).where("level = top and level > 0")
+    rows = rows.where("level > 0")
+    rows = rows.join(rows.groupBy("topic").agg(F.max("level").alias("level")), ["topic", "level"])
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("topic").orderBy(F.desc("n_chars"), "doc_id"))).where("rank <= 3").select("topic", "level", "doc_id", "rank")
 
 

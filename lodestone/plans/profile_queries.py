@@ -159,11 +159,8 @@ SELECT event_type, n, round(mean, 6) AS mean, v[n // 2 + 1] AS p50, v[CAST(floor
 def latency_index_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles by index in order, spread and bounds of a measure, by kind of event."""
     rows = table(spark, sf_dir, "events").where("value is not null").select("event_type", "value")
-    # ranks rather than a list of all values of a kind
-    ranked = rows.withColumn("k", F.row_number().over(W.partitionBy("event_type").orderBy("value")))
-    sums = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.max("value").alias("most"))
-    at = lambda k, name: F.max(F.when(F.col("k") == k, F.col("value"))).alias(name)
-    picks = ranked.join(F.broadcast(sums.select("event_type", "n")), "event_type").groupBy("event_type").agg(at(F.floor(F.col("n") / 2) + 1, "p50"), at(F.floor(0.95 * F.col("n")) + 1, "p95"))
+    sums = rows.groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.max("value").alias("most"))
+    picks = quality.at_ranks(rows, "event_type", ["value"], {"p50": F.floor(F.col("n") / 2), "p95": F.floor(0.95 * F.col("n"))})
     margin = F.when(F.col("n") < 30, 2.0).otherwise(1.96) * F.col("sd") / F.sqrt("n")
     return sums.join(picks, "event_type").select("event_type", "n", F.round("mean", 6).alias("mean"), "p50", "p95", "most", F.round(F.greatest(F.lit(0.0), F.col("mean") - margin), 6).alias("low"), F.round(F.col("sd") / F.col("mean"), 6).alias("cv"))
 

@@ -178,7 +178,17 @@ def summary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.merged_summary(dense.where("rank <= 10"), dense.where("rank > 5"))
 
 
-@query()
+_WORD_SET = "list_distinct(list_filter(regexp_split_to_array(lower(d.text), '\\s+'), lambda x: x <> ''))"
+_ALIKE = "CASE WHEN len(t.w) = 0 OR len(c.w) = 0 THEN 0.0 ELSE len(list_intersect(t.w, c.w)) / (len(t.w) + len(c.w) - len(list_intersect(t.w, c.w))) END"
+
+
+@query(f"""WITH RECURSIVE {_BM25.strip()}, best AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM ranked WHERE rank <= 15),
+cand AS (SELECT b.query_id, b.doc_id, n, d.source, {_WORD_SET} AS w, (b.score - min(b.score) OVER q) / CASE WHEN max(b.score) OVER q > min(b.score) OVER q THEN max(b.score) OVER q - min(b.score) OVER q ELSE 1 END AS rel FROM best b JOIN documents d USING (doc_id) WHERE n <= 15 WINDOW q AS (PARTITION BY b.query_id)),
+r AS (SELECT query_id, 0 AS pick, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS DOUBLE) AS v, CAST([] AS STRUCT(d BIGINT, s VARCHAR, w VARCHAR[])[]) AS taken FROM cand GROUP BY query_id UNION ALL
+ SELECT query_id, pick + 1, doc_id, v, list_append(taken, {{'d': doc_id, 's': source, 'w': w}}) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, n) AS k FROM (
+  SELECT c.query_id, c.doc_id, c.n, c.source, c.w, r.pick, r.taken, 0.6 * rel - 0.4 * greatest(0.0, coalesce(list_max(list_transform(r.taken, lambda t: {_ALIKE})), 0.0)) AS v FROM r JOIN cand c ON c.query_id = r.query_id
+  WHERE r.pick < 5 AND len(list_filter(r.taken, lambda t: t.d = c.doc_id)) = 0 AND len(list_filter(r.taken, lambda t: t.s = c.source)) < 2)) WHERE k = 1)
+SELECT query_id, doc_id, pick, round(v, 6) AS mmr_score FROM r WHERE pick > 0""")
 def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five picks of each question's fifteen best, relevant and unlike each other, two a source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")

@@ -140,3 +140,82 @@ def test_deletes(spark):
     gone = spark.createDataFrame([("b",)], "s string")
     assert sorted(r.i for r in without(df, s=gone).collect()) == [1, 3, 4]
     assert sorted(r.i for r in without(df, s=["a"], i=[2]).collect()) == [3]
+
+
+def python_chunks(t, size=1000, overlap=150, least=100, most=1600):
+    """(section, chunk, sub, text) of a text whose lines are paragraphs, by plain loops."""
+    def level(x):
+        x = x.strip(" ")
+        for pattern, n in chunking.HEADINGS:
+            if re.search(pattern, x):
+                return n
+        return len(re.match("#+", x).group()) if re.search(chunking.MARKDOWN, x) else None
+
+    sections, chapter = [[0, "", "", []]], ""
+    for line in t.replace("\n", "\n\n").split("\n"):
+        if (n := level(line)) is None:
+            sections[-1][3].append(line)
+        else:
+            chapter = line.strip(" ") if n <= 2 else chapter
+            sections.append([len(sections), line.strip(" "), chapter, []])
+    out = []
+    for number, heading, own_chapter, lines in sections:
+        parts = [p.strip() for p in re.split(r"\n\s*\n", "\n".join(lines)) if p.strip()]
+        done, now = [], []
+        for p in parts:
+            if now and sum(map(len, now)) + len(p) > size:
+                if len("\n\n".join(now)) >= least:
+                    done.append("\n\n".join(now))
+                kept = []
+                for x in reversed(now):
+                    if sum(map(len, kept)) + len(x) > overlap:
+                        break
+                    kept.insert(0, x)
+                now = kept
+            now = [*now, p]
+        last = "\n\n".join(now)
+        if now and len(last) >= least:
+            done.append(last)
+        elif now and done:
+            done[-1] += "\n\n" + last
+        bare = lambda x: re.sub(r"^#+\s*", "", x).strip(" ")
+        line = " ".join(f"[{k}: {v}]" for k, v in (("Chapter", bare(own_chapter)[:50]), ("Section", bare(heading))) if v)
+        for i, body in enumerate(done):
+            whole = (line + "\n\n" if line else "") + body
+            if len(whole) <= most:
+                out.append((number, i, 0, whole))
+                continue
+            runs, sentence = [], ""
+            for x in re.split(r"(?<=[.!?])\s+", whole):
+                if sentence and len(sentence) + 1 + len(x) > most:
+                    runs.append(sentence)
+                    sentence = x
+                else:
+                    sentence = f"{sentence} {x}" if sentence else x
+            out += [(number, i, k, x) for k, x in enumerate([*runs, sentence])]
+    return out
+
+
+def test_chunks_of_all_documents(spark, data):
+    import hashlib
+
+    from lodestone.plans.graph_queries import chunk_pack
+
+    want = set()
+    for r in table(spark, data, "documents").select("doc_id", "text").collect():
+        want |= {(r.doc_id, a, b, c, len(x), hashlib.md5(x.encode()).hexdigest()) for a, b, c, x in python_chunks(r.text or "")}
+    got = {(r.doc_id, r.section, r.chunk_index, r.sub_chunk, r.chars, r.digest) for r in chunk_pack(spark, data).collect()}
+    assert got == want and any(x[3] for x in got) and any(x[2] for x in got)
+
+
+def test_equation_paragraphs_of_all_documents(spark, data):
+    import hashlib
+
+    from lodestone.plans.answer_queries import equation_paragraphs
+
+    want = set()
+    for r in table(spark, data, "documents").select("doc_id", "text").collect():
+        lines = [x for x in (r.text or "").split("\n") if x.strip(" ")]
+        some = [("q = " + x, "Where: c = " + x, x)[i % 3] for i, x in enumerate(lines)]
+        want |= {(r.doc_id, i, len(x), hashlib.md5(x.encode()).hexdigest()) for i, x in enumerate(python_merged(some, 4000))}
+    assert {(r.doc_id, r.i, r.chars, r.digest) for r in equation_paragraphs(spark, data).collect()} == want

@@ -27,8 +27,10 @@ def shown(v):
     if isinstance(v, bool):
         return str(v)
     try:
-        return f"{float(v):.5g}" if float(v) else "0"
-    except (TypeError, ValueError):
+        if float(v) == round(float(v)):  # whole numbers are compared exactly
+            return str(int(v))
+        return f"{float(v):.5g}"
+    except (TypeError, ValueError, OverflowError):
         return str(v)
 
 
