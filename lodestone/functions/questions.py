@@ -12,6 +12,9 @@ BROAD = ("overview", "summary", "summarize", "explain", "main", "key", "principl
 CODE = r"(?i)\b(code|script|function|class|import|python|sql)\b"
 NUMBER = r"\d"
 ABSTAIN = ("i don't know", "not available", "no information", "cannot determine", "not mentioned", "insufficient")
+CONTINUES = ("continue", "keep going", "go on", "more of", "pull more", "show more", "what else", "any more", "any other", "next ones")
+REFERS = ("what about", "tell me more", "can you also", "how about", "and the")
+GREETS = ("hi", "hello", "hey", "thanks", "thank you", "ok", "okay", "bye", "good morning", "good evening", "help", "what can you do")
 WRITES = r"\b(CREATE|MERGE|DELETE|DETACH|SET|REMOVE|DROP|INSERT|UPDATE|ALTER|CALL|LOAD)\b"
 
 
@@ -64,3 +67,18 @@ def session_score(score: Column) -> Column:
 def live_latency(ms: Column) -> Column:
     """1 up to half a second, then down to 0.7 at two, 0.3 at five and 0 at ten."""
     return F.when(ms <= 500, 1.0).when(ms <= 2000, 1.0 - (ms - 500) / 1500 * 0.3).when(ms <= 5000, 0.7 - (ms - 2000) / 3000 * 0.4).otherwise(F.greatest(F.lit(0.0), 0.3 - (ms - 5000) / 5000 * 0.3))
+
+
+def technical(text: Column, patterns: tuple[str, ...] = (), skips: tuple[str, ...] = ()) -> Column:
+    """Whether a message is a question that should be searched for: not a short one that goes on or refers to what was said,
+    no greeting, nothing to skip; where a domain gives patterns, one of these must be found."""
+    low = F.lower(F.trim(text))
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)) if words else F.lit(False)
+    refers = F.lit(False)
+    for phrase in REFERS:
+        refers = refers | low.startswith(phrase)
+    found = F.lit(not patterns)
+    for pattern in patterns:
+        found = found | low.rlike(pattern)
+    n = F.length(low)
+    return ~(has(CONTINUES) & (n < 60)) & ~(refers & (n < 50)) & (n >= 15) & ~has(skips) & ~low.isin(*GREETS) & found

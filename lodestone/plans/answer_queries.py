@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions import conversation, privacy, text, units
+from lodestone.functions import conversation, privacy, questions, text, units
 from lodestone.operators import chunking, evaluation, graph, quality
 from lodestone.plans.graph_queries import _UNIT, places
 from lodestone.plans.search_queries import _BM25, _LISTS, _TOKENS, _bm25, _fused
@@ -354,3 +354,19 @@ def deleted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     gone = d.where(F.col("source").startswith("src1")).select("source").distinct()
     return without(d, source=gone, lang=["fr"]).groupBy("source", "lang").agg(F.count("*").alias("n"))
+
+
+_AHEAD = ("", "what about ", "please continue with ", "hello ")
+_ASKED = "lower(trim(CASE conv_id % 4 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_AHEAD)) + " END || substr(text, 1, 20 + turn * 20)))"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, {_ASKED} AS t, turn % 5 = 4 AS search_mode FROM conversations WHERE role = 'user'),
+q AS (SELECT *, NOT (len(list_filter({words_list(questions.CONTINUES)}, lambda w: contains(t, w))) > 0 AND length(t) < 60) AND NOT (len(list_filter({words_list(questions.REFERS)}, lambda w: starts_with(t, w))) > 0 AND length(t) < 50) AND length(t) >= 15 AND NOT list_contains({words_list(questions.GREETS)}, t) AS technical FROM m)
+SELECT conv_id, turn, technical, technical AND NOT search_mode AS auto_search FROM q""")
+def auto_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that are questions to search for, and whether the search starts by itself (not in search mode, here
+    each fifth turn). Messages are cut by their turn and get openings by their conversation, as the given ones have none."""
+    ahead = F.element_at(F.array(*map(F.lit, _AHEAD)), (F.col("conv_id") % 4 + 1).cast("int"))
+    said = F.concat(ahead, F.substring("text", F.lit(1), (20 + F.col("turn") * 20).cast("int")))
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", questions.technical(said).alias("technical"))
+    return rows.select("conv_id", "turn", "technical", (F.col("technical") & (F.col("turn") % 5 != 4)).alias("auto_search"))

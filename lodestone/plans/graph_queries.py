@@ -217,34 +217,34 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_METRICS} SELECT query_id, round(keyword, 6) AS keyword, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg, round(diversity, 6) AS diversity, round(composite, 5) AS composite FROM c")
 def mrr_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of the lexical search for each question (six of its words are what it expects)."""
+    """Metrics of the lexical search for each question (six of its words are what it expects)."""
     return _scored(spark, sf_dir).select("query_id", *(F.round(k, 6).alias(k) for k in ("keyword", "mrr", "ndcg", "diversity")), F.round("composite", 5).alias("composite"))
 
 
 @query(f"WITH {_METRICS}, t AS (SELECT query_id % 5 AS tier, avg(composite) AS mean, coalesce(stddev_samp(composite), 0.0) AS stdev, count(*) AS n FROM c GROUP BY 1) SELECT tier, round(mean, 5) AS mean, round(stdev, 5) AS stdev, n, round((SELECT avg(mean) FROM t), 5) AS macro FROM t")
 def macro_average_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means by tier, and the mean of these."""
+    """Means by tier, and the mean of these."""
     rows = evaluation.by_tier(_scored(spark, sf_dir).withColumn("tier", F.col("query_id") % 5), "tier", "composite")
     return rows.crossJoin(F.broadcast(rows.agg(F.avg("mean").alias("macro")))).select("tier", F.round("mean", 5).alias("mean"), F.round("stdev", 5).alias("stdev"), "n", F.round("macro", 5).alias("macro"))  # one row beside a few
 
 
 @query(f"WITH {_METRICS} SELECT query_id % 5 AS tier, count(*) FILTER (WHERE keyword - ndcg > 0.01) AS wins, count(*) FILTER (WHERE abs(keyword - ndcg) <= 0.01) AS ties, count(*) FILTER (WHERE keyword - ndcg < -0.01) AS losses, round(avg(keyword - ndcg), 5) AS mean_delta FROM c GROUP BY 1")
 def ceiling_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wins, ties and losses of one measure against another by tier."""
+    """Wins, ties and losses of one measure against another by tier."""
     rows = evaluation.wins(_scored(spark, sf_dir).withColumn("tier", F.col("query_id") % 5), "tier", "keyword", "ndcg")
     return rows.select("tier", "wins", "ties", "losses", F.round("mean_delta", 5).alias("mean_delta"))
 
 
 @query("SELECT l.quality AS tier, round(avg(d.n_chars) FILTER (WHERE l.toxic = 1) - avg(d.n_chars) FILTER (WHERE l.toxic = 0), 4) AS delta FROM documents d JOIN labels l USING (doc_id) GROUP BY l.quality")
 def ablation_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a switch (toxic or not) does to a mean, by tier."""
+    """What a switch (toxic or not) does to a mean, by tier."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("quality").alias("tier"), (F.col("toxic") == 1).alias("on"), "n_chars")
     return evaluation.ablation(rows, "tier", "on", "n_chars").select("tier", F.round("delta", 4).alias("delta"))
 
 
 @query("""WITH v AS (SELECT event_type AS phase, user_id % 7 AS config, round(avg(value), 6) AS composite FROM events GROUP BY 1, 2) SELECT phase, config, composite, row_number() OVER (PARTITION BY phase ORDER BY composite DESC, config) AS rank FROM v""")
 def phase_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configurations of each phase, best first."""
+    """Configurations of each phase, best first."""
     rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("phase"), (F.col("user_id") % 7).alias("config")).agg(F.round(F.avg("value"), 6).alias("composite"))
     return evaluation.ranked_phases(rows, "phase", "config", "composite")
 
@@ -265,20 +265,20 @@ def manifest_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, count(*) AS files, sum(n_chars) AS size, arg_max(doc_id, n_chars * 1000000 - doc_id) AS largest, arg_min(doc_id, n_chars * 1000000 + doc_id) AS smallest FROM documents GROUP BY source", size="BIGINT")
 def manifest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files, size, largest and smallest of each source."""
+    """Files, size, largest and smallest of each source."""
     by = F.col("n_chars") * 1000000
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("size"), F.max_by("doc_id", by - F.col("doc_id")).alias("largest"), F.min_by("doc_id", by + F.col("doc_id")).alias("smallest"))
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'fr') AND source NOT IN (SELECT DISTINCT source FROM documents WHERE doc_id < 3)")
 def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of some topics after some sources are deleted."""
+    """documents of some topics after some sources are deleted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return docs.where(F.col("lang").isin("en", "fr")).join(docs.where("doc_id < 3").select("source").distinct(), "source", "left_anti").select("doc_id", "lang", "source")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_id, event_type, value FROM r WHERE k = 1""")
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An upsert's outcome, each key's last row."""
+    """An upsert's outcome, each key's last row."""
     rows = table(spark, sf_dir, "events")
     return vectors.last_of_each(rows, "user_id", F.struct("ts", "event_id")).select("user_id", "event_id", "event_type", "value")

@@ -53,7 +53,7 @@ _BROAD = words_list(questions.BROAD)
 @query(f"""SELECT conv_id, turn, len(list_filter({_BROAD}, lambda w: contains(lower(text), w))) > 0 OR len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 4 AS broad, regexp_matches(text, '(?i)\\b(code|script|function|class|import|python|sql)\\b') AS code,
 regexp_matches(text, '\\d') AS number, NOT regexp_matches(upper(text), '{questions.WRITES}') AS read_only, len(list_filter({words_list(questions.ABSTAIN)}, lambda w: contains(lower(text), w))) > 0 AS abstains FROM conversations""")
 def message_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a message is about, by simple signs."""
+    """What a message is about, by simple signs."""
     t = F.col("text")
     return table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", questions.broad(t).alias("broad"), t.rlike(questions.CODE).alias("code"), t.rlike(questions.NUMBER).alias("number"), questions.read_only(t).alias("read_only"), questions.abstains(t).alias("abstains")
@@ -66,7 +66,7 @@ _CONTENT = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'
 @query(f"""WITH a AS (SELECT conv_id, turn, role, {_CONTENT.format("text", STOP)} AS w, lag({_CONTENT.format("text", STOP)}) OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM conversations)
 SELECT conv_id, turn, round(CASE WHEN len(t) = 0 THEN CASE WHEN len(w) > 0 THEN 1.0 ELSE 0.5 END ELSE len(list_intersect(w, t)) / len(t) END, 6) AS overlap FROM a WHERE role = 'assistant' AND t IS NOT NULL""")
 def answer_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of the message before an answer takes up."""
+    """How much of the message before an answer takes up."""
     rows = table(spark, sf_dir, "conversations").withColumn("w", questions.content_words(F.col("text")))
     rows = rows.withColumn("t", F.lag("w").over(W.partitionBy("conv_id").orderBy("turn"))).where("role = 'assistant' and t is not null")
     return rows.select("conv_id", "turn", F.round(questions.overlap(F.col("w"), F.col("t")), 6).alias("overlap"))
@@ -91,13 +91,13 @@ def page_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_KNN.strip()} SELECT query_id, vec_id, score, rank FROM near WHERE rank <= 3 AND score >= 0.3""")
 def community_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best summaries with a score of 0.3 or more."""
+    """The three best summaries with a score of 0.3 or more."""
     return _knn(spark, sf_dir, 3).where("score >= 0.3").select("query_id", "vec_id", "score", "rank")
 
 
 @query(f"""WITH {_KNN.strip()}, c AS (SELECT unnest(range(0, 20)) / 20.0 AS least) SELECT round(least, 2) AS least, count(vec_id) AS hits, count(DISTINCT query_id) AS queries FROM c LEFT JOIN (SELECT * FROM near WHERE rank <= 10) n ON n.score >= least GROUP BY 1""")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each of twenty thresholds leaves of the hits."""
+    """What each of twenty thresholds leaves of the hits."""
     hits = _knn(spark, sf_dir, 10).select("query_id", "vec_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"), "score")
     found = hits.where(F.col("score") >= F.col("k") / 20).groupBy("k").agg(F.count("*").alias("hits"), F.count_distinct("query_id").alias("queries"))
     return spark.range(20).select(F.col("id").cast("int").alias("k")).join(found, "k", "left").na.fill(0).select(F.round(F.col("k") / 20, 2).alias("least"), "hits", "queries")
@@ -131,7 +131,7 @@ def specialties(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH k AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 3)) AS words FROM benchmark), m AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 3)) AS words FROM conversations WHERE role = 'user'),
 s AS (SELECT conv_id, turn, item_id, round(least(len(list_intersect(m.words, k.words)) / 5, 1.0) + 0.08, 6) AS score FROM m CROSS JOIN k), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, item_id) AS rank FROM s WHERE score > 0.1) SELECT conv_id, turn, item_id, score, rank FROM r WHERE rank <= 2""")
 def correction_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two corrections (benchmark items stand for them, each with confidence 0.8) that fit a message best,
+    """The two corrections (benchmark items stand for them, each with confidence 0.8) that fit a message best,
     by words in common. Corrections meet messages by word, not all with all."""
     words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0), lambda w: F.length(w) >= 3))
     known = table(spark, sf_dir, "benchmark").select("item_id", F.explode(words(F.col("text"))).alias("w"))
@@ -144,7 +144,7 @@ def correction_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT user_id, ts, event_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)), f AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = (SELECT max(event_type) FROM events)),
 j AS (SELECT f.event_id, f.value FROM f WHERE EXISTS (SELECT 1 FROM a WHERE a.user_id = f.user_id AND a.ts <= f.ts AND a.ts >= f.ts - INTERVAL 1 DAY)), c AS (SELECT event_id, CASE WHEN value > 50 THEN least(1.0, 0.8 + 0.05) ELSE greatest(0.0, 0.8 - 0.15) END AS confidence FROM j) SELECT event_id, round(confidence, 6) AS confidence, confidence >= 0.7 AS active FROM c""", confidence="DOUBLE")
 def correction_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidences after feedback within a day of an application."""
+    """Confidences after feedback within a day of an application."""
     rows = table(spark, sf_dir, "events")
     ends = rows.agg(F.min("event_type").alias("a"), F.max("event_type").alias("f")).first()
     used = rows.where(F.col("event_type") == ends.a).select("user_id", F.col("ts").alias("used"))
@@ -173,7 +173,7 @@ def fuzzy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first FROM events""")
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A field of JSON text."""
+    """A field of JSON text."""
     rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"), F.json_object_keys("props").alias("k"))
     return rows.select("event_id", F.element_at("m", F.element_at("k", 1)).alias("first"))
 
@@ -186,7 +186,7 @@ def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT n_regionkey, '| name | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey""")
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows as Markdown tables, each with the header."""
+    """Rows as Markdown tables, each with the header."""
     line = F.concat(F.lit("| "), F.col("n_name"), F.lit(" | "), F.col("n_nationkey").cast("string"), F.lit(" |"))
     rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line"))))["line"].alias("lines"))
     return rows.select("n_regionkey", F.concat(F.lit("| name | key |\n| --- | --- |\n"), F.array_join("lines", "\n")).alias("markdown"))
@@ -195,7 +195,7 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH n AS (SELECT page_id, regexp_extract(split_part(url, '?', 1), '([^/]*)$', 1) AS name FROM pages) SELECT page_id, CASE WHEN t = '' THEN 'unknown source' ELSE t END AS title FROM (SELECT page_id,
 lower(trim(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '(.)\.[^.]*$', '\1'), '^\d{10,}-', ''), '^\[\d+\]', ''), '[\(_]\d{4}[\)]?$', ''), '_-', '  '), '\s+', ' ', 'g'))) AS t FROM n)""")
 def title_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readable titles from addresses."""
+    """Readable titles from addresses."""
     path = F.element_at(F.split("url", r"\?"), 1)
     return table(spark, sf_dir, "pages").select("page_id", F.lower(text.clean_title(path)).alias("title"))
 

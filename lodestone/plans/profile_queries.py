@@ -38,7 +38,7 @@ w AS (SELECT *, avg(words) OVER o AS mean_words, avg(formality) OVER o AS mean_f
 SELECT conv_id, turn, n, round(mean_words, 6) AS mean_words, CASE WHEN mean_words < 10 THEN 'terse' WHEN mean_words > 50 THEN 'verbose' ELSE 'normal' END AS brevity,
  CASE WHEN mean_formality < -0.3 THEN 'casual' WHEN mean_formality > 0.3 THEN 'formal' ELSE 'neutral' END AS style, CASE WHEN ur >= 2 THEN 'urgent' WHEN ur = 1 THEN 'normal' ELSE 'relaxed' END AS urgency, round(least(1.0, te / 5.0), 6) AS depth FROM w""")
 def energy_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brevity and style over a session's last ten messages, urgency and depth of each."""
+    """Brevity and style over a session's last ten messages, urgency and depth of each."""
     by = W.partitionBy("conv_id").orderBy("turn")
     rows = _messages(spark, sf_dir).select("conv_id", "turn", c.words(F.col("text")).alias("words"), c.formality(F.col("text")).alias("formality"), c.urgency(F.col("text")).alias("urgency"), F.round(c.technical_depth(F.col("text")), 6).alias("depth"))
     rows = rows.select("*", F.avg("words").over(by.rowsBetween(-9, 0)).alias("mean"), F.avg("formality").over(by.rowsBetween(-9, 0)).alias("f"), F.row_number().over(by).alias("n"))
@@ -179,7 +179,7 @@ def profile_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS flagged, count(*) FILTER (WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY) AS last_day, count(DISTINCT user_id) AS users FROM events GROUP BY event_type""")
 def feedback_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional counts of a log by kind, with those of its last day."""
+    """Conditional counts of a log by kind, with those of its last day."""
     rows = table(spark, sf_dir, "events")
     newest = rows.agg(F.max("ts").alias("newest"))
     rows = rows.crossJoin(F.broadcast(newest))  # one row
@@ -248,7 +248,7 @@ def pii_regex_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pii_number_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plates, project and file numbers, and names behind titles."""
+    """Plates, project and file numbers, and names behind titles."""
     text = F.col("text")
     rest = [k for k in privacy.DETECTORS if k not in _PLAIN]
     return table(spark, sf_dir, "documents").select("doc_id", *(F.size(privacy.found(text, k)).alias(k) for k in rest), F.size(privacy.names(text)).alias("titled"))
@@ -256,7 +256,7 @@ def pii_number_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pii_redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with placeholders for what the detectors find."""
+    """Documents with placeholders for what the detectors find."""
     out = privacy.redacted(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(out).alias("digest"), F.length(out).alias("n"))
 

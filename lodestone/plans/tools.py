@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import inspect
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 WRITES = frozenset("CREATE MERGE DELETE DETACH SET REMOVE DROP INSERT UPDATE ALTER CALL LOAD TRUNCATE".split())
+REFLECTS = frozenset("REFLECT TRY_REFLECT JAVA_METHOD".split())
+_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
 MOST_ROWS = 1000
 
 
@@ -49,13 +52,18 @@ class Tools:
 
 
 def read_only(statement: str) -> bool:
-    words = "".join(c if c.isalnum() or c == "_" else " " for c in statement.upper()).split()
-    return not WRITES & set(words)
+    """Whether no word of a statement writes or calls into the JVM; what stands in quotes or comments is no word of it."""
+    bare = _QUOTED.sub(" ", statement)
+    words = "".join(c if c.isalnum() or c == "_" else " " for c in bare.upper()).split()
+    return not (WRITES | REFLECTS) & set(words)
 
 
 def run_sql(spark: SparkSession, statement: str) -> DataFrame:
-    """A reading statement over registered views; one without a limit gets one of MOST_ROWS rows."""
-    if not read_only(statement):
+    """A reading statement over registered views; one whose outermost part is no limit gets one of MOST_ROWS rows. The
+    statement is parsed first: commands, which Spark would run at once, are refused whatever their words."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement")]
+    if not read_only(statement) or any(k.isInstance(plan) for k in kinds):
         raise PermissionError("only statements that read are run")
     out = spark.sql(statement)
-    return out if " LIMIT " in f" {' '.join(statement.upper().split())} " else out.limit(MOST_ROWS)
+    return out if plan.nodeName() in ("GlobalLimit", "LocalLimit") else out.limit(MOST_ROWS)
