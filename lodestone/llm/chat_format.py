@@ -11,7 +11,8 @@ in order, are repaired at the least cost. For each turn dynamic programming over
 At the end an empty assistant's turn may be added (INSERT). Costs of choices add up along a conversation, so a stretch
 of turns is a matrix of least costs between states: conversations are cut into stretches of STRETCH turns, whose
 matrices are found apart, and combined in order to give the state that each stretch starts and ends in; the choices
-inside are then traced back stretch by stretch. A conversation however long is never in one task as a whole.
+inside are then traced back stretch by stretch. Only their numbering orders a whole conversation in one task, by a window
+whose sort spills; no task holds one in memory.
 
 Ties are settled towards keeping, then merging, then inserting. Null roles are unknown; a null text is empty. Turns
 are ordered by number (nulls first), then role and text; turns that repeat are all kept. A null conv_id is a
