@@ -137,3 +137,23 @@ def by_length(text: Column, pages: Column) -> Column:
     each = F.floor(F.length(text) / pages).cast("int")
     piece = lambda i: F.substring(text, i * each + 1, F.when(i == pages - 1, F.length(text)).otherwise(each))
     return F.transform(F.sequence(F.lit(0), pages.cast("int") - 1), piece)
+
+
+def display_name(path: Column) -> Column:
+    """A file's name as it is shown: no ending, spaces for underscores and hyphens, 60 characters at most."""
+    name = F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    name = F.trim(F.regexp_replace(F.translate(name, "_-", "  "), r"\s+", " "))
+    name = F.when(F.length(name) > 60, F.concat(F.substring(name, 1, 57), F.lit("..."))).otherwise(name)
+    return F.when(F.coalesce(name, F.lit("")) == "", F.lit("Document")).otherwise(name)
+
+
+def inline_citation(title: Column, page: Column, section: Column) -> Column:
+    """[Title, p.X, Section], the title cut to 50 and the section to 30 characters; parts that are empty or 0 are left out."""
+    short = F.when(F.length(title) > 50, F.concat(F.substring(title, 1, 50), F.lit("..."))).otherwise(title)
+    parts = F.concat_ws(", ", F.when(title != "", short), F.when(page != 0, F.concat(F.lit("p."), page.cast("string"))), F.when(section != "", F.substring(section, 1, 30)))
+    return F.concat(F.lit("["), F.when(parts == "", F.lit("Unknown")).otherwise(parts), F.lit("]"))
+
+
+def reference(number: Column, title: Column, page: Column, section: Column) -> Column:
+    """[1] Title Section: S Page X, without the parts that are empty or 0."""
+    return F.concat_ws(" ", F.concat(F.lit("["), number.cast("string"), F.lit("]")), F.when(title != "", title), F.when(section != "", F.concat(F.lit("Section: "), section)), F.when(page != 0, F.concat(F.lit("Page "), page.cast("string"))))

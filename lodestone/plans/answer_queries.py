@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import conversation, privacy, questions, text, units
-from lodestone.operators import chunking, evaluation, graph, quality
-from lodestone.plans.graph_queries import _UNIT, places
-from lodestone.plans.search_queries import _BM25, _LISTS, _TOKENS, _bm25, _fused
+from lodestone.operators import chunking, evaluation, graph, quality, vectors
+from lodestone.plans.graph_queries import _EDGES, _UNIT, _edges, places
+from lodestone.plans.search_queries import _BM25, _KNN, _LISTS, _TOKENS, _bm25, _fused, _knn
 from lodestone.registry import query, table, words_list
 
 _WANTED = f"kw AS (SELECT item_id AS query_id, list_sort(list_distinct({_TOKENS}))[1:6] AS keywords, list_reverse_sort(list_distinct({_TOKENS}))[1:4] AS entities FROM benchmark)"
@@ -370,3 +370,50 @@ def auto_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(ahead, F.substring("text", F.lit(1), (20 + F.col("turn") * 20).cast("int")))
     rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", questions.technical(said).alias("technical"))
     return rows.select("conv_id", "turn", "technical", (F.col("technical") & (F.col("turn") % 5 != 4)).alias("auto_search"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(split_part(url, '?', 1), '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem, page_id % 7 AS page, CASE WHEN page_id % 3 > 0 THEN url ELSE '' END AS section FROM pages),
+n AS (SELECT *, trim(regexp_replace(translate(stem, '_-', '  '), '\s+', ' ', 'g')) AS bare FROM p), t AS (SELECT *, CASE WHEN bare = '' THEN 'Document' WHEN length(bare) > 60 THEN substr(bare, 1, 57) || '...' ELSE bare END AS title FROM n)
+SELECT page_id, title, '[' || concat_ws(', ', CASE WHEN length(title) > 50 THEN substr(title, 1, 50) || '...' ELSE title END, CASE WHEN page <> 0 THEN 'p.' || page END, CASE WHEN section <> '' THEN substr(section, 1, 30) END) || ']' AS inline_form,
+ concat_ws(' ', '[' || page_id || ']', title, CASE WHEN section <> '' THEN 'Section: ' || section END, CASE WHEN page <> 0 THEN 'Page ' || page END) AS reference FROM t""")
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names as shown, and citations inline and in full (page and section follow the page's number)."""
+    rows = table(spark, sf_dir, "pages").select("page_id", text.display_name(F.element_at(F.split("url", r"\?"), 1)).alias("title"), (F.col("page_id") % 7).alias("page"), F.when(F.col("page_id") % 3 > 0, F.col("url")).otherwise("").alias("section"))
+    parts = F.col("title"), F.col("page"), F.col("section")
+    return rows.select("page_id", "title", text.inline_citation(*parts).alias("inline_form"), text.reference(F.col("page_id"), *parts).alias("reference"))
+
+
+@query(f"""WITH {_EDGES}, s AS (SELECT 'p' || p_partkey AS seed, p_name FROM part WHERE p_partkey % 50 = 0), f AS (SELECT seed, p_name, seed AS id, 0 AS hops FROM s UNION ALL SELECT seed, p_name, dst, 1 FROM s JOIN u ON src = seed)
+SELECT id, array_to_string(list_sort(list(DISTINCT p_name))[1:3], ',') AS names, min(hops) AS hops, max(CASE hops WHEN 0 THEN 1.0 ELSE 0.7 END) AS score FROM f GROUP BY id""", score="DOUBLE")
+def entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each fiftieth part reaches in a step: up to three names that lead there, least steps and best score."""
+    part = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("seed"), "p_name")
+    found = graph.hop_scores(graph.hops(_edges(spark, sf_dir), part.select(F.col("seed").alias("id")), 1)).join(part, "seed")
+    return found.groupBy("id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("p_name")), 1, 3), ",").alias("names"), F.min("hops").alias("hops"), F.max("score").alias("score"))
+
+
+@query(f"WITH {_KNN.strip()} SELECT query_id, vec_id, round(score, 4) AS score, md5(substr(text, 1, 300)) AS preview FROM near JOIN documents ON doc_id = vec_id WHERE rank <= 5")
+def collection_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """five nearest vectors with the first 300 characters of their text, scores to four digits."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 300).alias("preview"))
+    return _knn(spark, sf_dir, 5).join(docs, "vec_id").select("query_id", "vec_id", F.round("score", 4).alias("score"), F.md5("preview").alias("preview"))
+
+
+_TOPICS = {"en": ["the", "and", "ing"], "fr": ["ment", "eau", "les"], "de": ["ung", "sch", "die"], "es": ["ción", "los", "para"]}
+_MEANS = "m AS (SELECT lang AS topic, i, avg(embedding[i]::DOUBLE) AS x FROM (SELECT lang, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings JOIN documents ON doc_id = vec_id) GROUP BY 1, 2), t AS (SELECT topic, list(x ORDER BY i) AS v, sqrt(sum(x * x)) AS norm FROM m GROUP BY topic)"
+_WORDS_OF = "CASE topic " + " ".join(f"WHEN '{k}' THEN {words_list(v)}" for k, v in _TOPICS.items()) + " END"
+
+
+@query(f"""WITH {_MEANS}, q AS (SELECT doc_id, text, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 50 = 0),
+s AS (SELECT doc_id, topic, least(len(list_filter({_WORDS_OF}, lambda w: contains(lower(text), w))) / 5, 1.0) * 0.3 + 0.7 * (list_dot_product(e, v) / (q.norm * t.norm) + 1) / 2 AS score FROM q, t)
+SELECT doc_id, topic, round(score, 5) AS score FROM s""")
+def topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each topic fits each fiftieth document, by its words and by nearness to the mean of its vectors (the
+    topics, a few rows, are broadcast)."""
+    docs, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("e"))
+    rows = docs.select("doc_id", "lang", "text").join(e, "doc_id")
+    means = rows.select(F.col("lang").alias("topic"), F.posexplode("e").alias("i", "x")).groupBy("topic", "i").agg(F.avg("x").alias("x")).groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("v"))
+    words = F.create_map(*(c for k, v in _TOPICS.items() for c in (F.lit(k), F.array(*map(F.lit, v)))))
+    near = rows.where("doc_id % 50 = 0").crossJoin(F.broadcast(means))  # one row a topic
+    score = questions.route_score(F.col("text"), words[F.col("topic")], vectors.cosine(F.col("e"), F.col("v")))
+    return near.select("doc_id", "topic", F.round(score, 5).alias("score"))
