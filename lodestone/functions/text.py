@@ -28,7 +28,7 @@ def terms(text: Column) -> Column:
 
 def valid_term(term: Column, stop_words=STOP_WORDS) -> Column:
     """Three characters or more, not one character again and again, no stop word. (Terms start with a letter.)"""
-    return (F.length(term) >= 3) & (F.size(F.array_distinct(F.split(term, ""))) > 1) & ~term.isin(*stop_words)
+    return (F.length(term) >= 3) & (F.replace(term, F.substring(term, 1, 1), F.lit("")) != "") & ~term.isin(*stop_words)
 
 
 def term_ngrams(all_terms: Column, n: int, stop_words=STOP_WORDS) -> Column:
@@ -41,6 +41,19 @@ def term_ngrams(all_terms: Column, n: int, stop_words=STOP_WORDS) -> Column:
     return F.transform(good, lambda z: F.concat_ws(" ", *(z[f"t{k}"] for k in range(n))))
 
 
+def term_windows(all_terms: Column) -> Column:
+    """Each term with the two behind it: an array of structs t0, t1, t2, null beyond the end."""
+    return F.arrays_zip(*(F.slice(all_terms, k + 1, F.greatest(F.size(all_terms) - k, F.lit(0))).alias(f"t{k}") for k in range(3)))
+
+
+def profile_terms(stop_words=STOP_WORDS) -> Column:
+    """The term, pair and triple that columns t0, t1, t2 make for the corpus profile: an array with nulls for those that
+    aren't valid."""
+    t0, t1, t2 = (F.col(f"t{k}") for k in range(3))
+    fit = lambda x: ~x.isin(*stop_words) & (F.length(x) >= 2)
+    return F.array(F.when(valid_term(t0, stop_words), t0), F.when(fit(t0) & fit(t1), F.concat_ws(" ", t0, t1)), F.when(fit(t0) & fit(t2), F.concat_ws(" ", t0, t1, t2)))
+
+
 def word_set(text: Column) -> Column:
     """Distinct words between white space, in lower case."""
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))

@@ -2,7 +2,7 @@
 
 postings(topic, doc_id, term, tf, dl) and term_stats(topic, term, df, idf) are plain aggregates; a search is a join on
 (topic, term) and a sum. Inverse document frequencies are those of a document's own topic. An index is written once to
-the shared folder; statistics and searches read it and no text.
+the shared folder; searches read it and no text.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from lodestone.functions.text import tokens
 from lodestone.sources.shared import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Most terms of a set of queries that are broadcast to the postings; beyond these both are shuffled by term.
-ASKED = 200_000
+#: Most terms of a set of queries, each counted for each query and topic, that are broadcast to the postings; beyond these
+#: both are shuffled by term.
+ASKED = 400_000
 
 
 def postings(docs: DataFrame, topic: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,13 +30,13 @@ def postings(docs: DataFrame, topic: Column, id_col: str = "doc_id", text_col: s
 
 
 def index(docs: DataFrame, topic: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Postings and term statistics over them, both written once."""
+    """Postings, and term statistics over them; what both need of the texts is written once."""
     posted = written(postings(docs, topic, id_col, text_col))
+    terms = written(posted.groupBy("topic", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("held")))
     # documents without tokens have no postings, but count
     n = docs.groupBy(topic.alias("topic")).agg(F.count("*").alias("n"))
-    held = posted.groupBy("topic").agg(F.sum("tf").alias("held"))
-    topics = n.join(held, "topic", "left").select("topic", "n", (F.coalesce("held", F.lit(0)) / F.col("n")).alias("avgdl"))
-    return posted, written(term_stats(posted, topics))
+    topics = n.join(terms.groupBy("topic").agg(F.sum("held").alias("held")), "topic", "left").select("topic", "n", (F.coalesce("held", F.lit(0)) / F.col("n")).alias("avgdl"))
+    return posted, _weighed(terms.select("topic", "term", "df"), topics)
 
 
 def topic_stats(docs: DataFrame, topic: Column, text_col: str = "text") -> DataFrame:
@@ -45,7 +46,10 @@ def topic_stats(docs: DataFrame, topic: Column, text_col: str = "text") -> DataF
 
 def term_stats(posted: DataFrame, topics: DataFrame) -> DataFrame:
     """df and idf of each topic's terms; an idf below 0 becomes EPSILON times the topic's mean idf."""
-    df = posted.groupBy("topic", "term").agg(F.count("*").alias("df"))
+    return _weighed(posted.groupBy("topic", "term").agg(F.count("*").alias("df")), topics)
+
+
+def _weighed(df: DataFrame, topics: DataFrame) -> DataFrame:
     raw = df.join(topics, "topic").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("topic").agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
@@ -54,15 +58,13 @@ def term_stats(posted: DataFrame, topics: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, posted: DataFrame, stats: DataFrame, k: int, query_col: str = "query_id", text_col: str = "text") -> DataFrame:
     """The k best documents of each query in each topic, by positive score, ties to the lesser id. A query's repeated
-    tokens count again. Only postings of the queries' terms are joined: where these are few (counted first) they are
-    broadcast."""
+    tokens count again. What the queries ask for, with its weights in each topic, meets the postings in one join: where it
+    has few rows (counted first) it is broadcast."""
     asked = queries.select(F.col(query_col).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = asked.select("term").distinct()
-    if terms.limit(ASKED + 1).count() <= ASKED:
-        terms = F.broadcast(terms)
-    wanted = posted.join(terms, "term", "left_semi")
-    weight = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = wanted.join(stats.join(terms, "term", "left_semi"), ["topic", "term"]).select("topic", "doc_id", "term", weight.alias("weight"))
-    scored = weighed.join(asked, "term").groupBy("query_id", "topic", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("times")), 6).alias("score"))
+    wanted = asked.join(stats, "term").select("query_id", "topic", "term", (F.col("idf") * F.col("times") * (K1 + 1)).alias("w"), "avgdl")
+    if wanted.limit(ASKED + 1).count() <= ASKED:
+        wanted = F.broadcast(wanted)
+    score = F.col("w") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = posted.join(wanted, ["topic", "term"]).groupBy("query_id", "topic", "doc_id").agg(F.round(F.sum(score), 6).alias("score"))
     best = W.partitionBy("query_id", "topic").orderBy(F.desc("score"), "doc_id")
     return scored.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -84,9 +84,9 @@ SELECT term, frequency FROM pool ORDER BY frequency DESC, term LIMIT 100""")
 def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred top terms, pairs counting twice and triples three times."""
     found = table(spark, sf_dir, "documents").select(text.terms(F.col("text")).alias("found"))
-    kinds = [F.filter("found", lambda t: text.valid_term(t)), text.term_ngrams(F.col("found"), 2), text.term_ngrams(F.col("found"), 3)]
-    # one pass: a term's kind is the number of its words
-    rows = found.select(F.explode(F.concat(*kinds)).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n >= 2")
+    # one pass: rows of three neighbours, whose terms compiled code makes; a term's kind is the number of its words
+    near = found.select(F.inline(text.term_windows(F.col("found"))))
+    rows = near.select(F.explode(text.profile_terms()).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("n")).where("n >= 2")
     return rows.select("term", (F.col("n") * F.size(F.split("term", " "))).alias("frequency")).orderBy(F.desc("frequency"), "term").limit(100)
 
 
