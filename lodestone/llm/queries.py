@@ -91,6 +91,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.turn_repair import damaged, digests, repair
+
+    return digests(repair(damaged(_table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -101,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from lodestone.llm import oracles
 
-    return {"op2_ngram_join": oracles.NGRAM_JOIN, "op4_decontamination": oracles.DECONTAMINATION}
+    return {"op2_ngram_join": oracles.NGRAM_JOIN, "op4_decontamination": oracles.DECONTAMINATION, "op13_turn_repair": oracles.TURN_REPAIR}
