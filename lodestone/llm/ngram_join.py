@@ -24,7 +24,7 @@ component without any id has a null one. Repeated rows fall in one component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -158,9 +158,11 @@ class Order:
 
 def _order(docs: DataFrame, text_col: str, bits: int) -> Order:
     """Counts all shingles of all texts by range of hash."""
+    return shared_order(docs, text_col, bits, lambda texts: (shingles(texts)[0],), MANY)
 
-    def entries(texts: Texts):
-        return (shingles(texts)[0],)
+
+def shared_order(docs: DataFrame, text_col: str, bits: int, entries: Callable[[Texts], tuple[np.ndarray]], many: int) -> Order:
+    """Counts the hashes that entries(texts) gives, by range of hash; those of more than `many` are listed."""
 
     def emit(found) -> pa.RecordBatch:
         h = np.sort(found[0])
@@ -175,7 +177,7 @@ def _order(docs: DataFrame, text_col: str, bits: int) -> Order:
         low = low[head]
         bitmap = np.zeros(1 << (BITS - bits), bool)
         bitmap[low[n > 1] >> np.uint32(32 - (BITS - bits))] = True
-        hot = n > MANY
+        hot = n > many
         order = np.argsort(-n[hot], kind="stable")[:most]
         return pa.table([[key[0].as_py()], [np.packbits(bitmap, bitorder="little").tobytes()], [low[hot][order].astype("<u4").tobytes()], [n[hot][order].astype("<i8").tobytes()], [int(hot.sum())]], schema=ranked)
 

@@ -27,6 +27,13 @@ h AS (SELECT doc_id, x.m, k, item_id FROM x JOIN b ON x.m = b.m AND x.g = b.g),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.ws) AS contaminated FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
 
+SUBSTRING_DEDUP = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS ws FROM documents),
+x AS (SELECT doc_id, k, array_to_string(ws[k:k + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM d)), f AS (SELECT g, min(doc_id) AS first FROM x GROUP BY g),
+c AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS i FROM x JOIN f USING (g) WHERE first < doc_id),
+w AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
 
 def _edit(best: str, cost: str, letter: str, line: str | None = None, when: str = "true") -> str:
     """A (cost, audit, text) with one more edit; null where there is none."""

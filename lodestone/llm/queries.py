@@ -91,6 +91,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.suffix_dedup import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.turn_repair import damaged, digests, repair
 
@@ -107,4 +113,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from lodestone.llm import oracles
 
-    return {"op2_ngram_join": oracles.NGRAM_JOIN, "op4_decontamination": oracles.DECONTAMINATION, "op13_turn_repair": oracles.TURN_REPAIR}
+    return {"op2_ngram_join": oracles.NGRAM_JOIN, "op4_decontamination": oracles.DECONTAMINATION, "op12_substring_dedup": oracles.SUBSTRING_DEDUP, "op13_turn_repair": oracles.TURN_REPAIR}

@@ -51,3 +51,19 @@ def brute_hits(docs, items):
                     found |= own
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return sorted(out, key=str)
+
+
+def brute_repeats(rows):
+    """What is left of each text without windows of 13 words that start in a text of a lesser id."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    first = {}
+    for (i, _), w in zip(rows, words):
+        for k in range(len(w) - 12 if i is not None else 0):
+            g = tuple(w[k : k + 13])
+            first[g] = min(i, first.get(g, i))
+    out = []
+    for (i, _), w in zip(rows, words):
+        gone = {j for k in range(len(w) - 12 if i is not None else 0) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
