@@ -9,12 +9,14 @@ are; runs are judged on the input.
 2. Consecutive windows with one anchor are a context, of WINDOW to WINDOW + 8 words. Each distinct context of a slice of
    documents is written once, with the ids, texts and places it stands at. What all documents hold of a context is
    aggregated: the least and greatest id.
-3. Distinct contexts are dealt to shards by their anchors' hashes; those of an anchor in more than HOT_ROWS rows are cut
-   into single windows, which are dealt by their own hashes. In a shard they stream, in order of least id, through the
-   suffix automaton of those before: matching statistics tell for each place the state of the longest match. A state
-   is labelled with the document that first made it. A window that matches is answered with the label of the state of
-   its last WINDOW words. A context with a window that doesn't match belongs to the reference, and the automaton grows
-   by it. So each distinct window's least document is known to every context that holds it.
+3. Distinct contexts are dealt to shards by their anchors' hashes. A shard takes one anchor after another, as contexts of
+   different anchors have no window in common. Its contexts stream, in order of least id, through the suffix automaton of
+   those before: matching statistics tell for each place the state of the longest match. A state is labelled with the
+   document that first made it. A window that matches is answered with the label of the state of its last WINDOW words. A
+   context with a window that doesn't match belongs to the reference, and the automaton grows by it. So each distinct
+   window's least document is known to every context that holds it. An anchor in more than HOT_ROWS rows would make one
+   shard large; its contexts are cut into single windows, which are dealt by their own hashes and have only themselves to
+   match.
 4. Contexts with a window of a lesser document than their greatest meet their places again; each document's spans are
    joined to its text, and covered words go.
 
@@ -44,7 +46,7 @@ from lodestone.llm.tasks import by_slice, partitions, written
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
 #: Rows that hold an anchor, from which on its windows are dealt one by one.
-HOT_ROWS = 4096
+HOT_ROWS = 1024
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _U = np.uint64
 
@@ -85,8 +87,8 @@ def _counted(texts: Texts) -> tuple[np.ndarray]:
 
 
 def contexts(words: Words, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of windows, hash by which it is dealt, and own hash of each context with an anchor that may be
-    shared."""
+    """First word, number of windows, hash by which it is dealt (its anchor, or its own if it is a window alone), and own hash
+    of each context with an anchor that may be shared."""
     g, first, at = anchors(words)
     may = order.shared(g[at]) if len(at) else np.zeros(0, bool)
     first, at = first[may], at[may]
@@ -183,10 +185,10 @@ class Automaton:
 
 
 def least_documents(found: list[tuple]) -> list[list]:
-    """For contexts (least id, greatest id, words): the least document of each of their windows."""
+    """For contexts of one anchor (least id, words): the least document of each of their windows."""
     automaton, out = Automaton(), [[]] * len(found)
-    for i in sorted(range(len(found)), key=lambda i: (found[i][0], found[i][2])):
-        least, _, words = found[i]
+    for i in sorted(range(len(found)), key=lambda i: found[i]):
+        least, words = found[i]
         known = automaton.windows(words, WINDOW)
         if None in known:
             automaton.add(words, least)
@@ -195,9 +197,9 @@ def least_documents(found: list[tuple]) -> list[list]:
 
 
 def _candidates(docs: DataFrame, id_type: T.DataType, order, bits: int) -> DataFrame:
-    """Of docs (id, digest, text), the distinct contexts of each slice: shard, context, its bytes, least and greatest id, and
-    where it stands: ids, texts' digests, and first words."""
-    fields = (("shard", T.LongType()), ("context", T.LongType()), ("words", T.BinaryType()), ("least", id_type), ("most", id_type))
+    """Of docs (id, digest, text), the distinct contexts of each slice: shard, key (its anchor), context, its bytes (none for a
+    window alone), number of windows, least and greatest id, and where it stands: ids, texts' digests, and first words."""
+    fields = (("shard", T.LongType()), ("key", T.LongType()), ("context", T.LongType()), ("words", T.BinaryType()), ("n", T.IntegerType()), ("least", id_type), ("most", id_type))
     schema = T.StructType([*(T.StructField(c, t) for c, t in fields), T.StructField("ids", T.ArrayType(id_type)), T.StructField("digests", T.ArrayType(T.LongType())), T.StructField("starts", T.ArrayType(T.IntegerType()))])
 
     def work(rows: pa.RecordBatch, texts: Texts) -> pa.RecordBatch | None:
@@ -217,7 +219,8 @@ def _candidates(docs: DataFrame, id_type: T.DataType, order, bits: int) -> DataF
         offsets = pa.array(np.append(head, len(own)).astype(np.int32))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array((key[head] >> _U(64 - bits)).astype(np.int64)), pa.array(own[head].view(np.int64)), pa.array([data[a:b] for a, b in zip(begin, end)], pa.binary()),
+                pa.array((key[head] >> _U(64 - bits)).astype(np.int64)), pa.array(key[head].view(np.int64)), pa.array(own[head].view(np.int64)),
+                pa.array([b"" if x else data[a:b] for a, b, x in zip(begin, end, (key[head] == own[head]).tolist())], pa.binary()), pa.array(n[head].astype(np.int32)),
                 ids.take(pa.array(head)), ids.take(pa.array(ends - 1)), pa.ListArray.from_arrays(offsets, ids), pa.ListArray.from_arrays(offsets, rows.column(1).take(pa.array(row))),
                 pa.ListArray.from_arrays(offsets, pa.array((first - words.heads[row]).astype(np.int32))),
             ],
@@ -228,18 +231,28 @@ def _candidates(docs: DataFrame, id_type: T.DataType, order, bits: int) -> DataF
 
 
 def _answers(distinct: DataFrame, id_type: T.DataType) -> DataFrame:
-    """Of distinct contexts (shard, context, words, least, most): those with a window that starts in a document before their
+    """Of distinct contexts (shard, key, context, words, n, least, most): those with a window that starts in a document before their
     greatest, with the least document of each window."""
     schema = T.StructType([T.StructField("of", T.LongType()), T.StructField("firsts", T.ArrayType(id_type))])
 
     def each(table: pa.Table) -> pa.Table:
-        kind = table.schema.field("least").type
-        found = list(zip(*(table.column(c).to_pylist() for c in ("least", "most"))))
-        names: dict[bytes, int] = {}  # words by number, as long as the shard lasts
-        split = [[names.setdefault(w, len(names)) for w in x.as_py().split()] for x in table.column("words")]
-        firsts = least_documents([(*x, w) for x, w in zip(found, split)])
-        keep = [i for i, (f, x) in enumerate(zip(firsts, found)) if any(d < x[1] for d in f)]
-        return pa.table({"of": table.column("context").take(pa.array(keep, pa.int64())), "firsts": pa.array([firsts[i] for i in keep], pa.list_(kind))})
+        table = table.take(pa.array(np.argsort(table.column("key").to_numpy(), kind="stable"))).combine_chunks()
+        key, n = table.column("key").to_numpy(), table.column("n").to_pylist()
+        least, most = table.column("least").to_pylist(), table.column("most").to_pylist()
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
+        keep, firsts = [], []
+        for a, b in zip(head, [*head[1:], len(key)]):
+            if b - a == 1:  # nothing else has its windows
+                if least[a] < most[a]:
+                    keep.append(a)
+                    firsts.append([least[a]] * n[a])
+                continue
+            found = least_documents([(least[i], table.column("words")[i].as_py().split()) for i in range(a, b)])
+            for i, own in zip(range(a, b), found):
+                if any(d < most[i] for d in own):
+                    keep.append(i)
+                    firsts.append(own)
+        return pa.table({"of": table.column("context").take(pa.array(keep, pa.int64())), "firsts": pa.array(firsts, pa.list_(table.schema.field("least").type))})
 
     return distinct.groupBy("shard").applyInArrow(each, schema)
 
@@ -252,7 +265,7 @@ def spans(docs: DataFrame) -> DataFrame:
     bits = int(np.clip(np.ceil(np.log2(8 * partitions(docs))), 8, BITS - 3))
     order = docs.sparkSession.sparkContext.broadcast(shared_order(docs, "text", bits, _counted, HOT_ROWS))
     found = written(_candidates(docs, id_type, order, bits))
-    distinct = found.groupBy("shard", "context").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("words").alias("words"))
+    distinct = found.groupBy("shard", "key", "context").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("n").alias("n"), F.max("words").alias("words"))
     answers = written(_answers(distinct, id_type))
     met = found.select("context", "ids", "digests", "starts").join(answers, F.col("context") == F.col("of"))
     places = met.select("firsts", F.explode(F.arrays_zip("ids", "digests", "starts")).alias("x")).select("firsts", "x.ids", "x.digests", "x.starts")
