@@ -296,8 +296,8 @@ def _meetings(docs: DataFrame, text_col: str, order, bits: int) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(meet, _MEET)
 
 
-def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, order) -> DataFrame:
-    """node and its set in global order, for the wanted nodes; a bitmap of fixed size sorts out most others at once."""
+def marked(keys: DataFrame) -> np.ndarray:
+    """A bitmap of 2^24 bits of the 64-bit numbers in the first column: bit mix(x) >> 40 is set for each x."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(1 << 24, bool)
@@ -312,9 +312,14 @@ def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, order) -> DataFrame
         return pa.table({"part": [key[0].as_py()], "bits": [both.tobytes()]})
 
     whole = np.zeros((64, 1 << 15), np.uint8)
-    for r in wanted.mapInArrow(bits, "part long, bits binary").groupBy("part").applyInArrow(either, "part long, bits binary").collect():
+    for r in keys.mapInArrow(bits, "part long, bits binary").groupBy("part").applyInArrow(either, "part long, bits binary").collect():
         whole[r.part] = np.frombuffer(r.bits, np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(np.unpackbits(whole.ravel()).astype(bool))
+    return np.unpackbits(whole.ravel()).astype(bool)
+
+
+def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, order) -> DataFrame:
+    """node and its set in global order, for the wanted nodes; a bitmap of fixed size sorts out most others at once."""
+    held = docs.sparkSession.sparkContext.broadcast(marked(wanted))
 
     def work(rows: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
         h, row, n, node = shingles(texts)

@@ -18,7 +18,7 @@ are; runs are judged on the input.
    shard large; its contexts are cut into single windows, which are dealt by their own hashes and have only themselves to
    match.
 4. Contexts with a window of a lesser document than their greatest meet their places again; each document's spans are
-   joined to its text, and covered words go.
+   joined to its text, and covered words go. A bitmap of fixed size keeps most texts without spans out of that join.
 
 What a shard holds grows with the corpus, and so is not broadcast to documents: contexts go to the shard that can match
 them, and to no other. The bitmap (2^27 bits) and up to 2^20 hot anchors are all that is broadcast; once more anchors are
@@ -34,13 +34,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.bytesio import Texts, Words, mix, slices
-from lodestone.llm.ngram_join import BITS, Order, shared_order
+from lodestone.llm.ngram_join import BITS, Order, marked, shared_order
 from lodestone.llm.tasks import by_slice, partitions, written
 
 WINDOW, GRAM = 13, 5
@@ -265,7 +266,8 @@ def spans(docs: DataFrame) -> DataFrame:
     bits = int(np.clip(np.ceil(np.log2(8 * partitions(docs))), 8, BITS - 3))
     order = docs.sparkSession.sparkContext.broadcast(shared_order(docs, "text", bits, _counted, HOT_ROWS))
     found = written(_candidates(docs, id_type, order, bits))
-    distinct = found.groupBy("shard", "key", "context").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("n").alias("n"), F.max("words").alias("words"))
+    # dealt once: contexts of a shard are aggregated where they are matched
+    distinct = found.select("shard", "key", "context", "least", "most", "n", "words").repartition("shard").groupBy("shard", "key", "context").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("n").alias("n"), F.max("words").alias("words"))
     answers = written(_answers(distinct, id_type))
     met = found.select("context", "ids", "digests", "starts").join(answers, F.col("context") == F.col("of"))
     places = met.select("firsts", F.explode(F.arrays_zip("ids", "digests", "starts")).alias("x")).select("firsts", "x.ids", "x.digests", "x.starts")
@@ -287,8 +289,16 @@ def covered(n: int, starts: np.ndarray, masks: np.ndarray) -> np.ndarray:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_words, n_removed, and kept: the words that stay, joined by one space."""
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
-    found = spans(own).select(F.col("id").alias("of_id"), F.col("digest").alias("of_digest"), "spans")
-    met = own.join(found, (F.col("id") == F.col("of_id")) & (F.col("digest") == F.col("of_digest")), "left").select("id", "text", F.col("spans.start").alias("starts"), F.col("spans.mask").alias("masks"))
+    found = written(spans(own).select(F.col("id").alias("of_id"), F.col("digest").alias("of_digest"), F.col("spans.start").alias("starts"), F.col("spans.mask").alias("masks")))
+    bits = docs.sparkSession.sparkContext.broadcast(marked(found.select(F.xxhash64("of_id", "of_digest"))))
+
+    @F.pandas_udf("boolean")
+    def maybe(key: pd.Series) -> pd.Series:
+        return pd.Series(bits.value[mix(key.to_numpy().view(_U)) >> _U(40)])
+
+    own = own.withColumn("maybe", maybe(F.xxhash64("id", "digest")))
+    met = own.where("maybe").join(found, (F.col("id") == F.col("of_id")) & (F.col("digest") == F.col("of_digest")), "left").select("id", "text", "starts", "masks")
+    whole = own.where("not maybe").select("id", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("masks"))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +316,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     kept.append(b" ".join(own))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=schema.names)
 
-    return met.mapInArrow(each, schema)
+    return met.mapInArrow(each, schema).unionByName(whole.mapInArrow(each, schema))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
