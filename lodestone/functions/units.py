@@ -30,13 +30,19 @@ def unit(name: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))[short], short)
 
 
-def converted(rows: DataFrame, value: str, from_col: str, to_col: str, factors=FACTORS) -> DataFrame:
-    """The rows with `converted`: rounded to 6 (temperatures to 2), the value itself for the same unit, null for pairs that
-    aren't known. More factors can be given."""
+def rounded(value: Column, places: int) -> Column:
+    """Half away from zero, by the value's own binary digits (Spark's round goes by the shortest decimal)."""
+    scale = float(10**places)
+    return F.when(value < 0, -F.floor(-value * scale + 0.5)).otherwise(F.floor(value * scale + 0.5)) / scale
+
+
+def converted(rows: DataFrame, value: str, from_col: str, to_col: str, factors=FACTORS, places: int | None = 6) -> DataFrame:
+    """The rows with `converted`: rounded to `places` if these are given (temperatures to 2), the value itself for the same
+    unit, null for pairs that aren't known. More factors can be given."""
     spark: SparkSession = rows.sparkSession
     known = spark.createDataFrame(list(factors), "_from string, _to string, _factor double")
     a, b, v = unit(F.col(from_col)), unit(F.col(to_col)), F.col(value)
     joined = rows.withColumns({"_a": a, "_b": b}).join(F.broadcast(known), (F.col("_a") == F.col("_from")) & (F.col("_b") == F.col("_to")), "left")
     warm = F.when((F.col("_a") == "c") & (F.col("_b") == "f"), F.round(v * 9 / 5 + 32, 2)).when((F.col("_a") == "f") & (F.col("_b") == "c"), F.round((v - 32) * 5 / 9, 2))
-    out = F.coalesce(warm, F.round(v * F.col("_factor"), 6), F.when(F.col("_a") == F.col("_b"), v))
+    out = F.coalesce(warm, v * F.col("_factor") if places is None else F.round(v * F.col("_factor"), places), F.when(F.col("_a") == F.col("_b"), v))
     return joined.withColumn("converted", out).drop("_a", "_b", "_from", "_to", "_factor")

@@ -135,3 +135,61 @@ def table_rows(lines: Column, header: int, size: int) -> Column:
     ).otherwise(F.struct((s["used"] + n + 1).alias("used"), (s["rows"] + 1).alias("rows"), s["piece"].alias("piece"), F.concat(s["out"], F.array(s["piece"])).alias("out")))
     start = F.struct(F.lit(header).alias("used"), F.lit(0).alias("rows"), F.lit(0).alias("piece"), F.array().cast("array<int>").alias("out"))
     return F.aggregate(F.transform(lines, F.length), start, fold, lambda s: s["out"])
+
+
+# Sizes and overlaps that are tried against each other, with and without the line of context.
+SIZES, OVERLAPS = (400, 600, 800, 1000, 1200, 1500, 1800, 2000, 2500), (0, 50, 100, 150, 200, 300, 400)
+
+
+def matrix(sizes=SIZES, overlaps=OVERLAPS) -> list[tuple[int, int]]:
+    """(size, overlap) of all configurations whose overlap is less than half of the size."""
+    return [(s, o) for s in sizes for o in overlaps if 2 * o < s]
+
+
+def packed_sizes(lengths: Column, configs: list[tuple[int, int]], least: int = LEAST) -> Column:
+    """What packed() makes of paragraphs of the given lengths for each (size, overlap): an array of struct(size, overlap,
+    chunks, chars), from one fold over the lengths that carries a state for each configuration."""
+    ints = "array<int>"
+    span = lambda xs: F.aggregate(xs, F.lit(0), lambda a, b: a + b) + 2 * F.greatest(F.size(xs) - 1, F.lit(0))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, b: a + b)
+
+    def state(size, overlap, now, chunks, chars) -> Column:
+        return F.struct(size.cast("int").alias("size"), overlap.cast("int").alias("overlap"), now.cast(ints).alias("now"), chunks.cast("int").alias("chunks"), chars.cast("int").alias("chars"))
+
+    def kept(now: Column, overlap: Column) -> Column:
+        """The longest run of last paragraphs that fits in the overlap."""
+        n = F.aggregate(
+            F.reverse(now), F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("go")),
+            lambda s, p: F.struct(
+                (s["k"] + F.when(s["go"] & (s["n"] + p <= overlap), 1).otherwise(0)).alias("k"), (s["n"] + F.when(s["go"] & (s["n"] + p <= overlap), p).otherwise(0)).alias("n"), (s["go"] & (s["n"] + p <= overlap)).alias("go")
+            ),
+        )["k"]
+        return F.slice(now, F.size(now) - n + 1, n)
+
+    def one(s: Column, p: Column) -> Column:
+        full = (total(s["now"]) + p > s["size"]) & (F.size(s["now"]) > 0)
+        long = full & (span(s["now"]) >= least)
+        now = F.concat(F.when(full, kept(s["now"], s["overlap"])).otherwise(s["now"]), F.array(p))
+        return state(s["size"], s["overlap"], now, s["chunks"] + F.when(long, 1).otherwise(0), s["chars"] + F.when(long, span(s["now"])).otherwise(0))
+
+    def last(s: Column) -> Column:
+        end, any_ = span(s["now"]), F.size(s["now"]) > 0
+        own = any_ & (end >= least)
+        chars = s["chars"] + F.when(own, end).when(any_ & (s["chunks"] > 0), end + 2).otherwise(0)
+        return F.struct(s["size"].alias("size"), s["overlap"].alias("overlap"), (s["chunks"] + F.when(own, 1).otherwise(0)).alias("chunks"), chars.alias("chars"))
+
+    zero = F.array(*(state(F.lit(a), F.lit(b), F.array(), F.lit(0), F.lit(0)) for a, b in configs))
+    return F.aggregate(lengths, zero, lambda states, p: F.transform(states, lambda s: one(s, p)), lambda states: F.transform(states, last))
+
+
+def swept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", configs: list[tuple[int, int]] | None = None, least: int = LEAST) -> DataFrame:
+    """(config_id, size, overlap, prefixed, chunks, chars): the chunks that whole documents make under each configuration,
+    without and with the line of context, and their characters. Texts are read once; what leaves a section is a row of
+    numbers for each configuration, summed before it is shuffled."""
+    parts = sections(docs, id_col, text_col).select("heading", "chapter", F.transform(paragraphs(F.col("body")), F.length).alias("lengths"))
+    line = F.length(prefix(F.lit(""), F.col("chapter"), F.col("heading")))
+    rows = parts.select(line.alias("line"), F.explode(packed_sizes(F.col("lengths"), configs or matrix(), least)).alias("x"))
+    sums = rows.groupBy("x.size", "x.overlap").agg(F.sum("x.chunks").alias("chunks"), F.sum("x.chars").alias("bare"), F.sum(F.col("x.chunks") * F.col("line")).alias("lines"))
+    rows = sums.select("size", "overlap", F.explode(F.array(F.lit(False), F.lit(True))).alias("prefixed"), "chunks", "bare", "lines")
+    name = F.concat(F.lit("c"), "size", F.lit("_o"), "overlap", F.lit("_p"), F.col("prefixed").cast("int"))
+    return rows.select(name.alias("config_id"), "size", "overlap", "prefixed", "chunks", (F.col("bare") + F.when(F.col("prefixed"), F.col("lines")).otherwise(0)).alias("chars"))

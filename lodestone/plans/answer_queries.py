@@ -253,7 +253,7 @@ _FACTORS = ", ".join(f"('{a}', '{b}', {f!r})" for a, b, f in units.FACTORS)
 def unit_convert_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities in units of area, density, force, permeability, heat and flow."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.expr(_OF(0)).alias("ua"), F.expr(_OF(1)).alias("ub"))
-    return units.converted(rows, "l_quantity", "ua", "ub").select("l_orderkey", "l_linenumber", F.round("converted", 4).alias("converted"))
+    return units.converted(rows, "l_quantity", "ua", "ub", places=None).select("l_orderkey", "l_linenumber", units.rounded(F.col("converted"), 4).alias("converted"))
 
 
 @query("""WITH s AS (SELECT conv_id, count(*) AS got, max(turn) + 2 AS expected FROM conversations GROUP BY conv_id) SELECT conv_id, got, expected, CASE WHEN expected - got > expected * 0.1 THEN 'critical' WHEN expected > got THEN 'high' END AS severity FROM s""")

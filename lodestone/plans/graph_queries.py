@@ -7,10 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import entities, text, units
-from lodestone.operators import chunking, clusters, evaluation, graph, vectors
+from lodestone.operators import chunking, clusters, communities, evaluation, graph, vectors
 from lodestone.plans.search_queries import _BM25, _TOKENS, _bm25
 from lodestone.registry import ORACLES, query, table
-from lodestone.sources import shared
 
 
 def _contains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +46,8 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = "e AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
-def _edges(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where(where)
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
 
 
@@ -73,22 +72,18 @@ def entity_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.details(_edges(spark, sf_dir)).groupBy("id", "direction").agg(F.count("*").alias("n"), F.min("other").alias("first"))
 
 
-_SPARSE = "l_quantity >= 50 AND l_discount >= 0.09"
-
-
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE {_SPARSE}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-r AS (SELECT src AS id, src AS seen FROM u UNION SELECT r.id, u.dst FROM r JOIN u ON u.src = r.seen) SELECT id, min(seen) AS community FROM r GROUP BY id""")
+@query(f"""WITH RECURSIVE {_EDGES}, c(id, community) USING KEY (id) AS (SELECT src, min(src) FROM u GROUP BY src UNION
+ SELECT u.src, min(c.community) FROM u JOIN c ON c.id = u.dst JOIN recurring.c AS own ON own.id = u.src WHERE c.community < own.community GROUP BY u.src) SELECT id, community FROM c""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of the graph of large discounted orders."""
-    spark.sparkContext.setCheckpointDir(shared.folder(spark))
-    return graph.communities(_edges(spark, sf_dir, _SPARSE))
+    """Connected components of the graph of all orders and parts."""
+    return graph.communities(_edges(spark, sf_dir))
 
 
 @query()
-def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of the graph of all orders and parts."""
-    spark.sparkContext.setCheckpointDir(shared.folder(spark))
-    return graph.communities(_edges(spark, sf_dir))
+def leiden_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the graph of all orders (chunks) and parts (entities) at three resolutions, those of three orders or more."""
+    edges = _edges(spark, sf_dir)
+    return communities.described(communities.leiden(edges), edges.select(F.col("src").alias("id")))
 
 
 _LABELLED = " UNION ALL ".join("SELECT doc_id, unnest(regexp_extract_all(text, '" + p.replace("'", "''") + f"')) AS name, '{label}' AS label, {c} AS confidence FROM documents" for label, p, c in entities.KINDS)
@@ -138,6 +133,27 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "section", "chunk_index", "sub_chunk", F.length("content").alias("chars"), F.md5("content").alias("digest"))
 
 
+_BARE = "trim(regexp_replace({0}, '^#+\\s*', ''))"
+_CONFIGS = ", ".join(f"({a}, {b})" for a, b in chunking.matrix())
+_SECTIONS = "WITH " + ORACLES["chunk_sections"].split("FROM (WITH ", 1)[1].split("SELECT doc_id, section,")[0]
+
+
+@query(f"""{_SECTIONS.replace("WITH ", "WITH RECURSIVE ", 1)}, t AS (SELECT *, last_value(CASE WHEN level <= 2 THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS chapter FROM s),
+g AS (SELECT doc_id, section, coalesce(max(CASE WHEN level IS NOT NULL THEN trim(line) END), '') AS heading, coalesce(arg_max(chapter, i), '') AS chapter, list(CAST(length(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) AS BIGINT) ORDER BY i) FILTER (WHERE level IS NULL AND regexp_replace(line, '\\s', '', 'g') <> '') AS ls FROM t GROUP BY doc_id, section),
+b AS (SELECT doc_id, section, ls, {_BARE.format("heading")} AS h, left({_BARE.format("chapter")}, 50) AS c FROM g WHERE len(ls) > 0),
+x AS (SELECT doc_id, section, ls, CASE WHEN h = '' AND c = '' THEN 0 ELSE CASE WHEN c = '' THEN 0 ELSE length(c) + 11 END + CASE WHEN h = '' THEN 0 ELSE length(h) + 11 END + CASE WHEN h <> '' AND c <> '' THEN 1 ELSE 0 END + 2 END AS line FROM b),
+f AS (SELECT doc_id, section, ls, line, size, overlap, 0 AS i, CAST([] AS BIGINT[]) AS now, 0 AS chunks, 0 AS chars FROM x, (VALUES {_CONFIGS}) AS v(size, overlap)
+ UNION ALL SELECT doc_id, section, ls, line, size, overlap, i + 1, CASE WHEN is_full THEN list_append(now[len(now) - len(list_filter(range(1, len(now) + 1), lambda j: list_sum(now[len(now) - j + 1:]) <= overlap)) + 1:], p) ELSE list_append(now, p) END,
+ chunks + CASE WHEN is_full AND span >= 100 THEN 1 ELSE 0 END, chars + CASE WHEN is_full AND span >= 100 THEN span ELSE 0 END FROM (SELECT *, ls[i + 1] AS p, len(now) > 0 AND list_sum(now) + ls[i + 1] > size AS is_full, list_sum(now) + 2 * (len(now) - 1) AS span FROM f WHERE i < len(ls))),
+e AS (SELECT size, overlap, line, chunks + CASE WHEN span >= 100 THEN 1 ELSE 0 END AS chunks, chars + CASE WHEN span >= 100 THEN span WHEN chunks > 0 THEN span + 2 ELSE 0 END AS chars FROM (SELECT *, list_sum(now) + 2 * (len(now) - 1) AS span FROM f WHERE i = len(ls))),
+n AS (SELECT size, overlap, sum(chunks) AS chunks, sum(chars) AS bare, sum(chunks * line) AS lines FROM e GROUP BY size, overlap)
+SELECT 'c' || size || '_o' || overlap || '_p' || CAST(prefixed AS INT) AS config_id, size, overlap, prefixed, chunks, bare + CASE WHEN prefixed THEN lines ELSE 0 END AS chars FROM n, (VALUES (false), (true)) AS v(prefixed)""", size="INT", overlap="INT", chunks="BIGINT", chars="BIGINT")
+def chunk_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 114 configurations of size, overlap and context, over whole documents (each line a paragraph)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return chunking.swept(docs)
+
+
 _UNIT_VECTOR = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
 
 
@@ -147,7 +163,6 @@ r AS (SELECT v.grp, v.n, v.vec_id, v.vec_id AS cluster, [{{'id': v.vec_id, 'e':
 SELECT grp AS group, vec_id AS id, cluster FROM r""".replace("AS group", 'AS "group"'))
 def threshold_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy clusters of each label's vectors."""
-    spark.sparkContext.setCheckpointDir(shared.folder(spark))
     return clusters.by_threshold(vectors.valid(table(spark, sf_dir, "embeddings"), 64), F.col("label"), 0.5).select("group", "id", "cluster")
 
 

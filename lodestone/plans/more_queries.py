@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import conversation, questions, text
-from lodestone.operators import graph, quality
+from lodestone.operators import fuzzy, graph, quality
 from lodestone.plans.graph_queries import _EDGES, _edges
 from lodestone.plans.retrieval import Profile, retrieve
 from lodestone.plans.search_queries import _KNN, STOP, _knn, _questions
@@ -103,16 +103,6 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(20).select(F.col("id").cast("int").alias("k")).join(found, "k", "left").na.fill(0).select(F.round(F.col("k") / 20, 2).alias("least"), "hits", "queries")
 
 
-@query("""WITH r AS (SELECT lang AS topic, doc_id, doc_id % 4 AS level, n_chars FROM documents), t AS (SELECT topic, max(level) AS level FROM r WHERE level > 0 GROUP BY topic)
-SELECT topic, level, doc_id, rank FROM (SELECT r.*, row_number() OVER (PARTITION BY topic ORDER BY n_chars DESC, doc_id) AS rank FROM r JOIN t USING (topic, level)) WHERE rank <= 3""")
-def tree_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three best nodes of each topic's highest level of summaries (here by size)."""
-    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("topic"), "doc_id", (F.col("doc_id") % 4).alias("level"), "n_chars")
-    rows = rows.where("level > 0")
-    rows = rows.join(rows.groupBy("topic").agg(F.max("level").alias("level")), ["topic", "level"])
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("topic").orderBy(F.desc("n_chars"), "doc_id"))).where("rank <= 3").select("topic", "level", "doc_id", "rank")
-
-
 _FIELDS = {"geo": ["the", "ing"], "lab": ["sch", "ung"], "site": ["eau", "ción"]}
 _HITS = ", ".join(f"sum(len(list_filter({words_list(v)}, lambda w: contains(lower(text), w)))) AS {k}" for k, v in _FIELDS.items())
 
@@ -163,12 +153,21 @@ def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct()
 
 
-@query("SELECT n_name, r_name, levenshtein(n_name, r_name) AS distance FROM nation, region WHERE levenshtein(n_name, r_name) <= 6 OR contains(lower(n_name), lower(r_name))")
+_NAMES = "n AS (SELECT DISTINCT 'Part' AS label, p_name AS name FROM part UNION SELECT 'Brand', p_brand FROM part UNION SELECT 'Type', p_type FROM part UNION SELECT 'Supplier', s_name FROM supplier UNION SELECT 'Segment', c_mktsegment FROM customer)"
+
+
+@query(rf"""WITH {_NAMES}, w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{fuzzy.WORD}')) AS word FROM documents), t AS (SELECT DISTINCT label, name, unnest(regexp_extract_all(lower(name), '{fuzzy.WORD}')) AS term FROM n),
+f AS (SELECT word, term, levenshtein(word, term) AS distance FROM w JOIN (SELECT DISTINCT term FROM t) ON abs(length(word) - length(term)) <= 2 WHERE levenshtein(word, term) <= 2),
+a AS (SELECT word, label, name, min(distance) AS distance, round(max(1 - distance / greatest(length(term), length(word))), 6) AS score FROM f JOIN t USING (term) GROUP BY ALL
+ UNION ALL SELECT word, label, name, -1, 1.0 FROM (SELECT word FROM w WHERE word NOT IN (SELECT word FROM f)) JOIN n ON contains(lower(name), word)),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, distance, label, name) AS rank FROM a) SELECT word, rank, label, name, distance, score FROM r WHERE rank <= 3""", distance="BIGINT", rank="INT", score="DOUBLE")
 def fuzzy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that are near to, or part of, each other (two tables of a few rows)."""
-    n, r = table(spark, sf_dir, "nation").select("n_name"), F.broadcast(table(spark, sf_dir, "region").select("r_name"))
-    distance = F.levenshtein("n_name", "r_name")
-    return n.join(r, (distance <= 6) | F.contains(F.lower("n_name"), F.lower("r_name"))).select("n_name", "r_name", distance.alias("distance"))
+    """For every word of all documents, the three best names of five labels (parts, brands, types, suppliers, segments)
+    with a term within two edits; for words near none, names that hold them."""
+    label = lambda t, c, name: table(spark, sf_dir, t).select(F.lit(name).alias("label"), F.col(c).alias("name"))
+    names = label("part", "p_name", "Part").unionByName(label("part", "p_brand", "Brand")).unionByName(label("part", "p_type", "Type")).unionByName(label("supplier", "s_name", "Supplier")).unionByName(label("customer", "c_mktsegment", "Segment"))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(fuzzy.WORD), 0))).alias("word"))
+    return fuzzy.lookup(names, words)
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first FROM events""")

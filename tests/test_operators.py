@@ -146,7 +146,7 @@ def test_components_and_hops_cover_all_rows(spark, tmp_path):
             found |= {x: k for x in front}
         return found
 
-    got = {r.id: r.community for r in graph_queries.connected_components_all(spark, str(tmp_path)).collect()}
+    got = {r.id: r.community for r in graph_queries.connected_components(spark, str(tmp_path)).collect()}
     assert got == {x: min(within(x, 99)) for x in near}
     hops = {(r.seed, r.id): r.hops for r in graph_queries.hop_scores_all(spark, str(tmp_path)).collect()}
     assert hops == {(f"p{p}", x): k for p in range(1, 9) for x, k in within(f"p{p}", 2).items()}
