@@ -83,7 +83,7 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leiden_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the graph of all orders (chunks) and parts (entities) at three resolutions, those of three orders or more."""
     edges = _edges(spark, sf_dir)
-    return communities.described(communities.leiden(edges), edges.select(F.col("src").alias("id")))
+    return communities.described(communities.leiden(edges, passes=1), edges.select(F.col("src").alias("id")))
 
 
 _LABELLED = " UNION ALL ".join("SELECT doc_id, unnest(regexp_extract_all(text, '" + p.replace("'", "''") + f"')) AS name, '{label}' AS label, {c} AS confidence FROM documents" for label, p, c in entities.KINDS)
