@@ -25,8 +25,8 @@ them, and to no other. The bitmap (2^27 bits) and up to 2^20 hot anchors are all
 shared than the bitmap tells apart, more contexts are looked at, with the same results.
 
 Null and empty texts have no words. A null id is less than none, and none is less than it: its words all stay. Repeated
-rows of one id keep what they share with each other alone and are answered each. Ids compare by value. Words, contexts and
-texts are compared by 64-bit hashes (words inside an automaton as they are). Columns but the id and text aren't read.
+rows of one id keep what they share with each other alone and are answered each. Ids compare by value. Words and
+contexts are compared by 64-bit hashes (words inside an automaton as they are), texts of one id by 32 bits. Columns but the id and text aren't read.
 """
 
 from __future__ import annotations
@@ -199,9 +199,9 @@ def least_documents(found: list[tuple]) -> list[list]:
 
 def _candidates(docs: DataFrame, id_type: T.DataType, order, bits: int) -> DataFrame:
     """Of docs (id, digest, text), the distinct contexts of each slice: shard, key (its anchor), context, its bytes (none for a
-    window alone), number of windows, least and greatest id, and where it stands: ids, texts' digests, and first words."""
-    fields = (("shard", T.LongType()), ("key", T.LongType()), ("context", T.LongType()), ("words", T.BinaryType()), ("n", T.IntegerType()), ("least", id_type), ("most", id_type))
-    schema = T.StructType([*(T.StructField(c, t) for c, t in fields), T.StructField("ids", T.ArrayType(id_type)), T.StructField("digests", T.ArrayType(T.LongType())), T.StructField("starts", T.ArrayType(T.IntegerType()))])
+    window alone), number of windows, and where it stands: ids in order, texts' digests, and first words."""
+    fields = (("shard", T.LongType()), ("key", T.LongType()), ("context", T.LongType()), ("words", T.BinaryType()), ("n", T.IntegerType()))
+    schema = T.StructType([*(T.StructField(c, t) for c, t in fields), T.StructField("ids", T.ArrayType(id_type)), T.StructField("digests", T.ArrayType(T.IntegerType())), T.StructField("starts", T.ArrayType(T.IntegerType()))])
 
     def work(rows: pa.RecordBatch, texts: Texts) -> pa.RecordBatch | None:
         words = Words(texts, _unchanged())
@@ -213,7 +213,6 @@ def _candidates(docs: DataFrame, id_type: T.DataType, order, bits: int) -> DataF
         at = np.lexsort((first, rank[row], own))
         first, n, key, own, row = (x[at] for x in (first, n, key, own, row))
         head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        ends = np.append(head[1:], len(own))
         data = texts.data.tobytes()
         begin, end = words.starts[first[head]].tolist(), words.ends[first[head] + n[head] + WINDOW - 2].tolist()
         ids = rows.column(0).take(pa.array(row))
@@ -222,7 +221,7 @@ def _candidates(docs: DataFrame, id_type: T.DataType, order, bits: int) -> DataF
             [
                 pa.array((key[head] >> _U(64 - bits)).astype(np.int64)), pa.array(key[head].view(np.int64)), pa.array(own[head].view(np.int64)),
                 pa.array([b"" if x else data[a:b] for a, b, x in zip(begin, end, (key[head] == own[head]).tolist())], pa.binary()), pa.array(n[head].astype(np.int32)),
-                ids.take(pa.array(head)), ids.take(pa.array(ends - 1)), pa.ListArray.from_arrays(offsets, ids), pa.ListArray.from_arrays(offsets, rows.column(1).take(pa.array(row))),
+                pa.ListArray.from_arrays(offsets, ids), pa.ListArray.from_arrays(offsets, rows.column(1).take(pa.array(row))),
                 pa.ListArray.from_arrays(offsets, pa.array((first - words.heads[row]).astype(np.int32))),
             ],
             names=schema.names,
@@ -267,7 +266,7 @@ def spans(docs: DataFrame) -> DataFrame:
     order = docs.sparkSession.sparkContext.broadcast(shared_order(docs, "text", bits, _counted, HOT_ROWS))
     found = written(_candidates(docs, id_type, order, bits))
     # dealt once: contexts of a shard are aggregated where they are matched
-    distinct = found.select("shard", "key", "context", "least", "most", "n", "words").repartition("shard").groupBy("shard", "key", "context").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("n").alias("n"), F.max("words").alias("words"))
+    distinct = found.select("shard", "key", "context", F.col("ids")[0].alias("least"), F.element_at("ids", -1).alias("most"), "n", "words").repartition("shard").groupBy("shard", "key", "context").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("n").alias("n"), F.max("words").alias("words"))
     answers = written(_answers(distinct, id_type))
     met = found.select("context", "ids", "digests", "starts").join(answers, F.col("context") == F.col("of"))
     places = met.select("firsts", F.explode(F.arrays_zip("ids", "digests", "starts")).alias("x")).select("firsts", "x.ids", "x.digests", "x.starts")
@@ -288,7 +287,7 @@ def covered(n: int, starts: np.ndarray, masks: np.ndarray) -> np.ndarray:
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_words, n_removed, and kept: the words that stay, joined by one space."""
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), F.shiftright(F.xxhash64(text_col), 32).cast("int").alias("digest"), F.col(text_col).alias("text"))
     found = written(spans(own).select(F.col("id").alias("of_id"), F.col("digest").alias("of_digest"), F.col("spans.start").alias("starts"), F.col("spans.mask").alias("masks")))
     bits = docs.sparkSession.sparkContext.broadcast(marked(found.select(F.xxhash64("of_id", "of_digest"))))
 
