@@ -219,14 +219,15 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = 7
 
 
 def _sampled(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> list:
-    """(lang, text) of the sample. Rows are narrowed by the hash before they are ordered, so that no task orders all."""
+    """(lang, text) of the sample. Rows are narrowed by the hash before they are ordered, so that no task orders all. Rows that
+    repeat an id and text are one: a language is narrowed by the number of its different rows."""
     known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
     share = F.col("key").bitwiseAND(F.lit(0xFFFFF)) / F.lit(float(1 << 20))
-    counts = known.groupBy("lang").count()
+    counts = known.select("lang", "key").distinct().groupBy("lang").count()
     small = F.broadcast(counts)  # one row a language
     start = F.pmod(F.col("key"), F.length("text") - EXCERPT + 1).cast("int") + 1
     excerpt = F.when(F.length("text") > EXCERPT, F.substring("text", start, F.lit(EXCERPT))).otherwise(F.col("text"))
-    thin = known.join(small, "lang").where(share < 3.0 * SAMPLE_ROWS / F.col("count")).withColumn("text", excerpt)
+    thin = known.join(small, "lang").where(share < 3.0 * SAMPLE_ROWS / F.col("count")).dropDuplicates(["lang", "key"]).withColumn("text", excerpt)
     ranked = thin.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("key", "text"))).where(F.col("rank") <= SAMPLE_ROWS)
     total = F.sum(F.octet_length("text")).over(W.partitionBy("lang").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
     return [(r.lang, r.text) for r in ranked.withColumn("total", total).where(F.col("total") <= SAMPLE_BYTES).select("lang", "text").orderBy("lang", "text").collect()]
