@@ -196,7 +196,6 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, path: str, id_col: str
 
 def read(spark, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, and ids_crc32 of its ids as little-endian 32-bit numbers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     blocks = spark.read.schema(_SCHEMA).parquet(path)
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("part", "doc_id", "within", "n_tokens", "ids_crc32")])
 
@@ -229,7 +228,6 @@ def _block(row: dict) -> Block:
 def fetch(spark, path: str, asked: DataFrame) -> DataFrame:
     """Random access: for each row of asked (doc_id, first, count), the ids from `first` (0: the document's first) on, up to
     `count` of them, as ids; nothing where there is no such document. Only blocks that hold one are read into tasks."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     blocks = spark.read.schema(_SCHEMA).parquet(path)
     places = blocks.select("part", "block", F.posexplode("doc_id").alias("place", "doc_id"))
     wanted = asked.select("doc_id", "first", "count").join(places, "doc_id")
