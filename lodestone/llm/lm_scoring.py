@@ -52,8 +52,8 @@ FIRST, RATE, PRIOR = 0.5, 1 / 3, 100.0
 BATCH = 16384
 PART_BYTES = 16 << 20
 END, BEFORE = _U(0x5851F42D4C957F20), _U(0x14057B7EF767814F)
-#: The bits of a token's key that hold its ending.
-_ENDING = _U(0xFFFF)
+#: The bits of a token's key that hold its ending; all others are the word's hash.
+_ENDING = _U(0x1FF)
 #: The logarithm of a leaf that no token has.
 _NEVER = -1e9
 #: Rows of weights that are added up together, and tasks that are in each step.
