@@ -36,7 +36,7 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 STATES = 4
 MERGE, RELABEL, INSERT, UNKNOWN = 1, 3, 2, 3
 STRETCH = 256
-#: Most conversations of more than one stretch whose states are broadcast.
+#: Most stretches, but for first ones, whose states are broadcast.
 FEW = 10_000
 _FAR = 10**9
 #: Roles that may follow each state.
@@ -169,7 +169,8 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     # only conversations of several stretches need their states found stretch by stretch
     long = rows.where(f"position > {STRETCH}").select("conv_id").distinct().select(F.struct("conv_id").alias("key"))
-    few = long.limit(FEW + 1).count() <= FEW
+    # each of these conversations has one stretch more than it has rows here
+    few = rows.where(f"position > {STRETCH} and position % {STRETCH} = 1").limit(FEW + 1).count() <= FEW
     keyed = rows.select(F.struct("conv_id").alias("key"), "conv_id", "stretch", "position", "role")
     keyed = keyed.join(F.broadcast(long) if few else long, "key", "left_semi")
     maps = keyed.groupBy("key", "stretch").agg(F.array_sort(F.collect_list(F.struct("position", "role")))["role"].alias("roles")).select("key", "stretch", costs("roles").alias("costs"))
