@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.bytesio import Texts, Words, alphanumeric, mix, slices
-from lodestone.llm.tasks import by_slice
+from lodestone.llm.tasks import by_slice, unused
 
 WINDOW, GRAM = 13, 5
 BROADCAST_BYTES = 32 << 20
@@ -170,8 +170,9 @@ def decontaminated(
     if index is None:
         key = F.sha2(F.coalesce(text_col, F.lit("")), 256)
         found = contamination(docs.select(key.alias("row"), text_col), benchmark, "row", text_col, item_col, broadcast_bytes)
-        bad = found.where("contaminated").select(F.col("row").alias("contaminated_row"))
-        return docs.join(bad, key == F.col("contaminated_row"), "left_anti")
+        row = unused("contaminated_row", docs)
+        bad = found.where("contaminated").select(F.col("row").alias(row))
+        return docs.join(bad, key == F.col(row), "left_anti")
 
     def work(batch: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
         words = Words(texts, alphanumeric())

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.bytesio import Texts, Words, mix, slices, spaced, windows
 from lodestone.llm.components import components
-from lodestone.llm.tasks import by_slice, partitions, small_batches, written
+from lodestone.llm.tasks import by_slice, partitions, small_batches, unused, written
 
 SIZE = 5
 #: Sets that share a shingle are all paired up to so many; from there on, the shingle counts as one of many.
@@ -489,7 +489,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, but of each component one row alone: that of its least id (null ids last).
     Rows with an empty set all stay."""
-    key = "_row_of_component"
+    key = unused("_row_of_component", docs)
     schema = T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())])
 
     def work(rows: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:

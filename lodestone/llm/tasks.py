@@ -56,6 +56,14 @@ def by_slice(
     return df.mapInArrow(each, schema)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with underscores until no column of df has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(df: DataFrame) -> int:
     """Number of partitions that a scan has, as a measure of its size."""
     return df.rdd.getNumPartitions()
