@@ -1,18 +1,26 @@
 """The lexical index as tables, and Okapi BM25 over it.
 
 postings(topic, doc_id, term, tf, dl) and term_stats(topic, term, df, idf) are plain aggregates; a search is a join on
-(topic, term) and a sum. Inverse document frequencies are those of a document's own topic. An index is written once to
-the shared folder; searches read it and no text.
+(topic, term) and a sum. Inverse document frequencies are those of a document's own topic. An index of a table of files is
+written once to the shared folder and found there by later queries; searches read it and no text.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.functions.text import tokens
-from lodestone.sources.shared import written
+from lodestone.functions.text import STOP_WORDS, TOKEN, tokens
+from lodestone.sources.shared import exists, folder, renamed, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Most terms of a set of queries, each counted for each query and topic, that are broadcast to the postings; beyond these
@@ -20,13 +28,42 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 ASKED = 400_000
 
 
+#: Postings that a task hands on at once.
+BATCH = 200_000
+
+
 def postings(docs: DataFrame, topic: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Terms of documents with their counts and the document's length. Texts are dealt by id first: their terms, many times
-    as many rows, are then counted where they are made."""
-    rows = docs.select(topic.alias("topic"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
-    words = rows.select("topic", "doc_id", tokens(F.col("text")).alias("tokens"))
-    long = words.select("topic", "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return long.groupBy("topic", "doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    """Terms of documents with their counts (tf) and the document's length (dl). A document is one row, so its terms are
+    counted where it is read: no text is shuffled."""
+    rows = docs.select(topic.alias("topic"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    fields = (("term", T.StringType()), ("tf", T.LongType()), ("dl", T.IntegerType()))
+    schema = T.StructType([*rows.schema.fields[:2], *(T.StructField(c, t) for c, t in fields)])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, stop = re.compile(TOKEN).findall, frozenset(STOP_WORDS)
+        for batch in batches:
+            of, terms, tfs, dls = [], [], [], []
+
+            def made(batch=batch) -> pa.RecordBatch:
+                at = pa.array(of, pa.int64())
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(dls, pa.int32())], names=schema.names)  # noqa: B023
+
+            for i, text in enumerate(batch.column(2)):
+                counts = Counter(find((text.as_py() or "").lower()))
+                own = [(t, n) for t, n in counts.items() if len(t) > 1 and t not in stop]
+                if own:
+                    dl = sum(n for _, n in own)
+                    of += [i] * len(own)
+                    terms += [t for t, _ in own]
+                    tfs += [n for _, n in own]
+                    dls += [dl] * len(own)
+                if len(terms) >= BATCH:
+                    yield made()
+                    of, terms, tfs, dls = [], [], [], []
+            if terms:
+                yield made()
+
+    return rows.mapInArrow(each, schema)
 
 
 def index(docs: DataFrame, topic: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -39,6 +76,25 @@ def index(docs: DataFrame, topic: Column, id_col: str = "doc_id", text_col: str
     return posted, _weighed(terms.select("topic", "term", "df"), topics)
 
 
+def stored(docs: DataFrame, topic: Column, name: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The index of a table of files, built by the first that asks for it and read by all after. It is kept in the shared
+    folder under a key of the files' paths, sizes and times, the columns, `name` (which stands for the topic) and the
+    tokenizer; changed files have another key. It appears whole or not at all: it is written aside and then renamed."""
+    spark = docs.sparkSession
+    file = F.struct("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    files = docs.select(file.alias("file")).groupBy("file").agg(F.count("*").alias("n")).agg(F.count("*").alias("files"), F.sum(F.xxhash64("file").cast("decimal(38,0)")).alias("hash"), F.sum("n").alias("n")).first()
+    key = hashlib.md5(repr((files.files, str(files.hash), files.n, name, id_col, text_col, TOKEN, STOP_WORDS, EPSILON)).encode()).hexdigest()
+    path = f"{folder(spark)}/lodestone-lexical-{key}"
+    if not exists(spark, path):
+        aside = f"{path}-{uuid.uuid4().hex}"
+        posted, stats = index(docs, topic, id_col, text_col)
+        # by term, so that a reader of few terms skips most of a file
+        posted.repartition("term").sortWithinPartitions("term").write.option("compression", "zstd").parquet(f"{aside}/postings")
+        stats.write.option("compression", "zstd").parquet(f"{aside}/stats")
+        renamed(spark, aside, path)
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+
+
 def topic_stats(docs: DataFrame, topic: Column, text_col: str = "text") -> DataFrame:
     """Documents and their mean length, by topic; documents without tokens count."""
     return docs.groupBy(topic.alias("topic")).agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("avgdl"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import scores, text
-from lodestone.operators import lexical, ranking, vectors
+from lodestone.operators import lexical, profile, ranking, vectors
 from lodestone.registry import ORACLES, query, table, words_list
 
 STOP = words_list(text.STOP_WORDS)
@@ -27,7 +27,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, topic ORDER BY sc
 
 
 def _index(spark: SparkSession, sf_dir: str):
-    return lexical.index(table(spark, sf_dir, "documents"), F.col("lang"))
+    return lexical.stored(table(spark, sf_dir, "documents"), F.col("lang"), "lang")
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +62,7 @@ tri AS (SELECT ts[i] || ' ' || ts[i + 1] || ' ' || ts[i + 2] AS term, count(*) A
 
 
 def _counted(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    found = text.terms(F.col("text"))
-    column = F.filter(found, lambda t: text.valid_term(t)) if n == 1 else text.term_ngrams(found, n)
-    return table(spark, sf_dir, "documents").select(F.explode(column).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return profile.counted(table(spark, sf_dir, "documents"), (n,))
 
 
 @query(f"{_PROFILE} SELECT term, n FROM uni WHERE n >= 2")
@@ -83,10 +81,8 @@ def corpus_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT term, frequency FROM pool ORDER BY frequency DESC, term LIMIT 100""")
 def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred top terms, pairs counting twice and triples three times."""
-    found = table(spark, sf_dir, "documents").select(text.terms(F.col("text")).alias("found"))
-    # one pass: rows of three neighbours, whose terms compiled code makes; a term's kind is the number of its words
-    near = found.select(F.inline(text.term_windows(F.col("found"))))
-    rows = near.select(F.explode(text.profile_terms()).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("n")).where("n >= 2")
+    # a term's kind is the number of its words
+    rows = profile.counted(table(spark, sf_dir, "documents"), (1, 2, 3)).where("n >= 2")
     return rows.select("term", (F.col("n") * F.size(F.split("term", " "))).alias("frequency")).orderBy(F.desc("frequency"), "term").limit(100)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import corrections, trees, upserts, vectors
+from lodestone.functions import entities
+from lodestone.operators import corrections, graph_store, trees, upserts, vectors
 from lodestone.registry import query, table
 
 _BUDGET = 400_000
@@ -92,3 +93,28 @@ def tree_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each query vector, from the highest level of each topic's tree down by the three best nodes, the five best leaves."""
     nodes, queries = _tree(spark, sf_dir)
     return trees.descended(nodes, queries, 5)
+
+
+_FOUND = " UNION ALL ".join("SELECT lang, doc_id, lower(unnest(regexp_extract_all(text, '" + p.replace("'", "''") + f"'))) AS name, '{label}' AS label FROM documents" for label, p, _ in entities.KINDS)
+
+
+@query(f"""WITH x AS (SELECT DISTINCT lang, doc_id, label, name FROM ({_FOUND}) WHERE lang IS NOT NULL AND doc_id IS NOT NULL), k AS (SELECT * FROM x WHERE lang <> (SELECT min(lang) FROM documents))
+SELECT label, name, count(*) AS chunks, count(DISTINCT lang) AS topics FROM k GROUP BY label, name""")
+def graph_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of all documents' entities, built in two batches, the first applied twice; then one
+    topic rebuilt and one deleted."""
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("topic"), F.col("doc_id").alias("chunk_id"), "text")
+
+    def mentions(rows: DataFrame) -> DataFrame:
+        found = entities.extracted(rows.select(F.struct("topic", "chunk_id").alias("of"), "text"), "of", "text")
+        return found.select("of.topic", "of.chunk_id", "label", F.lower("name").alias("name"))
+
+    store = graph_store.GraphStore(spark)
+    first = mentions(docs.where("chunk_id % 2 = 0"))
+    store.merge(first)
+    store.merge(mentions(store.new_chunks(docs)))  # what the store has no mention of: the other half, and texts without names
+    store.merge(first)
+    topics = sorted(r.topic for r in docs.select("topic").where("topic is not null").distinct().collect())
+    store.rebuild(topics[-1:], lambda own: mentions(docs.where(F.col("topic").isin(*own))))
+    store.delete_topics(topics[:1])
+    return store.entities()

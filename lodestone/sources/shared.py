@@ -26,3 +26,21 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _path(spark, path)
+    return files.exists(at)
+
+
+def renamed(spark: SparkSession, source: str, target: str) -> None:
+    """Gives a folder its final name; if another session was first, its folder stays and this one goes."""
+    files, at = _path(spark, source)
+    _, to = _path(spark, target)
+    if files.exists(to) or not files.rename(at, to):
+        files.delete(at, True)
