@@ -234,3 +234,16 @@ def test_deep_and_broken_nesting_stays_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 200 << 20
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<article><p>One two.</p><div class="notice-of-appeal"><p>The court held.</p></div></article>', "One two. The court held."),
+    ('<article><p>One.</p><div class="tasting-menu">Soup and fish.</div><div class="site-menu">Home</div></article>', "One. Soup and fish."),
+    ('<article><p>One.</p><section class="related-work">They did it first.</section><div class="adBox">Buy</div></article>', "One. They did it first."),
+    ('<body><div class="site-nav">Home</div><div id="social-science"><p>A body of text.</p></div><div id="social-bar">Share</div></body>', "A body of text."),
+    ('<body><form id="aspnetForm"><nav>Menu</nav><div><p>All of the page.</p><label>Name</label><input></div><div class="comments">Nice</div></form></body>', "All of the page."),
+    ('<body><p>The page has text of its own here.</p><form><p>Search</p></form></body>', "The page has text of its own here."),
+    ('<body><div class="newsletter"><form><p>Sign up for a very long letter.</p></form></div><p>Short.</p></body>', "Short."),
+])
+def test_names_and_forms_that_only_look_like_furniture(page, want):
+    assert html_extract.main_texts([page]) == [want]
