@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.operators.quality import at_ranks
+from lodestone.sources.shared import written
+
 
 def _unit(f: pd.DataFrame) -> np.ndarray:
     x = np.stack(f["v"].to_numpy())
@@ -21,8 +23,9 @@ def by_threshold(vectors: DataFrame, group: Column, least: float = 0.7, id_col:
 
     Runs in each group, in rounds: the first `lot` rows by id that no earlier seed has taken are settled among themselves,
     and their seeds then take what they can of the group's other rows, which are dealt to lots so that no task holds an
-    unbounded group. Clusters are the same at every lot. Groups of up to `lot` rows need one round; for others the
-    caller sets a checkpoint folder.
+    unbounded group. Which id is the last of the first `lot` is found by ranges, so that no task sorts a group. Clusters are the
+    same at every lot. Groups of up to `lot` rows need one round; a larger one needs as many as its seeds fill lots, each with
+    a few jobs when this is called.
     """
     rows = vectors.select(group.alias("group"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     lots = rows.groupBy("group").agg(F.ceil(F.count("*") / lot).alias("lots"))
@@ -52,20 +55,23 @@ def by_threshold(vectors: DataFrame, group: Column, least: float = 0.7, id_col:
                 free = free[~hit]
         return pd.DataFrame({"group": rest["group"], "lot": rest["lot"], "id": rest["id"], "v": rest["v"], "cluster": cluster})
 
-    def first(rest: DataFrame) -> DataFrame:
-        rank = F.rank().over(W.partitionBy("group").orderBy("id"))
-        return rest.select("group", "id", "v", rank.alias("k")).where(F.col("k") <= lot).groupBy("group").applyInPandas(settle, f"group {kind}, id long, cluster long, v array<double>")
+    def first(rest: DataFrame, all_of_it: bool) -> DataFrame:
+        own = rest.select("group", "id", "v")
+        if not all_of_it:
+            edges = at_ranks(own.select("group", "id"), "group", ["id"], {"edge": F.least(F.col("n"), F.lit(lot)) - 1}).select("group", "edge")
+            own = own.join(edges, "group").where("id <= edge").drop("edge")
+        return own.groupBy("group").applyInPandas(settle, f"group {kind}, id long, cluster long, v array<double>")
 
     rest = rows.join(F.broadcast(lots), "group").withColumn("lot", F.pmod(F.xxhash64("id"), "lots")).select("group", "lot", "id", "v")
     if not lots.where("lots > 1").limit(1).count():
-        return first(rest).select("group", "id", "cluster")
+        return first(rest, True).select("group", "id", "cluster")
     out = None
     while out is None or rest.limit(1).count():
-        head = first(rest).checkpoint()
+        head = written(first(rest, False))
         last = head.groupBy("group").agg(F.max("id").alias("last"))
         seeds = head.where("v is not null").join(F.broadcast(last), "group").join(F.broadcast(lots), "group")
         seeds = seeds.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), "id", "v", "last")
-        met = rest.groupBy("group", "lot").cogroup(seeds.groupBy("group", "lot")).applyInPandas(take, f"group {kind}, lot long, id long, v array<double>, cluster long").checkpoint()
+        met = written(rest.groupBy("group", "lot").cogroup(seeds.groupBy("group", "lot")).applyInPandas(take, f"group {kind}, lot long, id long, v array<double>, cluster long"))
         found = head.select("group", "id", "cluster").unionByName(met.where("cluster is not null").select("group", "id", "cluster"))
         out = found if out is None else out.unionByName(found)
         rest = met.where("cluster is null").drop("cluster")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scores, text
 from lodestone.operators import lexical, profile, ranking, vectors
-from lodestone.registry import ORACLES, query, table, words_list
+from lodestone.registry import query, table, words_list
 
 STOP = words_list(text.STOP_WORDS)
 _TOKENS = f"list_filter(regexp_extract_all(lower(text), '{text.TOKEN}'), lambda t: length(t) > 1 AND NOT list_contains({STOP}, t))"
@@ -209,18 +209,10 @@ def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "topic", F.array_join("rows.body", "\n\n").alias("context"), F.array_join(refs, ",").alias("refs"))
 
 
-@query("""WITH w AS (SELECT doc_id, lang, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS ws FROM documents WHERE n_chars <= 2000),
+@query("""WITH w AS (SELECT doc_id, lang, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS ws FROM documents),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.ws, b.ws)) AS n_both, len(a.ws) AS x, len(b.ws) AS y FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 AND a.lang = b.lang)
 SELECT a, b, round(CASE WHEN x = 0 OR y = 0 THEN 0.0 ELSE n_both / (x + y - n_both) END, 6) AS jaccard FROM p""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word-set similarity of neighbouring documents of a language."""
-    rows = table(spark, sf_dir, "documents").where("n_chars <= 2000").select("doc_id", "lang", text.word_set(F.col("text")).alias("ws"))
-    other = rows.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("ws").alias("other"), F.col("doc_id").alias("b"))
-    return rows.join(other, ["doc_id", "lang"]).select(F.col("doc_id").alias("a"), "b", F.round(text.jaccard(F.col("ws"), F.col("other")), 6).alias("jaccard"))
-
-
-@query(ORACLES["jaccard_pairs"].replace(" WHERE n_chars <= 2000", ""))
-def jaccard_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-set similarity of all neighbouring documents of a language, however long."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", text.word_set(F.col("text")).alias("ws"))
     other = rows.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("ws").alias("other"), F.col("doc_id").alias("b"))

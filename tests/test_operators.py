@@ -158,7 +158,7 @@ def test_jaccard_of_long_neighbours(spark, tmp_path):
     long = " ".join(f"w{k}" for k in range(1000))
     rows = [(1, long, "en", len(long)), (2, long + " x", "en", len(long) + 2), (3, "w1 y", "en", None), (4, "w1", "de", 2)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.a, r.b): r.jaccard for r in search_queries.jaccard_pairs_all(spark, str(tmp_path)).collect()}
+    got = {(r.a, r.b): r.jaccard for r in search_queries.jaccard_pairs(spark, str(tmp_path)).collect()}
     assert got == {(1, 2): round(1000 / 1001, 6), (2, 3): round(1 / 1002, 6)}
 
 
