@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import results, scores
+from lodestone.functions import display, results, scores
 from lodestone.operators import quality, routing, vectors
 from lodestone.plans.profile_queries import _FLAGS, _OF, _POINTS
 from lodestone.plans.search_queries import _DOT, _KNN, _knn
@@ -117,3 +117,36 @@ def extractor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With which extractor sources ended, and how many of them passed."""
     rows = extractor_escalation(spark, sf_dir)
     return routing.counts(rows.select(F.element_at(F.split("tried", ","), -1).alias("extractor"), "passed")).withColumnRenamed("documents", "sources")
+
+
+def _chain(sql: str, patterns: tuple[str, ...]) -> str:
+    for p in patterns:
+        sql = f"regexp_replace({sql}, '(?i){p}', '', 'g')"
+    return sql
+
+
+_ENDINGS = ("", " - libgen.li", " (z-lib.org)", " [PDFDrive] __", " (2014)")
+_ENDED = "list_extract([" + ", ".join(f"'{x}'" for x in _ENDINGS) + "], CAST(page_id % 5 AS INT) + 1)"
+_WITHOUT = _chain("title", display.ARTIFACTS)
+_STEM = r"regexp_replace(regexp_extract(split_part(url, '?', 1), '([^/]*)/*$', 1), '([^.])\.[^.]*$', '\1')"
+_SOURCE = r"trim(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(stem, '^\d{10,}-', ''), '^\[\d+\]', ''), '\(\d{4}\)$', ''), '_', ' '), '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH p AS (SELECT page_id, regexp_extract(split_part(url, '?', 1), '([^/]*)/*$', 1) || {_ENDED} AS title, {_STEM} AS stem FROM pages WHERE url IS NOT NULL), c AS (SELECT page_id, title, trim(regexp_replace(trim(regexp_replace({_WITHOUT}, '\s+', ' ', 'g')), '[,\-_]+$', '')) AS bare, {_SOURCE} AS source FROM p)
+SELECT page_id, CASE WHEN bare = '' THEN title ELSE bare END AS title, CASE WHEN source = '' THEN 'Unknown Source' WHEN source = lower(source) THEN array_to_string(list_transform(string_split(source, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE source END AS source FROM c""")
+def citation_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles (file names, with what downloads append to every page but a fifth) and sources of citations, clean."""
+    path = F.element_at(F.split("url", r"\?"), 1)
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("page_id") % 5 + 1).cast("int"))
+    title = F.concat(F.regexp_extract(path, "([^/]*)/*$", 1), ending)
+    return table(spark, sf_dir, "pages").where("url is not null").select("page_id", display.citation_title(title).alias("title"), display.citation_source(path).alias("source"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_returnflag, 'Series: ' || l_returnflag || ' (' || count(*) || ' points)' || chr(10) || '  X range: ' || format('{:.3g}', min(l_quantity)) || ' to ' || format('{:.3g}', max(l_quantity)) || chr(10) || '  Y range: ' || format('{:.3g}', min(l_extendedprice)) || ' to ' || format('{:.3g}', max(l_extendedprice)) AS line FROM lineitem GROUP BY l_orderkey, l_returnflag)
+SELECT l_orderkey AS figure, 'Figure: Order ' || l_orderkey || chr(10) || 'Type: scatter' || chr(10) || 'X-axis: Quantity' || chr(10) || 'Y-axis: Price (USD)' || chr(10) || string_agg(line, chr(10) ORDER BY l_returnflag) AS searchable FROM s GROUP BY l_orderkey""")
+def figure_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as a figure of price over quantity, with a series a return flag, as text for a search."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.collect_list(F.struct(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))).alias("points"))
+    figures = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_returnflag").alias("name"), "points"))).alias("series"))
+    title = F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"))
+    return figures.select(F.col("l_orderkey").alias("figure"), display.figure_text(title, F.lit("scatter"), "Quantity", "Price", "USD", F.col("series")).alias("searchable"))

@@ -90,3 +90,19 @@ def test_stages_are_shared_and_finished_sets_are_skipped(spark, tmp_path):
     fresh.get("base", {"x": 3}, [], lambda: spark.range(1))
     assert fresh.made == 1  # other inputs are other stages
     assert len(experiments.RETRIEVAL) == 15
+
+
+def test_three_digits(spark):
+    from lodestone.functions.display import three_digits
+
+    values = [0.0, 1.0, 17.0, 99.95, 999.5, 12350.0, 12450.0, 104999.0, 999999.0, 0.5, 0.0123456, 0.000123456, 0.0000123456, -3.14159, -1234.5, 1e9, 1e-7, 100.0, 10.04, 0.09996]
+    got = [r.t for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", three_digits(F.col("v")).alias("t")).orderBy("i").collect()]
+    assert got == [f"{v:.3g}" for v in values]
+
+
+def test_titles_and_sources(spark):
+    from lodestone.functions.display import citation_source, citation_title
+
+    show = lambda f, v: spark.createDataFrame([(v,)], "v string").select(f(F.col("v")).alias("o")).first().o
+    assert show(citation_title, "Soil  Mechanics - libgen.li") == "Soil Mechanics" and show(citation_title, "A B [ PDFdrive ] __") == "A B" and show(citation_title, "(z-lib.org)") == "(z-lib.org)"
+    assert show(citation_source, "/x/1234567890-soil_mechanics(2014).pdf") == "Soil Mechanics" and show(citation_source, "") == "Unknown Source" and show(citation_source, "a/[12]Deep Piles.tar.gz") == "Deep Piles.tar"
