@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import entities
-from lodestone.operators import corrections, graph_store, trees, upserts, vectors
+from lodestone.operators import corrections, graph_store, mixtures, trees, upserts, vectors
 from lodestone.registry import query, table
 
 _BUDGET = 400_000
@@ -118,3 +118,11 @@ def graph_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.rebuild(topics[-1:], lambda own: mentions(docs.where(F.col("topic").isin(*own))))
     store.delete_topics(topics[:1])
     return store.entities()
+
+
+@query()
+def topic_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each topic's vectors in soft clusters, a component for each ten rows."""
+    rows = vectors.valid(table(spark, sf_dir, "embeddings"), 64).select(F.col("label").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = mixtures.clustered(rows)
+    return found.select(F.col("group").alias("topic"), F.col("id").alias("vec_id"), "cluster", F.round("probability", 6).alias("probability"), "members")
