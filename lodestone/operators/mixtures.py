@@ -92,7 +92,7 @@ def _summed(parts: DataFrame, kind: str) -> DataFrame:
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("lot").to_numpy(), kind="stable")
         total = _matrix(table.column("sums"))[order].sum(0)
-        return pa.table({"group": [key[0].as_py()], "lot": pa.array([int(table.column("lot").to_numpy().min())]), "sums": [total.tolist()]})
+        return pa.table({"group": pa.array([key[0].as_py()], key[0].type), "lot": pa.array([int(table.column("lot").to_numpy().min())]), "sums": [total.tolist()]})
 
     some = parts.withColumn("some", F.floor(F.col("lot") / TOGETHER)).groupBy("group", "some").applyInArrow(add, f"group {kind}, lot long, sums array<double>")
     return some.groupBy("group").applyInArrow(add, f"group {kind}, lot long, sums array<double>").select("group", "sums")
@@ -135,7 +135,7 @@ def fitted(rows: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]
 
     def expect(key: tuple[pa.Scalar, ...], own: pa.Table, models: pa.Table) -> pa.Table:
         m = Model(models.column("k")[0].as_py(), np.array(models.column("model")[0].as_py()))
-        return pa.table({"group": [key[0].as_py()], "lot": [key[1].as_py()], "sums": [m.sums(_matrix(own.column("v"))).tolist()]})
+        return pa.table({"group": pa.array([key[0].as_py()], key[0].type), "lot": [key[1].as_py()], "sums": [m.sums(_matrix(own.column("v"))).tolist()]})
 
     @F.udf("array<double>")
     def improve(k, flat, sums):

@@ -53,3 +53,10 @@ def test_equal_to_numpy_in_any_lots(spark, monkeypatch):
 
 def test_components_follow_size():
     assert [mixtures.components(n) for n in (0, 1, 2, 3, 9, 10, 29, 100, 10_000)] == [1, 1, 1, 1, 1, 1, 2, 10, 64]
+
+
+def test_groups_of_small_whole_numbers(spark):
+    rows = spark.createDataFrame([(g, i, [float(i % 7), float(g)]) for g in (1, 2) for i in range(30)], "group int, id int, v array<float>")
+    got = mixtures.clustered(rows, rounds=2)
+    assert dict(got.dtypes)["group"] == "int" and got.count() == 60
+    assert mixtures.clustered(rows.where("id < 0"), rounds=2).count() == 0
