@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.operators.matching import ascii_words
+
 #: (label, pattern, confidence); a domain gives its own. Standards, licences and contacts by default.
 KINDS = (
     ("Standard", r"\b(?:ASTM|ISO|EN|DIN|CSA)\s?[A-Z]?\d{2,5}(?:-\d+)?\b", 0.95),
@@ -19,7 +21,7 @@ KINDS = (
 
 def extracted(rows: DataFrame, id_col: str, text_col: str, kinds=KINDS) -> DataFrame:
     """(id, name, label, confidence) of all matches."""
-    parts = [rows.select(id_col, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(p), 0)).alias("name"), F.lit(label).alias("label"), F.lit(c).alias("confidence")) for label, p, c in kinds]
+    parts = [rows.select(id_col, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(ascii_words(p)), 0)).alias("name"), F.lit(label).alias("label"), F.lit(c).alias("confidence")) for label, p, c in kinds]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import conversation, privacy, scores, text, units
+from lodestone.functions import conversation, entities, privacy, scores, text, units
 from lodestone.operators import chunking, clusters, graph, matching, ranking, sessions, vectors
 from lodestone.sources import files
 
@@ -195,6 +195,14 @@ def test_positions(spark):
     assert {(r.a, r.b) for r in near} == {("ab", "12"), ("cd", "12"), ("cd", "345"), ("e", "6")}
 
 
+def test_words_end_at_letters_of_other_scripts_as_in_sql(spark):
+    rows = spark.createDataFrame([(1, "éAIR 12 FRANÇAIS"), (2, None)], "id long, t string")
+    found = [(r.found, r.at) for r in matching.positions(rows, "id", "t", r"\b[A-Z]{3,}\b").orderBy("at").collect()]
+    assert found == [("AIR", 1), ("FRAN", 8), ("AIS", 13)]
+    names = entities.extracted(rows.withColumn("t", F.lit("éISO 123")), "id", "t").where("label = 'Standard' and id = 1").collect()
+    assert [r.name for r in names] == ["ISO 123"]
+
+
 def test_communities(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("z", "z")], "src string, dst string")
     assert {r.id: r.community for r in graph.communities(edges).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
