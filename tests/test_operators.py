@@ -195,6 +195,19 @@ def test_positions(spark):
     assert {(r.a, r.b) for r in near} == {("ab", "12"), ("cd", "12"), ("cd", "345"), ("e", "6")}
 
 
+def test_nearest_in_tiles_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ROWS", 7)
+    monkeypatch.setattr(vectors, "BLOCK", 5)
+    v = np.random.default_rng(3).integers(-2, 3, (120, 4)) + 0.5  # many copies, which tie
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in vectors.nearest(rows, rows.where("vec_id % 9 = 0"), 10).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(0, 120, 9):
+        near = sorted((-round(float(unit[q] @ unit[i]), 6), i) for i in range(120) if i != q)[:10]
+        assert [got.pop((q, k)) for k in range(1, 11)] == [i for _, i in near]
+    assert not got
+
+
 def test_words_end_at_letters_of_other_scripts_as_in_sql(spark):
     rows = spark.createDataFrame([(1, "éAIR 12 FRANÇAIS"), (2, None)], "id long, t string")
     found = [(r.found, r.at) for r in matching.positions(rows, "id", "t", r"\b[A-Z]{3,}\b").orderBy("at").collect()]
