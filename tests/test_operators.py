@@ -319,3 +319,29 @@ def test_page_routing(spark):
     assert [(r.page, r.content_type, r.text[:7]) for r in routing.with_charts(pages, charts).orderBy("position").collect()] == [(1, "prose", "xxxxxxx"), (1, "chart_data", "{}"), (1, "prose", "a chart"), (2, "prose", "xxxxxxx"), (3, "prose", "short")]
     wanted = spark.createDataFrame([("d", 1, "text"), ("d", 2, "ocr")], "doc string, page int, extractor string")
     assert {r.page: (r.text or "")[:1] for r in routing.merged({"text": pages, "ocr": pages.limit(0)}, wanted).collect()} == {1: "x", 2: ""}
+
+
+def test_components_leave_fewer_edges_each_round(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    place = r.permutation(300)
+    pairs = [(int(place[i]), int(place[i + 1])) for i in range(299) if i % 60] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7), (None, 3), (5, None)]
+    sizes, own = [], graph.written
+
+    def seen(df):
+        out = own(df)
+        if df.columns == ["high", "low"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", seen)
+    got = {x.id: x.community for x in graph.communities(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    least = {v: v for p in pairs for v in p if v is not None and len(set(p)) == 2 and None not in p}
+    for _ in least:
+        before = dict(least)
+        for a, b in pairs:
+            if a is not None and b is not None and a != b:
+                least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    assert got == least
+    assert sizes[-1] == 0 and all(2 * b <= a for a, b in zip(sizes, sizes[1:]))
