@@ -8,7 +8,9 @@ and checked by the distance itself. Names and words are compared in lower case.
 looked up as a part of names, of which all parts are keys.
 
 Null names and words meet nothing; a name repeated under a label is one. What an index holds grows with the names, not
-with the texts that are asked; nothing is broadcast unless Spark knows it to be small.
+with the texts that are asked.
+Nothing is broadcast: Spark guesses what terms and keys take from the size of compressed files, of which they are many
+times the size, and they would be built in the driver.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ def near(terms: DataFrame, words: DataFrame, most: int = DISTANCE) -> DataFrame:
     asked = words.select(F.lower("word").alias("word")).where("word is not null").distinct()
     index = own.select("term", F.explode(_term_keys(F.col("term"), most)).alias("key"))
     looked = asked.select("word", F.explode(_word_keys(F.col("word"), most)).alias("key"))
-    met = index.join(looked, "key").where(F.abs(F.length("term") - F.length("word")) <= most).select("term", "word").distinct()
+    met = index.hint("merge").join(looked.hint("merge"), "key").where(F.abs(F.length("term") - F.length("word")) <= most).select("term", "word").distinct()
     return met.withColumn("distance", F.levenshtein("term", "word")).where(F.col("distance") <= most)
 
 
@@ -87,7 +89,7 @@ def held(names: DataFrame, words: DataFrame, least: int = 1) -> DataFrame:
     starts = own.select("name", "low", F.explode(F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)))).alias("at"))
     parts = starts.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("at") + 1), lambda n: F.substring(F.col("low"), F.col("at"), n))).alias("word"))
     asked = words.select(F.lower("word").alias("word")).where((F.col("word").isNotNull()) & (F.length("word") >= least)).distinct()
-    return parts.where(F.length("word") >= least).distinct().join(asked, "word").select("name", "word")
+    return parts.where(F.length("word") >= least).distinct().hint("merge").join(asked.hint("merge"), "word").select("name", "word")
 
 
 def lookup(names: DataFrame, words: DataFrame, top: int = 3, most: int = DISTANCE) -> DataFrame:
@@ -97,8 +99,8 @@ def lookup(names: DataFrame, words: DataFrame, top: int = 3, most: int = DISTANC
     terms = names.select("label", "name", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(WORD), 0))).alias("term"))
     found = near(terms, words, most)
     score = 1 - F.col("distance") / F.greatest(F.length("term"), F.length("word"))
-    fuzzy = found.join(terms, "term").groupBy("word", "label", "name").agg(F.min("distance").cast("long").alias("distance"), F.round(F.max(score), 6).alias("score"))
-    rest = words.select(F.lower("word").alias("word")).where("word is not null").distinct().join(found.select("word").distinct(), "word", "left_anti")
-    part = held(names, rest).join(names, "name").select("word", "label", "name", F.lit(-1).cast("long").alias("distance"), F.lit(1.0).alias("score"))
+    fuzzy = found.hint("merge").join(terms.hint("merge"), "term").groupBy("word", "label", "name").agg(F.min("distance").cast("long").alias("distance"), F.round(F.max(score), 6).alias("score"))
+    rest = words.select(F.lower("word").alias("word")).where("word is not null").distinct().join(found.select("word").distinct().hint("merge"), "word", "left_anti")
+    part = held(names, rest).hint("merge").join(names.hint("merge"), "name").select("word", "label", "name", F.lit(-1).cast("long").alias("distance"), F.lit(1.0).alias("score"))
     rank = F.row_number().over(W.partitionBy("word").orderBy(F.desc("score"), "distance", "label", "name"))
     return fuzzy.unionByName(part).withColumn("rank", rank).where(F.col("rank") <= top).select("word", "rank", "label", "name", "distance", "score")

@@ -150,3 +150,10 @@ def test_sweep_counts_what_packing_makes(spark, size, overlap):
 def test_sweep_reads_texts_once(spark, data):
     plan = chunking.swept(spark.read.parquet(f"{data}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
+
+
+def test_lookup_builds_nothing_in_the_driver(spark):
+    names = spark.createDataFrame([("A", "green ball"), ("B", "cube")], "label string, name string")
+    found = fuzzy.lookup(names, spark.createDataFrame([("gren",), ("ub",)], "word string"))
+    assert {(r.word, r.label) for r in found.collect()} == {("gren", "A"), ("ub", "B")}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
