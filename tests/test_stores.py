@@ -142,3 +142,38 @@ def test_graph_store_merges_once_and_leaves_no_orphans(spark):
     assert names(store) == {("L", "new"): (1, 1)}
     store.delete_topics(["a"])
     assert names(store) == {} and store.mentions().count() == 0
+
+
+def test_tokens_are_those_of_the_pattern():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab1.-. \nÉK­İ\x00\ud800_") for _ in range(rng.randrange(25))) for _ in range(3000)] + ["The end. A-b.c- the 3.5."]
+    count = lexical.counter()
+    for t in texts:
+        assert dict(count(t)) == Counter(w for w in re.findall(TOKEN, t.lower()) if len(w) > 1 and w not in STOP_WORDS)
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 20])
+def test_a_search_hands_on_the_best_of_each_task_alone(spark, monkeypatch, cells):
+    monkeypatch.setattr(lexical, "CELLS", cells)
+    rng = random.Random(2)
+    docs = [(i, rng.choice(["en", "de", None]), " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(9)))) for i in range(400)]
+    asked = [(q, " ".join(f"w{rng.randrange(14)}" for _ in range(4))) for q in range(9)]
+    queries = spark.createDataFrame([*asked, (99, None)], "query_id long, text string")
+    plain = {}
+
+    def found(rows):
+        posted, stats = lexical.index(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3, "doc_id"), F.col("lang"))
+        out = {(r.query_id, r.topic, r["rank"]): (r.doc_id, r.score) for r in lexical.search(queries, posted, stats, 4).collect()}
+        handed = []
+        with monkeypatch.context() as m:
+            summed = lexical._summed
+            m.setattr(lexical, "_summed", lambda *a: handed.append(summed(*a)))
+            plain.update({(r.query_id, r.topic, r["rank"]): (r.doc_id, r.score) for r in lexical.search(queries, posted, stats, 4).collect()})
+        return out, handed[0], posted.rdd.getNumPartitions()
+
+    out, handed, tasks = found(docs)
+    assert out == plain and len({q for q, _, _ in out}) == 9
+    assert handed.count() <= tasks * 9 * 2 * 4 < lexical.flat(lexical.packed(spark.createDataFrame(docs, "doc_id long, lang string, text string"), F.col("lang"))).count()
+    plain.clear()
+    out, handed, _ = found([*docs, *docs[:3]])  # ids that repeat count together, wherever their rows are
+    assert out == plain and handed is None
