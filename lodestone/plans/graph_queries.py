@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import entities, text, units
 from lodestone.operators import chunking, clusters, communities, evaluation, graph, vectors
-from lodestone.plans.search_queries import _BM25, _TOKENS, _bm25
+from lodestone.plans.search_queries import _BM25, _TOKENS, _bm25, _with_documents
 from lodestone.registry import ORACLES, query, table
 
 
@@ -221,12 +221,11 @@ s AS (SELECT query_id, keyword, mrr, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     words = F.slice(F.array_sort(F.array_distinct(text.tokens(F.col("text")))), 1, 6)
     keywords = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("keywords"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     best = _bm25(spark, sf_dir, 5).withColumn("rank", rank).where("rank <= 5").select("query_id", "doc_id", "rank")
-    rows = best.join(docs, "doc_id").join(keywords, "query_id").withColumn("ms", F.col("query_id") % 20 * 50.0)
+    rows = _with_documents(best, spark, sf_dir, "text", "source").join(keywords, "query_id").withColumn("ms", F.col("query_id") % 20 * 50.0)
     return evaluation.per_query(rows)
 
 

@@ -177,3 +177,17 @@ def test_a_search_hands_on_the_best_of_each_task_alone(spark, monkeypatch, cells
     plain.clear()
     out, handed, _ = found([*docs, *docs[:3]])  # ids that repeat count together, wherever their rows are
     assert out == plain and handed is None
+
+
+@pytest.mark.parametrize("name", ["mrr_ndcg", "macro_average_by_tier", "live_hits", "context_blocks", "mmr_rerank"])
+def test_hits_meet_their_documents_without_a_shuffle_of_texts(spark, data, name):
+    from lodestone.plans import catalog
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")  # less than the documents, as it is where they are many
+    try:
+        plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "documents.parquet" in physical and not re.search(r"Exchange hashpartitioning\(doc_id", physical), physical
