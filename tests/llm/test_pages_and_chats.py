@@ -247,3 +247,30 @@ def test_deep_and_broken_nesting_stays_small():
 ])
 def test_names_and_forms_that_only_look_like_furniture(page, want):
     assert html_extract.main_texts([page]) == [want]
+
+
+def boxed(i, notice):
+    own = " ".join(f"own{i * 31 + k}" for k in range(40))
+    return f"<article><h1>title {i}</h1><p>{own}</p><section><p>{notice}</p></section></article>", f"title {i} {own}"
+
+
+def test_articles_pass_the_suffix_array(spark, monkeypatch):
+    """A notice in a container of its own on all pages goes; near copies of a text in one, and a passage of articles, stay."""
+    notice = "this notice stands in a section of its own on every page of the host"
+    body = " ".join(f"w{k}" for k in range(60))
+    pages = [boxed(i, notice)[0] for i in range(20)]
+    near = [f"<article><h1>copy {i}</h1><div><p>{body} end{i}</p></div></article>" for i in range(9)]
+    want = [boxed(i, notice)[1] for i in range(20)] + [f"copy {i} {body} end{i}" for i in range(9)]
+    assert texts(*pages, *near) == want
+    assert texts(*pages[:2]) == [f"{x} {notice}" for x in want[:2]]
+    df = spark.createDataFrame([(i, "http://h/", x) for i, x in enumerate([*pages, *near, pages[3]])], "page_id long, url string, html string").repartition(3)
+    for size in (4 << 20, 900):
+        monkeypatch.setattr(html_extract, "GROUP_BYTES", size)
+        assert [r.text for r in html_extract.extract(df).orderBy("page_id").collect()] == [*want, want[3]]
+
+
+def test_every_page_has_a_stream_in_the_array(spark, monkeypatch):
+    seen = []
+    real = html_extract.runs
+    monkeypatch.setattr(html_extract, "runs", lambda tokens, page: (seen.append(len(tokens)), real(tokens, page))[1])
+    assert texts("<article><p>one two three</p></article>", "<article>four</article>") == ["one two three", "four"] and seen == [4]
