@@ -1,4 +1,4 @@
-"""Main text of web pages: page structure first, and a suffix array over each host's pages for what structure leaves open.
+"""Main text of web pages: page structure first, then a suffix array over each host's pages, which every page passes.
 
 A page is cut into blocks at block-level tags. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms
 and comments, known by element, role or class, are never text. Where a page has an <article> or <main>, the blocks in it
