@@ -14,9 +14,9 @@
    bound.
 5. Components are found over the verified links.
 
-What is broadcast has a fixed bound: a bitmap of 2^27 bits and up to HOT shingles with counts. Where more are common, the
-others (those of the lowest counts) sort among the rare ones but still make stars: each set's number of them is counted,
-and candidates need so many fewer shared shingles. That costs more candidates and changes no result.
+What is broadcast has a fixed bound: a bitmap of 2^27 bits and a table of HOT bytes, in which a shingle of many sets finds the
+level of its count by leading bits of its hash. A rare shingle that meets such a cell sorts among those of many and is met
+only in the shorter prefix. Where cells fill up that costs more candidates and changes no result.
 
 Texts without words, null texts included, have an empty set and are linked with nothing; a null id takes part, and a
 component without any id has a null one. Repeated rows fall in one component.
@@ -39,7 +39,10 @@ from lodestone.llm.tasks import by_slice, partitions, small_batches, unused, wri
 SIZE = 5
 #: Sets that share a shingle are all paired up to so many; from there on, the shingle counts as one of many.
 MANY = 16
-HOT = 1 << 20
+#: Cells of the table of counts, a power of two.
+HOT = 1 << 25
+#: Levels of a count for each doubling.
+FINE = 12
 BITS = 27
 #: Candidates of a probe that are verified together.
 TOGETHER = 256
@@ -134,25 +137,22 @@ def _low(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Order:
-    """The global order of shingles, and which of them may occur in more than one text. complete: whether keys are all the
-    shingles of more than MANY texts."""
+    """The global order of shingles, and which of them may occur in more than one text. cells: levels of counts of more than
+    `many`, by leading bits of hash; 0 where there is none."""
 
-    def __init__(self, bits: int, bitmap: np.ndarray, keys: np.ndarray, counts: np.ndarray, complete: bool):
-        self.bits, self.bitmap, self.keys, self.counts, self.complete = bits, bitmap, keys, counts, complete
+    def __init__(self, bitmap: np.ndarray, cells: np.ndarray, many: int):
+        self.bitmap, self.cells, self.bits = bitmap, cells, len(cells).bit_length() - 1
+        self.levels = np.append(0, many * 2.0 ** (np.arange(255) / FINE)).astype(np.int64)
 
     def shared(self, h: np.ndarray) -> np.ndarray:
         at = h >> _U(64 - BITS)
         return self.bitmap[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1 == 1
 
     def weight(self, h: np.ndarray) -> np.ndarray:
-        """0 for a rare shingle, else its count."""
+        """0 for a rare shingle; else about its count, or that of one whose cell it meets."""
         out = np.zeros(len(h), np.int64)
-        if len(self.keys):
-            key = h >> _U(32 - self.bits)
-            maybe = np.flatnonzero(self.shared(h))
-            at = np.searchsorted(self.keys, key[maybe])
-            at[at == len(self.keys)] = 0
-            out[maybe] = np.where(self.keys[at] == key[maybe], self.counts[at], 0)
+        maybe = np.flatnonzero(self.shared(h))
+        out[maybe] = self.levels[self.cells[h[maybe] >> _U(64 - self.bits) if self.bits else np.zeros(len(maybe), np.int64)]]
         return out
 
 
@@ -162,7 +162,7 @@ def _order(docs: DataFrame, text_col: str, bits: int) -> Order:
 
 
 def shared_order(docs: DataFrame, text_col: str, bits: int, entries: Callable[[Texts], tuple[np.ndarray]], many: int) -> Order:
-    """Counts the hashes that entries(texts) gives, by range of hash; those of more than `many` are listed."""
+    """Counts the hashes that entries(texts) gives, by range of hash; those of more than `many` have a level."""
 
     def emit(found) -> pa.RecordBatch:
         h = np.sort(found[0])
@@ -178,41 +178,41 @@ def shared_order(docs: DataFrame, text_col: str, bits: int, entries: Callable[[T
         bitmap = np.zeros(1 << (BITS - bits), bool)
         bitmap[low[n > 1] >> np.uint32(32 - (BITS - bits))] = True
         hot = n > many
-        order = np.argsort(-n[hot], kind="stable")[:most]
-        return pa.table([[key[0].as_py()], [np.packbits(bitmap, bitorder="little").tobytes()], [low[hot][order].astype("<u4").tobytes()], [n[hot][order].astype("<i8").tobytes()], [int(hot.sum())]], schema=ranked)
+        levels = np.zeros(1 << max(0, fine - bits), np.uint8)
+        at = low[hot] >> np.uint32(32 - (fine - bits)) if fine > bits else np.zeros(int(hot.sum()), np.uint32)
+        np.maximum.at(levels, at, (1 + np.minimum(254, FINE * np.log2(n[hot] / many))).astype(np.uint8))
+        return pa.table([[key[0].as_py()], [np.packbits(bitmap, bitorder="little").tobytes()], [levels.tobytes()]], schema=ranged)
 
     def combine(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """Ranges of one coarse range, with their common shingles whole."""
+        """Ranges of one coarse range."""
         bitmap = np.zeros((1 << (bits - coarse), width), np.uint8)
-        keys, counts = [], []
-        for bucket, own, low, n in zip(*(table.column(c).to_pylist() for c in ("bucket", "bitmap", "low", "n"))):
+        levels = np.zeros(1 << max(0, fine - coarse), np.uint8)
+        for bucket, own, of in zip(*(table.column(c).to_pylist() for c in ("bucket", "bitmap", "levels"))):
             bitmap[bucket & ((1 << (bits - coarse)) - 1)] = np.frombuffer(own, np.uint8)
-            keys.append((_U(bucket) << _U(32)) | np.frombuffer(low, "<u4").astype(_U))
-            counts.append(np.frombuffer(n, "<i8"))
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        top = np.lexsort((keys, -counts))[:most]
-        return pa.table([[key[0].as_py()], [bitmap.tobytes()], [keys[top].astype("<u8").tobytes()], [counts[top].tobytes()], [sum(table.column("common").to_pylist())]], schema=ranked)
+            put(levels, first(bucket, bits) - first(key[0].as_py(), coarse), of)
+        return pa.table([[key[0].as_py()], [bitmap.tobytes()], [levels.tobytes()]], schema=ranged)
 
+    def first(bucket: int, of: int) -> int:
+        """The first cell of a range by so many leading bits."""
+        return bucket << (fine - of) if fine >= of else bucket >> (of - fine)
+
+    def put(cells: np.ndarray, at: int, levels: bytes) -> None:
+        cells[at : at + len(levels)] = np.maximum(cells[at : at + len(levels)], np.frombuffer(levels, np.uint8))
+
+    fine = max(1, HOT).bit_length() - 1
     width = 1 << (BITS - bits - 3)
     coarse = min(bits, COARSE)
-    most = HOT >> (coarse - 3)  # a coarse range's share, eight times over
-    ranked = pa.schema([("bucket", pa.int64()), ("bitmap", pa.binary()), ("low", pa.binary()), ("n", pa.binary()), ("common", pa.int64())])
-    fields = "bucket long, bitmap binary, low binary, n binary, common long"
+    ranged = pa.schema([("bucket", pa.int64()), ("bitmap", pa.binary()), ("levels", pa.binary())])
+    fields = "bucket long, bitmap binary, levels binary"
     ranges = _gathered(docs, text_col, "bucket long, low binary", entries, emit).groupBy("bucket").applyInArrow(count, fields)
     ranges = ranges.withColumn("range", F.shiftright("bucket", bits - coarse)).groupBy("range").applyInArrow(combine, fields)
-    whole = np.zeros(1 << (BITS - 3), np.uint8)
-    keys, counts, common = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
+    whole, cells = np.zeros(1 << (BITS - 3), np.uint8), np.zeros(1 << fine, np.uint8)
     size = width << (bits - coarse)
-    # at most 2^COARSE rows, of 2^27 bits and 8 * HOT counts in all
+    # at most 2^COARSE rows, of 2^27 bits and HOT bytes in all
     for r in ranges.toLocalIterator():
         whole[r.bucket * size : (r.bucket + 1) * size] = np.frombuffer(r.bitmap, np.uint8)
-        keys.append(np.frombuffer(r.low, "<u8"))
-        counts.append(np.frombuffer(r.n, "<i8"))
-        common += r.common
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    top = np.lexsort((keys, -counts))[:HOT]
-    top = top[np.argsort(keys[top])]
-    return Order(bits, whole, keys[top], counts[top], common == len(top))
+        put(cells, first(r.bucket, coarse), r.levels)
+    return Order(whole, cells, many)
 
 
 def _ranked(order: Order, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +228,7 @@ _MEET = "kind int, a long, b long, n long, need long, pivot long"
 def _meetings(docs: DataFrame, text_col: str, order, bits: int) -> DataFrame:
     """kind 0: pairs of nodes, a being the probe, with the shingles of few sets that they share in a range and how many
     such they need (0: a star, whose centre is a); kind 1: a shingle of many sets and one of these, whose size stands in
-    `need`, with the star's centre as pivot; kind 2: a node a with n shingles of many sets that the order doesn't list."""
+    `need`, with the star's centre as pivot."""
 
     def entries(texts: Texts):
         h, row, n, node = shingles(texts)
@@ -276,9 +276,6 @@ def _meetings(docs: DataFrame, text_col: str, order, bits: int) -> DataFrame:
             of = head[few & (size == s)]
             i, j = np.triu_indices(s, 1)
             pairs((of[:, None] + i).ravel(), (of[:, None] + j).ravel())
-        listed = np.isin(low[head].astype(_U) | _U(key[0].as_py() << 32), order.value.keys)
-        unlisted = node[np.repeat((size > MANY) & ~listed, size)]
-        rows.append((np.full(len(unlisted), 2), unlisted, *(np.zeros(len(unlisted), np.int64),) * 3))
         for start, s in zip(head[size > MANY].tolist(), size[size > MANY].tolist()):
             own = np.arange(start, start + s)
             best = own[np.lexsort((node[own], -central[own]))[0]]
@@ -413,17 +410,17 @@ def _verify(pairs: DataFrame, sets: DataFrame, order) -> DataFrame:
     return other.unionByName(own).groupBy("a", "lot").applyInArrow(each, "a long, b long, linked boolean, star boolean, added long, missing long, hot long")
 
 
-def _left_over(many: DataFrame, labels: DataFrame, stars: DataFrame, complete: bool) -> DataFrame:
+def _left_over(many: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame:
     """Pairs of sets in different components that share a shingle of many sets and may be linked.
 
     Let a pair's sets differ from the centre of their star by added shingles X and Y and by missing ones A and B. They
     differ from each other by |X| + |Y| - 2 |X and Y| + |A| - |B| at least, and by a seventh of their sizes at most if
     they are linked. A shingle of few sets in both X and Y would have made them a pair before; so X and Y share at most
-    as many as the lesser of them has of shingles of many sets (at most all, if the order doesn't list all of these).
+    as many as the lesser of them has of shingles of many sets.
 
     The sets of a shingle that aren't in its largest component meet all its sets lot by lot, LOT sets by LOT sets.
     """
-    info = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "added", "missing", F.col("hot" if complete else "added").alias("hot"))
+    info = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "added", "missing", "hot")
     at = many.join(labels, "node", "left").select("shingle", "node", "size", "pivot", F.coalesce("label", "node").alias("label"))
     by_label = at.groupBy("shingle", "label").agg(F.count("*").alias("n"))
     mixed = by_label.groupBy("shingle").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("labels > 1")
@@ -444,17 +441,10 @@ def links(docs: DataFrame, text_col: str = "text", bits: int | None = None) -> t
     """Links between different sets that leave no component of the link graph apart, and the components' labels. bits: the
     power of two of ranges of hash, by the number of partitions if not given."""
     bits = int(np.clip(np.ceil(np.log2(4 * partitions(docs))), 8, BITS - 3)) if bits is None else bits
-    found = _order(docs, text_col, bits)
-    order = docs.sparkSession.sparkContext.broadcast(found)
+    order = docs.sparkSession.sparkContext.broadcast(_order(docs, text_col, bits))
     met = written(_meetings(docs, text_col, order, bits))
     many = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), F.col("need").alias("size"), "pivot")
     met_pairs = met.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
-    if not found.complete:  # pairs may share so many more shingles that made stars
-        for side in ("a", "b"):
-            uncounted = met.where("kind = 2").groupBy(F.col("a").alias(side)).agg(F.sum("n").alias(f"u{side}"))
-            met_pairs = met_pairs.join(uncounted, side, "left")
-        fewer = F.col("need") - F.greatest(F.coalesce("ua", F.lit(0)), F.coalesce("ub", F.lit(0)))
-        met_pairs = met_pairs.select("a", "b", "n", F.when(F.col("need") == 0, 0).otherwise(F.greatest(F.lit(1), fewer)).alias("need"))
     pairs = written(met_pairs.where("n >= need").select("a", "b", (F.col("need") == 0).alias("star")))
     done = pairs.select("a", "b")
     ends = done.select(F.col("a").alias("node")).union(done.select("b")).union(many.select("node")).distinct()
@@ -463,7 +453,7 @@ def links(docs: DataFrame, text_col: str = "text", bits: int | None = None) -> t
     edges, stars = checked.where("linked").select("a", "b"), checked.where("star")
     labels = components(edges)
     # all pairs of sets that share a shingle of many sets and are in different components: once is enough
-    left = _left_over(many, labels, stars, found.complete).join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    left = _left_over(many, labels, stars).join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     left = written(left.withColumn("star", F.lit(False)))
     if left.limit(1).count():
         new = written(_verify(left, sets, order)).select("a", "b")

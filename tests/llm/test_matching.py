@@ -49,6 +49,23 @@ def test_components_however_few_shingles_the_order_lists(spark, monkeypatch, hot
     assert sorted(map(tuple, full.join(least, "label").select("doc_id", "n_shingles", "least").collect()), key=str) == brute_components(rows)
 
 
+def test_passages_of_many_leave_few_pairs_over_though_the_order_is_small(spark, monkeypatch):
+    r = random.Random(11)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows = []
+    for _ in range(15):
+        passage = words(60)
+        rows += [" ".join([*passage, *words(90)]) for _ in range(45)]
+    rows = list(enumerate(rows))
+    left, was = [], ngram_join._left_over
+    monkeypatch.setattr(ngram_join, "HOT", 512)
+    monkeypatch.setattr(ngram_join, "_left_over", lambda *a: left.append(was(*a)) or left[0])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngram_join.jaccard_components(df).collect()), key=str) == brute_components(rows)
+    n = left[0].count()
+    assert n < len(rows), n
+
+
 def test_components_of_awkward_rows(awkward, awkward_texts):
     assert sorted(map(tuple, ngram_join.jaccard_components(awkward).collect()), key=str) == brute_components(awkward_texts)
 
