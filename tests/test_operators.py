@@ -152,6 +152,22 @@ def test_components_and_hops_cover_all_rows(spark, tmp_path):
     assert hops == {(f"p{p}", x): k for p in range(1, 9) for x, k in within(f"p{p}", 2).items()}
 
 
+def test_hops_deal_edges_once(spark, tmp_path):
+    from lodestone.plans import graph_queries
+
+    big = 2**62 + 5
+    for folder, last in (("few", 9), ("big", big)):
+        spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 2), (2, last), (None, 1)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/{folder}/lineitem.parquet")
+        spark.createDataFrame([(1,), (2,), (2,), (7,), (last,)], "p_partkey long").write.parquet(f"{tmp_path}/{folder}/part.parquet")
+        df = graph_queries.hop_scores_all(spark, f"{tmp_path}/{folder}")
+        want = {("p1", "p1", 0), ("p1", "o1", 1), ("p1", "p2", 2), ("p2", "p2", 0), ("p2", "o1", 1), ("p2", "o2", 1), ("p2", "p1", 2), ("p2", f"p{last}", 2), ("p7", "p7", 0)}
+        want |= {(f"p{last}", f"p{last}", 0), (f"p{last}", "o2", 1), (f"p{last}", "p2", 2)}
+        got = [(r.seed, r.id, r.hops) for r in df.collect()]
+        assert len(got) == len(want) and set(got) == want  # a part that is there twice is one seed
+    with_one = graph.hops(graph_queries._edges(spark, f"{tmp_path}/few"), spark.createDataFrame([("p1",)], "id string"), 3)
+    assert {(r.id, r.hops) for r in with_one.collect()} == {("p1", 0), ("o1", 1), ("p2", 2), ("o2", 3)}
+
+
 def test_jaccard_of_long_neighbours(spark, tmp_path):
     from lodestone.plans import search_queries
 
