@@ -40,7 +40,7 @@ SIZE = 5
 #: Sets that share a shingle are all paired up to so many; from there on, the shingle counts as one of many.
 MANY = 16
 #: Cells of the table of counts, a power of two.
-HOT = 1 << 25
+HOT = 1 << 22
 #: Levels of a count for each doubling.
 FINE = 12
 BITS = 27
@@ -460,6 +460,7 @@ def links(docs: DataFrame, text_col: str = "text", bits: int | None = None) -> t
         if new.limit(1).count():
             edges = edges.unionByName(new)
             labels = components(edges)
+    order.destroy()  # all that needs it is written
     return edges, labels
 
 
